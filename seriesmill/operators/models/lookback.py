@@ -50,15 +50,14 @@ class LookbackModel:
             F.avg("y").alias("mean"),
             F.greatest(F.lit(SD_FLOOR), F.stddev_pop("y")).alias("sd"),
             last_values(F.col("i"), F.col("y"), self.lookback, F.col("n")).alias("window"),
-        )
+        ).withColumn("slot_weights", F.array(*[F.lit(w) for w in self.weights]))
 
     def predict(self, params: DataFrame, horizon: int = 14) -> DataFrame:
         mean, sd = F.col("mean"), F.col("sd")
         scaled = F.transform("window", lambda v: (v - mean) / sd)
-        weights = F.array(*[F.lit(w) for w in self.weights])
 
         def step(w: Column) -> Column:
-            return squash(dot(w, weights), F.element_at(w, -1) - F.element_at(w, -3))
+            return squash(dot(w, F.col("slot_weights")), F.element_at(w, -1) - F.element_at(w, -3))
 
         def unscale(z: Column, k: Column) -> Column:
             value = z * sd + mean
