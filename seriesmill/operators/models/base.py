@@ -87,6 +87,7 @@ class UserModel:
         """(forecast rows, error rows)."""
         name, fn, parameters = self.name, self.fn, self.parameters
         columns = [f.name for f in self._RESULT.fields]
+        text = [f.name for f in self._RESULT.fields if isinstance(f.dataType, T.StringType)]
 
         def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("ds", ignore_index=True)
@@ -99,7 +100,8 @@ class UserModel:
                     "operation": ["predict"], "error_type": [type(error).__name__], "message": [str(error)],
                 })
             out[KEY], out["model"] = key, name
-            return out.reindex(columns=columns)
+            # Text as plain objects: missing columns are added as nulls of any type.
+            return out.reindex(columns=columns).astype({c: object for c in text})
 
         result = series.select(KEY, "ds", "y").groupBy(KEY).applyInPandas(one_key, self._RESULT)
         failed = F.col("error_type").isNotNull()
