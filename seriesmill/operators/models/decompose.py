@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
-from seriesmill.operators.series import KEY, by_key, with_position
-from seriesmill.operators.stats import PERIOD, centred_profile, moving_average, season_sums
+from seriesmill.operators.series import KEY, with_position
+from seriesmill.operators.stats import PERIOD, centred, moving_average, over, position_means, position_sums
 
 Z = 1.96
 
@@ -15,16 +15,18 @@ Z = 1.96
 def decompose(series: DataFrame, window: int = 7, period: int = PERIOD) -> DataFrame:
     """Rows ``key, ds, y, trend, seasonal, residual``; trend + seasonal + residual = y."""
     placed = with_position(series).withColumn("trend", moving_average(window))
-    whole = by_key()
-    sums = [
-        F.sum(F.when(F.col("i") % period == p, F.col("y")).otherwise(0.0)).over(whole) for p in range(period)
+    # Row by row, so plain columns instead of array functions keep it in generated code.
+    sums = [f"sum(CASE WHEN i % {period} = {p} THEN y ELSE 0D END) {over()} AS _s{p}" for p in range(period)]
+    means = [
+        f"coalesce(try_divide(_s{p}, floor((n - {p} + {period - 1}) / {period})), 0D) AS _m{p}" for p in range(period)
     ]
-    profile = placed.select("*", *[s.alias(f"_s{p}") for p, s in enumerate(sums)])
-    cells = F.array(*centred_profile([F.col(f"_s{p}") for p in range(period)], F.col("n"), period))
+    names = [f"_m{p}" for p in range(period)]
+    seasonal = f"array({', '.join(names)})[i % {period}] - ({' + '.join(names)}) / {period}"
     return (
-        profile.withColumn("seasonal", F.element_at(cells, (F.col("i") % period + 1).cast("int")))
-        .withColumn("residual", F.col("y") - (F.col("trend") + F.col("seasonal")))
-        .select(KEY, "ds", "i", "y", "trend", "seasonal", "residual")
+        placed.selectExpr("*", *sums)
+        .selectExpr(KEY, "ds", "i", "y", "trend", *means)
+        .selectExpr(KEY, "ds", "i", "y", "trend", f"{seasonal} AS seasonal")
+        .withColumn("residual", F.expr("y - (trend + seasonal)"))
     )
 
 
@@ -33,7 +35,7 @@ class DecomposeModel:
 
     The residual deviation comes out of the same aggregate as the profile: with
     ``d = y - trend`` the residual is ``d - profile[position]``, so its sums
-    follow from sums of ``d`` per position.  One window, one aggregate, no join.
+    follow from sums of ``d`` per position.  No join back to the rows.
     """
 
     name = "decompose"
@@ -46,35 +48,40 @@ class DecomposeModel:
     def fit(self, series: DataFrame) -> DataFrame:
         period = self.period
         placed = with_position(series).withColumn("trend", moving_average(self.window))
-        off_trend = F.col("y") - F.col("trend")
-        n, i, trend = F.col("n"), F.col("i"), F.col("trend")
-        sums = placed.where(n >= 2).groupBy(KEY).agg(
+        # Few sums per (key, position), then one row per key: both groupings are
+        # served by the partitioning the window already has.
+        cells = placed.where("n >= 2").groupBy(KEY, F.expr(f"i % {period} AS _p")).agg(
             F.max("n").alias("n"),
             F.max("ds").alias("last_ds"),
-            F.max(F.when(i == n - 1, trend)).alias("_t1"),
-            F.max(F.when(i == n - 2, trend)).alias("_t2"),
-            F.sum(off_trend * off_trend).alias("_dd"),
-            *season_sums(F.col("y"), period, "_s"),
-            *season_sums(off_trend, period, "_d"),
+            F.expr("max(CASE WHEN i = n - 1 THEN trend END) AS _t1"),
+            F.expr("max(CASE WHEN i = n - 2 THEN trend END) AS _t2"),
+            F.expr("sum((y - trend) * (y - trend)) AS _dd"),
+            F.expr("sum(y) AS _y"),
+            F.expr("sum(y - trend) AS _off"),
         )
-        profile = centred_profile([F.col(f"_s{p}") for p in range(period)], n, period)
-        with_profile = sums.withColumns({f"_f{p}": cell for p, cell in enumerate(profile)})
-        r_sum, r_square = F.lit(0.0), F.col("_dd")
-        for p in range(period):
-            count = F.floor((n - p + period - 1) / period)
-            cell, d = F.col(f"_f{p}"), F.col(f"_d{p}")
-            r_sum = r_sum + d - cell * count
-            r_square = r_square - 2 * cell * d + cell * cell * count
-        variance = (r_square - r_sum * r_sum / n) / (n - 1)
-        return with_profile.select(
+        sums = cells.groupBy(KEY).agg(
+            *[F.max(c).alias(c) for c in ("n", "last_ds", "_t1", "_t2")],
+            F.sum("_dd").alias("_dd"),
+            position_sums("_y", period, "_p").alias("_s"),
+            position_sums("_off", period, "_p").alias("_d"),
+        )
+        profiled = sums.withColumn("_m", position_means("_s", period)).withColumn("profile", centred("_m", period))
+        count = f"floor((n - p + {period - 1}) / {period})"
+
+        def over_positions(term: str) -> str:
+            return f"aggregate(sequence(0, {period - 1}), 0D, (a, p) -> a + {term})"
+
+        r_sum = over_positions(f"_d[p] - profile[p] * {count}")
+        r_square = over_positions(f"profile[p] * profile[p] * {count} - 2 * profile[p] * _d[p]")
+        return profiled.withColumns({"_r": F.expr(r_sum), "_rr": F.expr(f"_dd + {r_square}")}).selectExpr(
             KEY,
-            F.lit(self.name).alias("model"),
+            f"'{self.name}' AS model",
             "n",
             "last_ds",
-            F.col("_t1").alias("level"),
-            (F.col("_t1") - F.col("_t2")).alias("step_size"),
-            F.array(*[F.col(f"_f{p}") for p in range(period)]).alias("profile"),
-            F.sqrt(F.greatest(F.lit(0.0), variance)).alias("residual_sd"),
+            "_t1 AS level",
+            "_t1 - _t2 AS step_size",
+            "profile",
+            "sqrt(greatest(0D, (_rr - _r * _r / n) / (n - 1))) AS residual_sd",
         )
 
     def predict(self, params: DataFrame, horizon: int) -> DataFrame:

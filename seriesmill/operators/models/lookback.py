@@ -13,7 +13,7 @@ from seriesmill.functions.lookups import clamp_value
 from seriesmill.functions.metrics import mape
 from seriesmill.operators.models.base import check_horizon, forecast_rows
 from seriesmill.operators.series import KEY, with_position
-from seriesmill.operators.stats import lagged
+from seriesmill.operators.stats import lag_names, lagged
 
 SD_FLOOR = 0.1
 
@@ -50,7 +50,7 @@ class LookbackModel:
             F.avg("y").alias("mean"),
             F.greatest(F.lit(SD_FLOOR), F.stddev_pop("y")).alias("sd"),
             last_values(F.col("i"), F.col("y"), self.lookback, F.col("n")).alias("window"),
-        ).withColumn("slot_weights", F.array(*[F.lit(w) for w in self.weights]))
+        ).withColumn("slot_weights", F.expr(f"array({', '.join(f'{w!r}D' for w in self.weights)})"))
 
     def predict(self, params: DataFrame, horizon: int = 14) -> DataFrame:
         mean, sd = F.col("mean"), F.col("sd")
@@ -76,13 +76,13 @@ class LookbackModel:
         """Fitted values a score needs, out of this model's parameter row."""
         return F.struct("mean", "sd")
 
-    def one_step(self, lags: list[Column], fit: Column) -> Column:
-        """One-step forecast from the previous values (oldest first; the newest fit)."""
+    def one_step(self, lags: list[str], fit: str) -> Column:
+        """One-step forecast from columns of previous values (oldest first; the newest fit)."""
         lags = lags[-self.lookback:]
-        mean, sd = fit["mean"], fit["sd"]
-        weighted = sum((w * x for w, x in zip(self.weights, lags)), F.lit(0.0))
-        scaled = (weighted - mean * math.fsum(self.weights)) / sd
-        return squash(scaled, (lags[-1] - lags[-3]) / sd) * sd + mean
+        weighted = " + ".join(f"{w!r}D * {x}" for w, x in zip(self.weights, lags))
+        scaled = f"({weighted} - {fit}.mean * {math.fsum(self.weights)!r}D) / {fit}.sd"
+        trend = f"0.2D * ({lags[-1]} - {lags[-3]}) / {fit}.sd"
+        return F.expr(f"tanh(({scaled} + {trend}) * 0.5D) * 2 * {fit}.sd + {fit}.mean")
 
     def evaluate(self, params: DataFrame, series: DataFrame) -> DataFrame:
         return one_step_mape(self, params, series)
@@ -91,12 +91,9 @@ class LookbackModel:
 def one_step_predictions(model, params: DataFrame, series: DataFrame) -> DataFrame:
     """Actual and one-step forecast for every row with a full window before it."""
     size = model.window
-    names = [f"_l{d}" for d in range(size)]
-    windows = with_position(series).select(
-        KEY, "ds", "i", "y", *[c.alias(a) for c, a in zip(lagged(size), names)]
-    ).where(F.col("i") >= size)
+    windows = with_position(series).select(KEY, "ds", "i", "y", *lagged(size)).where(F.col("i") >= size)
     fits = params.select(KEY, model.fit_struct().alias("_fit"))
-    predicted = model.one_step([F.col(a) for a in names], F.col("_fit"))
+    predicted = model.one_step(lag_names(size), "_fit")
     return windows.join(fits, KEY).select(KEY, "ds", "i", "y", predicted.alias("yhat"))
 
 

@@ -30,7 +30,7 @@ SHORT_SERIES = 30
 def lag_covariance(products, head, tail, total, n, window: int):
     """Means (m, L) and covariance (m, L, L) of the trajectory columns for ``m`` keys.
 
-    ``head``/``tail`` hold at least the first/last ``window - 1`` centred values.
+    ``head``/``tail`` hold at least the first/last ``window - 1`` values, relative to the base.
     """
     size = window
     rows = (n - size + 1).astype(float)
@@ -79,7 +79,7 @@ def solve(sums: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
 
     All rows of ``sums`` must be long enough for the largest window.
     """
-    keep = [KEY, "n", "last_ds", "mean", "sd_pop", "window"]
+    keep = [KEY, "n", "last_ds", "base", "sd_pop", "window"]
     fields = [f for f in sums.schema.fields if f.name in keep]
     for g in range(len(settings)):
         fields.append(T.StructField(f"_a{g}", T.DoubleType()))
@@ -92,20 +92,20 @@ def solve(sums: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
                 continue
             products, head, tail = (_matrix(batch, c) for c in ("products", "head", "tail"))
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            total = batch.column("centred_sum").to_numpy(zero_copy_only=False)
-            level = batch.column("mean").to_numpy(zero_copy_only=False)
+            total = batch.column("offset_sum").to_numpy(zero_copy_only=False)
+            level = batch.column("base").to_numpy(zero_copy_only=False)
             columns = [batch.column(c) for c in kept]
             names = list(kept)
             for g, (window, components) in enumerate(settings):
                 means, cov = lag_covariance(products, head, tail, total, n, window)
                 intercept, weights = affine_rule(means, leading_vectors(cov, components))
-                # back from centred values: level + intercept + b . (w - level)
+                # back from relative values: level + intercept + b . (w - level)
                 columns.append(pa.array(level + intercept - level * weights.sum(1)))
                 columns.append(_vectors_column(weights))
                 names += [f"_a{g}", f"_b{g}"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    columns = [*kept, "products", "head", "tail", "centred_sum"]
+    columns = [*kept, "products", "head", "tail", "offset_sum"]
     return sums.select(*columns).mapInArrow(batches, T.StructType(fields))
 
 
@@ -125,8 +125,8 @@ def moments(series: DataFrame, window: int) -> DataFrame:
                 continue
             products, head, tail = (_matrix(batch, c) for c in ("products", "head", "tail"))
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            total = batch.column("centred_sum").to_numpy(zero_copy_only=False)
-            level = batch.column("mean").to_numpy(zero_copy_only=False)
+            total = batch.column("offset_sum").to_numpy(zero_copy_only=False)
+            level = batch.column("base").to_numpy(zero_copy_only=False)
             means, cov = lag_covariance(products, head, tail, total, n, window)
             means = means + level[:, None]
             repeat = np.repeat(np.arange(batch.num_rows), len(low))
@@ -141,7 +141,7 @@ def moments(series: DataFrame, window: int) -> DataFrame:
                 names=[f.name for f in out.fields],
             )
 
-    return sums.select(KEY, "n", "mean", "products", "head", "tail", "centred_sum").mapInArrow(batches, out)
+    return sums.select(KEY, "n", "base", "products", "head", "tail", "offset_sum").mapInArrow(batches, out)
 
 
 class SsaModel:
@@ -179,10 +179,9 @@ class SsaModel:
     def fit_struct(self) -> Column:
         return F.struct("intercept", "weights")
 
-    def one_step(self, lags: list[Column], fit: Column) -> Column:
-        lags = lags[-self.window:]
-        terms = (F.element_at(fit["weights"], j + 1) * x for j, x in enumerate(lags))
-        return sum(terms, fit["intercept"])
+    def one_step(self, lags: list[str], fit: str) -> Column:
+        terms = [f"{fit}.weights[{j}] * {x}" for j, x in enumerate(lags[-self.window:])]
+        return F.expr(" + ".join([f"{fit}.intercept", *terms]))
 
     def evaluate(self, params: DataFrame, series: DataFrame) -> DataFrame:
         return one_step_mape(self, params, series)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.arrays import dot
+from seriesmill.functions.arrays import dot, total
 from seriesmill.functions.lookups import CONFIDENCE_Z, DEFAULT_Z, step_value
 from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
 from seriesmill.operators.series import KEY, with_position
-from seriesmill.operators.stats import PERIOD, season_sums
+from seriesmill.operators.stats import PERIOD, position_sums
 
 MAX_WINDOW = 30
 MIN_SEASON_ROWS = 14
 
 
 class WeightedModel:
-    """Each step adds to running sums, so a step costs the window, not the history."""
+    """Each step updates running sums, so it costs the same for any history and window."""
 
     name = "wma"
 
@@ -38,17 +38,19 @@ class WeightedModel:
                 F.sum(i.cast("double") * y).alias("sum_iy"),
                 F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sd"),
                 F.transform(F.array_sort(tail), lambda p: p["y"]).alias("window"),
-                *season_sums(y, PERIOD, "_s"),
-            )
-            .select(
-                KEY, F.lit(self.name).alias("model"), "n", "last_ds", "span", "sum_y", "sum_iy", "sd", "window",
-                F.array(*[F.col(f"_s{p}") for p in range(PERIOD)]).alias("season_sums"),
+                position_sums("y", PERIOD).alias("season_sums"),
             )
+            .withColumn("model", F.lit(self.name))
         )
 
     def predict(self, params: DataFrame, horizon: int = 10) -> DataFrame:
+        # A window shorter than the span exists only for a single-row series: pad with 0.
+        gap = F.greatest(F.lit(0), F.col("span") - F.size("window"))
+        padded = params.withColumn("window", F.concat(F.array_repeat(F.lit(0.0), gap), F.col("window")))
+        weights = self._weights(F.col("span"))
         start = F.struct(
-            F.col("window").alias("w"),
+            dot(F.col("window"), weights).alias("ws"),
+            total(F.col("window")).alias("s"),
             F.col("sum_y").alias("sy"),
             F.col("sum_iy").alias("siy"),
             F.col("season_sums").alias("ss"),
@@ -58,13 +60,16 @@ class WeightedModel:
         path = F.aggregate(rounds, start, self._advance, lambda s: s["out"])
         z = step_value(self.confidence, CONFIDENCE_Z, DEFAULT_Z)
         steps = F.transform(path, lambda v, k: bounds(v, z * F.col("sd") * F.sqrt(1 + k * 0.1)))
-        return forecast_rows(params, self.name, steps)
+        return forecast_rows(padded, self.name, steps)
+
+    def _weights(self, span: Column) -> Column:
+        return F.sequence(F.lit(1), span) if self.newest_heavy else F.sequence(span, F.lit(1), F.lit(-1))
 
     def _advance(self, state: Column, k: Column) -> Column:
-        n = (F.col("n") + k).cast("double")
-        length = F.size(state["w"])
-        weights = F.sequence(F.lit(1), length) if self.newest_heavy else F.sequence(length, F.lit(1), F.lit(-1))
-        level = dot(state["w"], weights) / (length * (length + 1) / 2)
+        n, span = (F.col("n") + k).cast("double"), F.col("span")
+        newest, oldest = (span, 1) if self.newest_heavy else (F.lit(1), span)
+        only_value = (F.col("n") < span) & (k == 0)
+        level = state["ws"] / F.when(only_value, newest).otherwise(span * (span + 1) / 2)
 
         sum_i, sum_ii = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
         slope = F.coalesce(
@@ -78,11 +83,15 @@ class WeightedModel:
         nxt = F.greatest(F.lit(0.0), level + slope * (k + 1) + weekday)
 
         slot = (n % PERIOD).cast("int")
-        dropped = F.slice(state["w"], F.when(length >= F.col("span"), 2).otherwise(1), length)
+        dropped = F.when(k < span, F.get("window", k)).otherwise(F.get(state["out"], k - span))
+        # The rest of the window ages by one place: one weight step up or down.
+        rest = state["s"] - dropped
+        aged = state["ws"] - dropped * oldest + (-rest if self.newest_heavy else rest)
 
         def extend(v: Column) -> Column:
             return F.struct(
-                F.array_append(dropped, v).alias("w"),
+                (aged + v * newest).alias("ws"),
+                (rest + v).alias("s"),
                 (state["sy"] + v).alias("sy"),
                 (state["siy"] + n * v).alias("siy"),
                 F.transform(state["ss"], lambda s, p: s + F.when(p == slot, v).otherwise(0.0)).alias("ss"),

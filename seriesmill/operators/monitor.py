@@ -127,8 +127,7 @@ def online_predictions(series: DataFrame, window: int = 30, lookback: int = 7) -
     model = LookbackModel(lookback)
     w = in_order()
     frame = w.rowsBetween(-(window - 1), 0)
-    names = [f"_l{d}" for d in range(lookback)]
-    newest = [*lagged(lookback, "ds")[1:], F.col("y")]
+    newest = [*lagged(lookback, "ds")[1:], F.col("y").alias(f"_l{lookback}")]
     rows = series.select(
         KEY, "ds",
         F.count(F.lit(1)).over(frame).alias("_n"),
@@ -136,9 +135,9 @@ def online_predictions(series: DataFrame, window: int = 30, lookback: int = 7) -
             F.avg("y").over(frame).alias("mean"),
             F.greatest(F.lit(0.1), F.stddev_pop("y").over(frame)).alias("sd"),
         ).alias("_fit"),
-        *[c.alias(a) for c, a in zip(newest, names)],
+        *newest,
     ).where(F.col("_n") == window)
-    forecast = model.one_step([F.col(a) for a in names], F.col("_fit"))
+    forecast = model.one_step([f"_l{at}" for at in range(1, lookback + 1)], "_fit")
     return rows.select(
         KEY, F.date_add("ds", 1).alias("ds"), F.greatest(F.lit(0.0), forecast).alias("predicted")
     )

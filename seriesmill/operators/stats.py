@@ -2,60 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.operators.series import KEY, by_key, in_order, with_position
+from seriesmill.operators.series import KEY, in_order, with_position
 
 PERIOD = 7
+MAX_OFFSET_WINDOW = 31
 
 
-def moving_average(window: int = 7, order: str = "i") -> Column:
-    """Centred mean over ``window // 2`` rows to each side, cut at the ends."""
-    half = window // 2
-    return F.avg("y").over(in_order(order).rowsBetween(-half, half))
-
+def over(order: str | None = None) -> str:
+    """Window clause per key, for use inside SQL expressions."""
+    return f"OVER (PARTITION BY {KEY}" + (f" ORDER BY {order})" if order else ")")
 
-def season_sums(value: Column, period: int = PERIOD, prefix: str = "s") -> list[Column]:
-    """Aggregates: one sum per position modulo the period."""
-    return [
-        F.sum(F.when(F.col("i") % period == p, value).otherwise(0.0)).alias(f"{prefix}{p}")
-        for p in range(period)
-    ]
 
+def moving_average(window: int = 7, order: str = "i") -> Column:
+    """Centred mean over ``window // 2`` rows to each side, cut at the ends.
 
-def position_count(n: Column, position: int, period: int = PERIOD) -> Column:
-    """How many of the indices 0 … n-1 fall on ``position`` modulo the period."""
-    return F.floor((n - position + period - 1) / period)
+    Short windows read their neighbours as lags and leads, which Spark serves
+    from one offset buffer; a sliding frame would aggregate the window anew for
+    every row.
+    """
+    half = window // 2
+    if window > MAX_OFFSET_WINDOW:
+        return F.avg("y").over(in_order(order).rowsBetween(-half, half))
+    near = [f"lag(y, {d}) {over(order)}" for d in range(half, 0, -1)]
+    near += ["y"] + [f"lead(y, {d}) {over(order)}" for d in range(1, half + 1)]
+    total = " + ".join(f"coalesce({v}, 0D)" for v in near)
+    present = " + ".join(f"if({v} IS NULL, 0, 1)" for v in near)
+    return F.expr(f"try_divide({total}, {present})")
+
+
+def position_sums(value: str, period: int = PERIOD, position: str = "i % {period}", window: str = "") -> Column:
+    """Aggregate: array of the sums of ``value`` per position modulo the period."""
+    place = position.format(period=period)
+    return F.expr("array(" + ", ".join(
+        f"sum(CASE WHEN {place} = {p} THEN {value} ELSE 0D END) {window}" for p in range(period)
+    ) + ")")
+
+
+def position_means(sums: str, period: int = PERIOD) -> Column:
+    """Array of means from an array of sums and the length ``n``; empty positions count as 0."""
+    return F.expr(
+        f"transform({sums}, (s, p) -> coalesce(try_divide(s, floor((n - p + {period - 1}) / {period})), 0D))"
+    )
 
 
-def centred_profile(sums: list[Column], n: Column, period: int = PERIOD) -> list[Column]:
-    """Mean per position minus the mean of those means; empty positions count as 0."""
-    means = [F.coalesce(F.try_divide(s, position_count(n, p, period)), F.lit(0.0)) for p, s in enumerate(sums)]
-    level = sum(means[1:], means[0]) / period
-    return [m - level for m in means]
+def centred(means: str, period: int = PERIOD) -> Column:
+    """Array of position means minus their own mean."""
+    return F.expr(f"transform({means}, m -> m - aggregate({means}, 0D, (a, b) -> a + b) / {period})")
 
 
 def seasonal_profile(series: DataFrame, period: int = PERIOD) -> DataFrame:
     """Rows ``key, position, seasonal``: mean of raw values per position, centred."""
-    sums = with_position(series).groupBy(KEY).agg(F.max("n").alias("n"), *season_sums(F.col("y"), period))
-    profile = centred_profile([F.col(f"s{p}") for p in range(period)], F.col("n"), period)
-    return sums.select(KEY, F.posexplode(F.array(*profile)).alias("position", "seasonal"))
+    sums = with_position(series).groupBy(KEY).agg(F.max("n").alias("n"), position_sums("y", period).alias("_sums"))
+    means = sums.select(KEY, position_means("_sums", period).alias("_means"))
+    return means.select(KEY, F.posexplode(centred("_means", period)).alias("position", "seasonal"))
 
 
 def weekday_deviation(series: DataFrame, min_rows: int = 14, period: int = PERIOD) -> DataFrame:
     """Rows ``key, position, deviation``: position mean minus overall mean, 0 for short series."""
     sums = with_position(series).groupBy(KEY).agg(
-        F.max("n").alias("n"), F.avg("y").alias("mean"), *season_sums(F.col("y"), period)
+        F.max("n").alias("n"), F.avg("y").alias("_mean"), position_sums("y", period).alias("_sums")
     )
-    cells = [
-        F.when(
-            F.col("n") >= min_rows,
-            F.coalesce(F.try_divide(F.col(f"s{p}"), position_count(F.col("n"), p, period)), F.lit(0.0)) - F.col("mean"),
-        ).otherwise(0.0)
-        for p in range(period)
-    ]
-    return sums.select(KEY, F.posexplode(F.array(*cells)).alias("position", "deviation"))
+    means = sums.select(KEY, "n", "_mean", position_means("_sums", period).alias("_means"))
+    cells = F.expr(f"transform(_means, m -> if(n >= {min_rows}, m - _mean, 0D))")
+    return means.select(KEY, F.posexplode(cells).alias("position", "deviation"))
 
 
 def linear_trend(series: DataFrame) -> DataFrame:
@@ -84,45 +96,49 @@ def embedding(series: DataFrame, window: int) -> DataFrame:
     return placed.withColumn("v", F.collect_list("y").over(frame)).where(F.size("v") == window)
 
 
-def lagged(window: int, order: str = "i", key_columns: tuple[str, ...] = (KEY,)) -> list[Column]:
-    """The ``window`` values before the current row, oldest first."""
-    w = Window.partitionBy(*key_columns).orderBy(order)
-    return [F.lag("y", d).over(w) for d in range(window, 0, -1)]
+def lagged(window: int, order: str = "i", names: str = "_l{at}") -> list[Column]:
+    """The ``window`` values before the current row as ``_l0`` (oldest) … ``_l{window-1}``."""
+    return [
+        F.expr(f"lag(y, {d}) {over(order)} AS {names.format(at=window - d)}") for d in range(window, 0, -1)
+    ]
+
 
+def lag_names(window: int) -> list[str]:
+    return [f"_l{at}" for at in range(window)]
 
-def lag_sums(series: DataFrame, window: int, key_columns: tuple[str, ...] = (KEY,)) -> DataFrame:
+
+def lag_sums(series: DataFrame, window: int) -> DataFrame:
     """What the lag covariance of a series needs, one row per key.
 
     Products are summed per lag distance (``window`` sums) instead of per pair
     of lags (``window * (window + 1) / 2``); the two edges of the series, at most
-    ``window - 1`` values each, correct the sums afterwards.  Values are centred
-    first so that large levels do not drown small variances.  The same row
-    serves every shorter window.
+    ``window - 1`` values each, correct the sums afterwards.  Values are taken
+    relative to the first of the key, so that large levels do not drown small
+    variances.  The same row serves every shorter window.
     """
-    whole = Window.partitionBy(*key_columns)
-    order = whole.orderBy("i")
-    centred = series.withColumn("_mean", F.avg("y").over(whole)).withColumn("_c", F.col("y") - F.col("_mean"))
-    products = [
-        F.coalesce(F.col("_c") * F.lag("_c", d).over(order), F.lit(0.0)).alias(f"_p{d}") for d in range(window)
-    ]
+    w = over("i")
+    relative = series.withColumn(
+        "_base", F.expr(f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    ).withColumn("_c", F.expr("y - _base"))
+    products = [f"coalesce(_c * lag(_c, {d}) {w}, 0D) AS _p{d}" for d in range(1, window)]
     edge = window - 1
-    pair = F.struct("i", F.col("_c").alias("v"))
+
+    def values(test: str, value: str) -> str:
+        pairs = f"collect_list(CASE WHEN {test} THEN struct(i, {value} AS v) END)"
+        return f"transform(array_sort({pairs}), p -> p.v)"
+
     return (
-        centred.select(*key_columns, "i", "n", "y", "ds", "_mean", "_c", *products)
-        .groupBy(*key_columns)
+        relative.selectExpr(KEY, "i", "n", "y", "ds", "_base", "_c", "_c * _c AS _p0", *products)
+        .groupBy(KEY)
         .agg(
             F.max("n").alias("n"),
-            F.max("_mean").alias("mean"),
+            F.max("_base").alias("base"),
             F.stddev_pop("y").alias("sd_pop"),
             F.max("ds").alias("last_ds"),
-            F.sum("_c").alias("centred_sum"),
-            F.array(*[F.sum(f"_p{d}") for d in range(window)]).alias("products"),
-            _values(F.array_sort(F.collect_list(F.when(F.col("i") < edge, pair)))).alias("head"),
-            _values(F.array_sort(F.collect_list(F.when(F.col("i") >= F.col("n") - edge, pair)))).alias("tail"),
-            _values(F.array_sort(F.collect_list(F.when(F.col("i") >= F.col("n") - window, F.struct("i", F.col("y").alias("v")))))).alias("window"),
+            F.sum("_c").alias("offset_sum"),
+            F.expr("array(" + ", ".join(f"sum(_p{d})" for d in range(window)) + ")").alias("products"),
+            F.expr(values(f"i < {edge}", "_c")).alias("head"),
+            F.expr(values(f"i >= n - {edge}", "_c")).alias("tail"),
+            F.expr(values(f"i >= n - {window}", "y")).alias("window"),
         )
     )
-
-
-def _values(pairs: Column) -> Column:
-    return F.transform(pairs, lambda p: p["v"])

@@ -13,8 +13,8 @@ from seriesmill.operators.evaluate import cv_folds, summarise_folds, training_ro
 from seriesmill.operators.models.base import get_model
 from seriesmill.operators.models.lookback import SD_FLOOR
 from seriesmill.operators.models.ssa import SsaModel, solve
-from seriesmill.operators.series import KEY, in_order, by_key, with_position  # noqa: F401
-from seriesmill.operators.stats import lag_sums, lagged
+from seriesmill.operators.series import KEY, by_key, in_order, with_position
+from seriesmill.operators.stats import lag_names, lag_sums, lagged
 
 
 def parameter_sets(grid: dict[str, list]) -> list[dict]:
@@ -94,14 +94,13 @@ def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = Fal
     k = clamp_value(k, "folds")
     folds = cv_folds(with_position(series).where(F.col("n") >= 2 * k), k, shuffle, seed)
     longest = max(m.window for m in models)
-    names = [f"_l{d}" for d in range(longest)]
-    windows = validation_rows(folds).select(KEY, "i", "y", *[c.alias(a) for c, a in zip(lagged(longest), names)])
-    lags = [F.col(a) for a in names]
+    windows = validation_rows(folds).select(KEY, "i", "y", *lagged(longest))
+    lags = lag_names(longest)
     scored = (
         windows.join(_fold_fits(folds, models, k), KEY, "left")
         .groupBy(KEY)
         .agg(*[
-            mape(F.when(F.col("i") >= m.window, m.one_step(lags, F.col(f"_fit{g}"))), F.col("y")).alias(f"_m{g}")
+            mape(F.when(F.col("i") >= m.window, m.one_step(lags, f"_fit{g}")), F.col("y")).alias(f"_m{g}")
             for g, m in enumerate(models)
         ])
     )
