@@ -77,7 +77,7 @@ def _vectors_column(rows) -> pa.Array:
 def solve(sums: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
     """Adds per setting ``(window, components)``: ``_a{g}`` intercept, ``_b{g}`` weights.
 
-    All rows of ``sums`` must be long enough for the largest window.
+    The values of a setting mean nothing for keys with fewer than two windows of rows.
     """
     keep = [KEY, "n", "last_ds", "base", "sd_pop", "window"]
     fields = [f for f in sums.schema.fields if f.name in keep]
@@ -97,7 +97,10 @@ def solve(sums: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
             columns = [batch.column(c) for c in kept]
             names = list(kept)
             for g, (window, components) in enumerate(settings):
-                means, cov = lag_covariance(products, head, tail, total, n, window)
+                long_enough = n >= 2 * window
+                usable = np.where(long_enough, n, 2 * window)
+                means, cov = lag_covariance(products, head, tail, total, usable, window)
+                cov[~long_enough] = np.eye(window)
                 intercept, weights = affine_rule(means, leading_vectors(cov, components))
                 # back from relative values: level + intercept + b . (w - level)
                 columns.append(pa.array(level + intercept - level * weights.sum(1)))

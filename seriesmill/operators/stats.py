@@ -141,4 +141,9 @@ def lag_sums(series: DataFrame, window: int) -> DataFrame:
             F.expr(values(f"i >= n - {edge}", "_c")).alias("tail"),
             F.expr(values(f"i >= n - {window}", "y")).alias("window"),
         )
+        # Zeros stand in where a series is shorter than the edge, to keep one array length.
+        .withColumns({
+            "head": F.expr(f"concat(head, array_repeat(0D, {edge} - size(head)))"),
+            "tail": F.expr(f"concat(array_repeat(0D, {edge} - size(tail)), tail)"),
+        })
     )

@@ -34,19 +34,12 @@ def _fold_fits(folds: DataFrame, models: list, k: int) -> DataFrame:
     if isinstance(models[0], SsaModel):
         # One pass of lag sums for the longest window serves every parameter set.
         longest = max(m.window for m in models)
-        train = training_rows(folds, k)
-        sums = lag_sums(train.where(F.col("n") >= 2 * longest), longest)
-        solved = solve(sums, [(m.window, m.components) for m in models])
+        solved = solve(lag_sums(training_rows(folds, k), longest), [(m.window, m.components) for m in models])
         fits = [
-            F.when(F.col("n") >= m.min_rows, F.struct(F.col(f"_a{g}").alias("intercept"), F.col(f"_b{g}").alias("weights")))
+            F.expr(f"CASE WHEN n >= {m.min_rows} THEN struct(_a{g} AS intercept, _b{g} AS weights) END AS _fit{g}")
             for g, m in enumerate(models)
         ]
-        wide = solved.select(KEY, *[f.alias(f"_fit{g}") for g, f in enumerate(fits)])
-        shorter = [m for m in models if m.min_rows < 2 * longest]
-        if not shorter:
-            return wide
-        # Series too short for the longest window still serve the shorter ones.
-        return wide.unionByName(_short_fits(train, models, longest))
+        return solved.select(KEY, *fits)
     # Scaling needs only sums, and sums of the other folds are total minus own.
     # Sums are taken around the key's mean to keep the subtraction exact enough.
     centred = folds.withColumn("_mean", F.avg("y").over(by_key())).withColumn("_c", F.col("y") - F.col("_mean"))
@@ -65,26 +58,6 @@ def _fold_fits(folds: DataFrame, models: list, k: int) -> DataFrame:
     )
 
 
-def _short_fits(train: DataFrame, models: list, longest: int) -> DataFrame:
-    """Fits for training series below ``2 * longest`` rows, window by window."""
-    short = train.where(F.col("n") < 2 * longest)
-    empty = "cast(null as struct<intercept:double, weights:array<double>>)"
-    wide = None
-    for window in sorted({m.window for m in models if m.window < longest}):
-        chosen = [(g, m) for g, m in enumerate(models) if m.window == window]
-        solved = solve(
-            lag_sums(short.where(F.col("n") >= 2 * window), window), [(m.window, m.components) for _, m in chosen]
-        )
-        place = {g: p for p, (g, _) in enumerate(chosen)}
-        part = solved.select(KEY, *[
-            F.struct(F.col(f"_a{place[g]}").alias("intercept"), F.col(f"_b{place[g]}").alias("weights")).alias(f"_fit{g}")
-            if g in place else F.expr(empty).alias(f"_fit{g}")
-            for g in range(len(models))
-        ])
-        wide = part if wide is None else wide.unionByName(part)
-    return wide.groupBy(KEY).agg(*[F.first(f"_fit{g}", ignorenulls=True).alias(f"_fit{g}") for g in range(len(models))])
-
-
 def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
     """Rows ``key, grid_id, fold, mape`` for models of one kind.
 

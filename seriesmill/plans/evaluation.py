@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from seriesmill.operators import evaluate, recover, tune
 from seriesmill.operators.models import LookbackModel, SsaModel, performance_weights
 from seriesmill.plans.base import Query, with_
+from seriesmill.plans.ssa_sql import moment_tables, projection_tables, rule_table
 from seriesmill.plans.tables import BRAND, FILLED, RARELY_SIGNED, Tables
 
 LOOKBACKS = (7, 14, 21)
 FOLDS = 5
+SSA_GRID = {"window": [5, 7, 10], "components": [1, 3]}
+SSA_SETTINGS = [(p["window"], p["components"]) for p in tune.parameter_sets(SSA_GRID)]
 
 
 def fold_sql(order: str = "i") -> str:
@@ -33,6 +36,27 @@ train AS (SELECT a.series_key, h.fold, avg(y) AS mean, greatest(0.1, stddev_pop(
 scores AS ({' UNION ALL '.join(parts)})"""
 
 
+def ssa_scores_sql(settings: list[tuple[int, int]]) -> list[str]:
+    """Fold errors of singular-spectrum settings ``(window, components)`` on contiguous folds."""
+    parts = [f"""
+trained AS MATERIALIZED (SELECT f.series_key || '|' || h.fold AS g, f.y,
+  row_number() OVER (PARTITION BY f.series_key, h.fold ORDER BY f.i) - 1 AS i, count(*) OVER (PARTITION BY f.series_key, h.fold) AS n
+  FROM folded f CROSS JOIN (SELECT unnest(generate_series(0, {FOLDS - 1})) AS fold) h WHERE f.fold <> h.fold)"""]
+    scores = []
+    for size in sorted({window for window, _ in settings}):
+        chosen = [(g, c) for g, (window, c) in enumerate(settings) if window == size]
+        name = f"m{size}"
+        parts += moment_tables(name, "trained", size) + projection_tables(name, max(c for _, c in chosen))
+        for g, components in chosen:
+            parts.append(rule_table(name, f"rule{g}", size, components))
+            scores.append(f"""SELECT {g} AS grid_id, series_key, fold,
+              avg(abs((a + list_sum(list_transform(h, lambda x, j: x * w[j])) - y) / y)) FILTER (y > 0) AS mape
+              FROM (SELECT *, row_number() OVER (PARTITION BY series_key, fold ORDER BY i) - 1 AS p,
+                list(y) OVER (PARTITION BY series_key, fold ORDER BY i ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING) AS h FROM folded) v
+              JOIN rule{g} ON g = series_key || '|' || fold WHERE p >= {size} GROUP BY 1, 2, 3""")
+    return [*parts, f"scores AS ({' UNION ALL '.join(scores)})"]
+
+
 SUMMARY = """
 summary AS (SELECT series_key, grid_id, avg(mape) AS mean_mape, coalesce(stddev_samp(mape), 0) AS sd_mape, count(mape) AS num_folds,
   array_to_string(list(CAST(CAST(round(mape * 1000) AS BIGINT) AS VARCHAR) ORDER BY fold) FILTER (mape IS NOT NULL), ',') AS fold_results
@@ -51,7 +75,7 @@ def _grid():
 
 
 def _ssa_grid():
-    return tune.grid_models("ssa", {"window": [5, 7, 10], "components": [1, 3]})
+    return tune.grid_models("ssa", SSA_GRID)
 
 
 def _weights(t: Tables):
@@ -133,6 +157,7 @@ QUERIES = [
     Query(
         "cross_validate_ssa", "series_key mean_mape:r sd_mape:r num_folds:i",
         lambda t: evaluate.cross_validate(t.brand_filled(), SsaModel(), FOLDS),
+        with_(BRAND, FILLED, fold_sql(), *ssa_scores_sql([(7, 3)]), SUMMARY, select="SELECT * FROM summary"),
     ),
     Query(
         "grid_search", "series_key grid_id:i lookback:i mean_mape:r sd_mape:r num_folds:i rank:i",
@@ -153,10 +178,15 @@ QUERIES = [
         ),
     ),
     Query(
-        "grid_search_ssa", "series_key grid_id:i window:i components:i mean_mape:r rank:i",
+        "grid_search_ssa", "series_key grid_id:i window_size:i components:i mean_mape:r rank:i",
         lambda t: tune.grid_search(t.brand_filled(), _ssa_grid(), FOLDS).withColumns({
-            "window": F.col("parameters")["window"], "components": F.col("parameters")["components"],
+            "window_size": F.col("parameters")["window"], "components": F.col("parameters")["components"],
         }),
+        with_(
+            BRAND, FILLED, fold_sql(), *ssa_scores_sql(SSA_SETTINGS), SUMMARY,
+            select="""SELECT *, [5, 5, 7, 7, 10, 10][grid_id + 1] AS window_size, [1, 3, 1, 3, 1, 3][grid_id + 1] AS components,
+                      row_number() OVER (PARTITION BY series_key ORDER BY mean_mape NULLS LAST, grid_id) AS rank FROM summary""",
+        ),
     ),
     Query(
         "recover_failed", "series_key error_type action recovered:b rows_used:i", _report,

@@ -15,6 +15,7 @@ from seriesmill.operators.models.lookback import one_step_predictions
 from seriesmill.operators.series import forecast_errors
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.series import DECOMPOSE_FORECAST, DECOMPOSED
+from seriesmill.plans.ssa_sql import forecast_tables, rule_tables
 from seriesmill.plans.tables import BRAND, FILLED, SUPPLIER, TYPES, Tables
 
 HORIZON = 14
@@ -132,7 +133,14 @@ QUERIES = [
         "forecast_lookback", FORECAST_COLUMNS, _run(LookbackModel()),
         with_(BRAND, FILLED, fit_sql("fit"), lookback_sql("fit"), select="SELECT * FROM look_forecast", recursive=True),
     ),
-    Query("forecast_ssa", FORECAST_COLUMNS, _run(SsaModel())),
+    Query(
+        "forecast_ssa", FORECAST_COLUMNS, _run(SsaModel()),
+        with_(
+            BRAND, FILLED, "trained AS (SELECT series_key AS g, i, n, y FROM filled)",
+            *rule_tables("rule", "trained", 7, 3), *forecast_tables("rule", 7, "true"),
+            select="SELECT * FROM ssa_forecast", recursive=True,
+        ),
+    ),
     Query(
         "forecast_ssa_two_lags", FORECAST_COLUMNS, _run(SsaModel(2, 1)),
         with_(BRAND, FILLED, SSA_TWO, select="SELECT * FROM ssa_forecast", recursive=True),
@@ -156,7 +164,15 @@ QUERIES = [
             select="SELECT * FROM look_forecast", recursive=True,
         ),
     ),
-    Query("forecast_run_ssa", FORECAST_COLUMNS, lambda t: forecast_run(t.brand_filled(), "ssa", HORIZON)),
+    Query(
+        "forecast_run_ssa", FORECAST_COLUMNS, lambda t: forecast_run(t.brand_filled(), "ssa", HORIZON),
+        with_(
+            BRAND, FILLED,
+            "trained AS (SELECT series_key AS g, i, floor(n * 0.8) AS n, y FROM filled WHERE i < floor(n * 0.8))",
+            *rule_tables("rule", "trained", 7, 3), *forecast_tables("rule", 7, "i < floor(n * 0.8)"),
+            select="SELECT * FROM ssa_forecast", recursive=True,
+        ),
+    ),
     Query(
         "one_step_eval", "series_key ds:d y:r yhat:r",
         lambda t: one_step_predictions(LookbackModel(), LookbackModel().fit(t.brand_filled()), t.brand_filled()),
@@ -186,6 +202,13 @@ QUERIES = [
     Query(
         "ssa_evaluate", "series_key model mape:r",
         lambda t: SsaModel().evaluate(SsaModel().fit(t.brand_filled()), t.brand_filled()),
+        with_(
+            BRAND, FILLED, "trained AS (SELECT series_key AS g, i, n, y FROM filled)", *rule_tables("rule", "trained", 7, 3),
+            """l AS (SELECT *, list(y) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS h FROM filled)""",
+            select="""SELECT series_key, 'ssa' AS model,
+                      avg(abs((a + list_sum(list_transform(h, lambda x, j: x * w[j])) - y) / y)) FILTER (y > 0) AS mape
+                      FROM l JOIN rule ON series_key = g WHERE i >= 7 GROUP BY 1""",
+        ),
     ),
     Query(
         "ensemble_evaluate", "series_key mape:r",
