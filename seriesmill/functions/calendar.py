@@ -52,5 +52,5 @@ def promo_blocks(ds: Column, start: Column) -> Column:
 
 def month_listed(ds: Column, month_list: Column) -> Column:
     """Is the month of ``ds`` in a comma list of abbreviated month names?"""
-    listed = F.transform(F.split(F.lower(month_list), ","), F.trim)
+    listed = F.transform(F.split(F.lower(month_list), ","), lambda name: F.trim(name))
     return F.array_contains(listed, F.lower(F.date_format(ds, "MMM")))

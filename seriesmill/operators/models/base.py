@@ -87,7 +87,7 @@ class UserModel:
         """(forecast rows, error rows)."""
         name, fn, parameters = self.name, self.fn, self.parameters
         columns = [f.name for f in self._RESULT.fields]
-        text = [f.name for f in self._RESULT.fields if isinstance(f.dataType, T.StringType)]
+        plain = [f.name for f in self._RESULT.fields if isinstance(f.dataType, (T.StringType, T.DateType))]
 
         def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("ds", ignore_index=True)
@@ -100,8 +100,10 @@ class UserModel:
                     "operation": ["predict"], "error_type": [type(error).__name__], "message": [str(error)],
                 })
             out[KEY], out["model"] = key, name
-            # Text as plain objects: missing columns are added as nulls of any type.
-            return out.reindex(columns=columns).astype({c: object for c in text})
+            # Either half of the columns is missing: give it types that can hold nulls.
+            out = out.reindex(columns=columns).astype({**dict.fromkeys(plain, object), "step": "Int64"})
+            out[plain] = out[plain].where(out[plain].notna(), None)
+            return out
 
         result = series.select(KEY, "ds", "y").groupBy(KEY).applyInPandas(one_key, self._RESULT)
         failed = F.col("error_type").isNotNull()
