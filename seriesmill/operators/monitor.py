@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmill.functions.metrics import drift, relative_error
-from seriesmill.operators.models.lookback import LookbackModel
+from seriesmill.operators.models.lookback import SD_FLOOR, LookbackModel
 from seriesmill.operators.series import KEY, in_order, recent_n
 from seriesmill.operators.stats import lagged
 
@@ -119,10 +119,11 @@ def degradation_alerts(
     return rows.groupBy(KEY).applyInPandas(alerts, schema)
 
 
-def online_predictions(series: DataFrame, window: int = 30, lookback: int = 7) -> DataFrame:
-    """One-step forecast after each row, refitted on the last ``window`` rows.
+def online_errors(series: DataFrame, window: int = 30, lookback: int = 7) -> DataFrame:
+    """Errors of one-step forecasts, refitted after each row on the last ``window`` rows.
 
-    Columns ``series_key, ds, predicted``: ``ds`` is the day forecast.
+    Columns ``series_key, ds, predicted, actual, error``.  A forecast is scored
+    only by a row of the very next day, which the same window pass reads ahead.
     """
     model = LookbackModel(lookback)
     w = in_order()
@@ -130,24 +131,19 @@ def online_predictions(series: DataFrame, window: int = 30, lookback: int = 7) -
     newest = [*lagged(lookback, "ds")[1:], F.col("y").alias(f"_l{lookback}")]
     rows = series.select(
         KEY, "ds",
+        F.lead("ds").over(w).alias("_next"),
+        F.lead("y").over(w).alias("actual"),
         F.count(F.lit(1)).over(frame).alias("_n"),
         F.struct(
             F.avg("y").over(frame).alias("mean"),
-            F.greatest(F.lit(0.1), F.stddev_pop("y").over(frame)).alias("sd"),
+            F.greatest(F.lit(SD_FLOOR), F.stddev_pop("y").over(frame)).alias("sd"),
         ).alias("_fit"),
         *newest,
-    ).where(F.col("_n") == window)
+    ).where((F.col("_n") == window) & (F.datediff("_next", "ds") == 1))
     forecast = model.one_step([f"_l{at}" for at in range(1, lookback + 1)], "_fit")
-    return rows.select(
-        KEY, F.date_add("ds", 1).alias("ds"), F.greatest(F.lit(0.0), forecast).alias("predicted")
-    )
-
-
-def online_errors(series: DataFrame, window: int = 30, lookback: int = 7) -> DataFrame:
-    """Errors of the one-step forecasts; only days that follow at once are scored."""
-    forecast = online_predictions(series, window, lookback)
-    scored = forecast.join(series.select(KEY, "ds", F.col("y").alias("actual")), [KEY, "ds"])
-    return tracked(scored)
+    return tracked(rows.select(
+        KEY, F.col("_next").alias("ds"), F.greatest(F.lit(0.0), forecast).alias("predicted"), "actual"
+    ))
 
 
 def learner_performance(errors: DataFrame, window: int = 30, limit: float = DRIFT_LIMIT) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.operators.models.base import get_model
-from seriesmill.operators.quality import clean_with_guard, is_valid
-from seriesmill.operators.series import KEY, recent_n, with_position
+from seriesmill.operators.quality import MIN_VALID_SHARE, is_valid
+from seriesmill.operators.series import KEY, by_key, recent_n, with_position
 
 # Error class -> what is tried.
 TRAINING_ACTIONS = {
@@ -21,25 +21,33 @@ RECENT_PREDICTION_ROWS = 30
 
 
 def diagnose(series: DataFrame, min_rows: int, max_rows: int | None = None) -> DataFrame:
-    """One ``key, error_type, n, n_valid`` row per key that cannot be fitted as it is."""
-    counts = series.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_valid()).alias("n_valid")
+    """Rows with the ``error_type`` of their key (null: can be fitted as it is) and ``keep``.
+
+    ``keep`` marks what a refit uses: the valid rows of a key that loses at most a
+    tenth of them, all rows, or the newest 1000.  One window pass over the daily
+    series decides everything, so no second scan is needed.
+    """
+    whole = by_key()
+    newest = Window.partitionBy(KEY).orderBy(F.desc("ds"))
+    marked = series.select(
+        KEY, "ds", "y",
+        is_valid().alias("_ok"),
+        F.count(F.lit(1)).over(whole).alias("_n"),
+        F.count_if(is_valid()).over(whole).alias("_valid"),
+        F.row_number().over(newest).alias("_rank"),
     )
-    too_large = F.lit(False) if max_rows is None else F.col("n") > max_rows
+    too_large = F.lit(False) if max_rows is None else F.col("_n") > max_rows
     error = (
-        F.when(F.col("n_valid") < F.col("n"), "invalid_values")
-        .when(F.col("n") < min_rows, "invalid_parameters")
+        F.when(F.col("_valid") < F.col("_n"), "invalid_values")
+        .when(F.col("_n") < min_rows, "invalid_parameters")
         .when(too_large, "too_large")
     )
-    return counts.select(KEY, error.alias("error_type"), "n", "n_valid").where(F.col("error_type").isNotNull())
-
-
-def repaired_rows(series: DataFrame, failed: DataFrame) -> DataFrame:
-    """Rows to refit on, by error class: cleaned, unchanged, or the newest 1000."""
-    marked = series.select(KEY, "ds", "y").join(failed.select(KEY, "error_type"), KEY)
-    dirty = clean_with_guard(marked.where(F.col("error_type") == "invalid_values"))
-    large = recent_n(marked.where(F.col("error_type") == "too_large"), RECENT_TRAINING_ROWS)
-    return dirty.unionByName(marked.where(F.col("error_type") == "invalid_parameters")).unionByName(large)
+    keep = (
+        F.when(F.col("error_type") == "invalid_values", F.col("_ok") & (F.col("_valid") >= F.col("_n") * MIN_VALID_SHARE))
+        .when(F.col("error_type") == "too_large", F.col("_rank") <= RECENT_TRAINING_ROWS)
+        .otherwise(True)
+    )
+    return marked.withColumn("error_type", error).select(KEY, "ds", "y", "error_type", keep.alias("keep"))
 
 
 def fit_with_recovery(
@@ -47,26 +55,28 @@ def fit_with_recovery(
 ) -> tuple[DataFrame, DataFrame]:
     """(parameter rows of all fitted keys, one report row per failed key).
 
-    The refit uses the model's default parameters.  Report columns:
-    ``series_key, error_type, action, recovered, rows_used``.
+    A failed key is refitted once, with the model's default parameters.  Report
+    columns: ``series_key, error_type, action, recovered, rows_used``.
     """
     wanted, default = get_model(model, **parameters), get_model(model)
-    series = series.select(KEY, "ds", "y")
-    failed = diagnose(series, wanted.min_rows, max_rows)
-    healthy = series.join(failed.select(KEY), KEY, "left_anti")
-    retried = with_position(repaired_rows(series, failed))
-    refit = default.fit(retried)
-    used = refit.select(KEY, F.col("n").cast("long").alias("rows_used"))
+    marked = diagnose(series, wanted.min_rows, max_rows)
+    failed = F.col("error_type").isNotNull()
+
+    def rows(test):
+        return with_position(marked.where(test).select(KEY, "ds", "y"))
+
+    # The two fits may have windows of different length; both carry their weights.
+    params = wanted.fit(rows(~failed)).unionByName(default.fit(rows(failed & F.col("keep"))))
     actions = F.create_map(*[F.lit(x) for pair in TRAINING_ACTIONS.items() for x in pair])
-    report = failed.join(used, KEY, "left").select(
-        KEY,
-        "error_type",
-        F.element_at(actions, F.col("error_type")).alias("action"),
-        F.col("rows_used").isNotNull().alias("recovered"),
-        F.coalesce("rows_used", F.lit(0)).alias("rows_used"),
+    kept = marked.where(failed).groupBy(KEY).agg(
+        F.max("error_type").alias("error_type"), F.count_if("keep").alias("_kept")
     )
-    # The two fits may have windows of different length; both carry their weights.
-    return wanted.fit(with_position(healthy)).unionByName(refit), report
+    fitted = F.col("_kept") >= default.min_rows
+    report = kept.select(
+        KEY, "error_type", F.element_at(actions, F.col("error_type")).alias("action"), fitted.alias("recovered"),
+        F.when(fitted, F.col("_kept")).otherwise(0).alias("rows_used"),
+    )
+    return params, report
 
 
 def prediction_rows(series: DataFrame, error_type: str) -> DataFrame:

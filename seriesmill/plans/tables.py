@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.operators.series import fill_gaps, to_series
+from seriesmill.operators.series import fill_gaps, in_order, to_series
 from seriesmill.streaming.daily import daily_totals_batch
 
 
@@ -99,9 +99,12 @@ class Tables:
 
     def persistence(self) -> DataFrame:
         """Each user's day predicted by the day before it."""
-        day = self.user_daily()
-        yesterday = day.select("series_key", F.date_add("ds", 1).alias("ds"), F.col("y").alias("predicted"))
-        return day.withColumnRenamed("y", "actual").join(yesterday, ["series_key", "ds"])
+        w = in_order()
+        rows = self.user_daily().select(
+            "series_key", "ds", F.col("y").alias("actual"),
+            F.lag("y").over(w).alias("predicted"), F.lag("ds").over(w).alias("_before"),
+        )
+        return rows.where(F.datediff("ds", "_before") == 1).drop("_before")
 
 
 # -- the same in SQL -------------------------------------------------------------
