@@ -74,17 +74,16 @@ def _vectors_column(rows) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
-def solve(sums: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+def solve(sums: DataFrame, settings: list[tuple[int, int]], keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """Adds per setting ``(window, components)``: ``_a{g}`` intercept, ``_b{g}`` weights.
 
     The values of a setting mean nothing for keys with fewer than two windows of rows.
     """
-    keep = [KEY, "n", "last_ds", "base", "sd_pop", "window"]
-    fields = [f for f in sums.schema.fields if f.name in keep]
+    kept = [*keys, "n", "last_ds", "base", "sd_pop", "window"]
+    fields = [sums.schema[c] for c in kept]
     for g in range(len(settings)):
         fields.append(T.StructField(f"_a{g}", T.DoubleType()))
         fields.append(T.StructField(f"_b{g}", T.ArrayType(T.DoubleType())))
-    kept = [f.name for f in sums.schema.fields if f.name in keep]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

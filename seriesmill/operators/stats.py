@@ -11,9 +11,9 @@ PERIOD = 7
 MAX_OFFSET_WINDOW = 31
 
 
-def over(order: str | None = None) -> str:
+def over(order: str | None = None, keys: tuple[str, ...] = (KEY,)) -> str:
     """Window clause per key, for use inside SQL expressions."""
-    return f"OVER (PARTITION BY {KEY}" + (f" ORDER BY {order})" if order else ")")
+    return f"OVER (PARTITION BY {', '.join(keys)}" + (f" ORDER BY {order})" if order else ")")
 
 
 def moving_average(window: int = 7, order: str = "i") -> Column:
@@ -96,19 +96,17 @@ def embedding(series: DataFrame, window: int) -> DataFrame:
     return placed.withColumn("v", F.collect_list("y").over(frame)).where(F.size("v") == window)
 
 
-def lagged(window: int, order: str = "i", names: str = "_l{at}") -> list[Column]:
+def lagged(window: int, order: str = "i", keys: tuple[str, ...] = (KEY,)) -> list[Column]:
     """The ``window`` values before the current row as ``_l0`` (oldest) … ``_l{window-1}``."""
-    return [
-        F.expr(f"lag(y, {d}) {over(order)} AS {names.format(at=window - d)}") for d in range(window, 0, -1)
-    ]
+    return [F.expr(f"lag(y, {d}) {over(order, keys)} AS _l{window - d}") for d in range(window, 0, -1)]
 
 
 def lag_names(window: int) -> list[str]:
     return [f"_l{at}" for at in range(window)]
 
 
-def lag_sums(series: DataFrame, window: int) -> DataFrame:
-    """What the lag covariance of a series needs, one row per key.
+def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """What the lag covariance of a series needs, one row per ``keys``.
 
     Products are summed per lag distance (``window`` sums) instead of per pair
     of lags (``window * (window + 1) / 2``); the two edges of the series, at most
@@ -116,7 +114,7 @@ def lag_sums(series: DataFrame, window: int) -> DataFrame:
     relative to the first of the key, so that large levels do not drown small
     variances.  The same row serves every shorter window.
     """
-    w = over("i")
+    w = over("i", keys)
     relative = series.withColumn(
         "_base", F.expr(f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     ).withColumn("_c", F.expr("y - _base"))
@@ -128,8 +126,8 @@ def lag_sums(series: DataFrame, window: int) -> DataFrame:
         return f"transform(array_sort({pairs}), p -> p.v)"
 
     return (
-        relative.selectExpr(KEY, "i", "n", "y", "ds", "_base", "_c", "_c * _c AS _p0", *products)
-        .groupBy(KEY)
+        relative.selectExpr(*keys, "i", "n", "y", "ds", "_base", "_c", "_c * _c AS _p0", *products)
+        .groupBy(*keys)
         .agg(
             F.max("n").alias("n"),
             F.max("_base").alias("base"),

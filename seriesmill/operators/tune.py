@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.lookups import clamp_value
 from seriesmill.functions.metrics import mape
-from seriesmill.operators.evaluate import cv_folds, summarise_folds, training_rows, validation_rows
+from seriesmill.operators.evaluate import cv_folds, summarise_folds, training_rows
 from seriesmill.operators.models.base import get_model
 from seriesmill.operators.models.lookback import SD_FLOOR
 from seriesmill.operators.models.ssa import SsaModel, solve
-from seriesmill.operators.series import KEY, by_key, in_order, with_position
-from seriesmill.operators.stats import lag_names, lag_sums, lagged
+from seriesmill.operators.series import KEY, in_order, with_position
+from seriesmill.operators.stats import lag_names, lag_sums, lagged, over
 
 
 def parameter_sets(grid: dict[str, list]) -> list[dict]:
@@ -26,36 +26,46 @@ def grid_models(name: str, grid: dict[str, list]) -> list:
     return [get_model(name, **p) for p in parameter_sets(grid)]
 
 
-def _fold_fits(folds: DataFrame, models: list, k: int) -> DataFrame:
-    """One row per ``(key, fold)`` with the fit of every model as ``_fit0, _fit1, …``.
+BY_FOLD = (KEY, "fold")
 
-    A model that needs more rows than the training series has gets a null fit.
+
+def _with_ssa_fits(folds: DataFrame, models: list, k: int) -> DataFrame:
+    """Fold rows with ``_fit0, _fit1, …``, null where the training series is too short.
+
+    One pass of lag sums for the longest window serves every parameter set.  The
+    fits of a key (one per fold) come back as a single row, so that the fold rows
+    are joined by key, where they already lie.
     """
-    if isinstance(models[0], SsaModel):
-        # One pass of lag sums for the longest window serves every parameter set.
-        longest = max(m.window for m in models)
-        solved = solve(lag_sums(training_rows(folds, k), longest), [(m.window, m.components) for m in models])
-        fits = [
-            F.expr(f"CASE WHEN n >= {m.min_rows} THEN struct(_a{g} AS intercept, _b{g} AS weights) END AS _fit{g}")
-            for g, m in enumerate(models)
-        ]
-        return solved.select(KEY, *fits)
-    # Scaling needs only sums, and sums of the other folds are total minus own.
-    # Sums are taken around the key's mean to keep the subtraction exact enough.
-    centred = folds.withColumn("_mean", F.avg("y").over(by_key())).withColumn("_c", F.col("y") - F.col("_mean"))
-    own = centred.groupBy(KEY, "fold").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("_c").alias("s"), F.sum(F.col("_c") * F.col("_c")).alias("q"),
-        F.max("_mean").alias("level"),
+    longest = max(m.window for m in models)
+    sums = lag_sums(training_rows(folds, k), longest, BY_FOLD)
+    solved = solve(sums, [(m.window, m.components) for m in models], BY_FOLD)
+    fits = ", ".join(
+        f"CASE WHEN n >= {m.min_rows} THEN struct(_a{g} AS intercept, _b{g} AS weights) END AS _fit{g}"
+        for g, m in enumerate(models)
     )
-    rest = {c: F.sum(c).over(by_key()) - F.col(c) for c in ("c", "s", "q")}
-    others = own.select(KEY, "fold", "level", *[e.alias(f"_{c}") for c, e in rest.items()])
-    shift = F.try_divide(F.col("_s"), F.col("_c"))
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), F.col("_c")) - shift * shift))
-    fit = F.struct((F.col("level") + shift).alias("mean"), F.greatest(F.lit(SD_FLOOR), spread).alias("sd"))
-    return others.select(
-        F.struct(F.col(KEY).alias("k"), "fold").alias(KEY),
-        *[F.when(F.col("_c") >= m.min_rows, fit).alias(f"_fit{g}") for g, m in enumerate(models)],
+    by_key = solved.groupBy(KEY).agg(
+        F.map_from_entries(F.collect_list(F.expr(f"struct(fold, struct({fits}) AS fits)"))).alias("_fits")
     )
+    picked = [F.expr(f"_fits[fold]._fit{g} AS _fit{g}") for g in range(len(models))]
+    return folds.join(by_key, KEY, "left").select(*folds.columns, *picked)
+
+
+def _with_scaling_fits(folds: DataFrame, models: list) -> DataFrame:
+    """Fold rows with ``_fit0, _fit1, …`` for models that only need mean and deviation.
+
+    Sums over the other folds are those of the key minus those of the fold, taken
+    around the mean of the key to keep the subtraction exact.
+    """
+    centred = folds.withColumn("_level", F.expr(f"avg(y) {over()}")).withColumn("_c", F.expr("y - _level"))
+    rest = {
+        name: F.expr(f"sum({value}) {over()} - sum({value}) {over(keys=BY_FOLD)}")
+        for name, value in {"_k": "1", "_s": "_c", "_q": "_c * _c"}.items()
+    }
+    shift = "try_divide(_s, _k)"
+    spread = f"sqrt(greatest(0D, try_divide(_q, _k) - {shift} * {shift}))"
+    fit = f"struct(_level + {shift} AS mean, greatest({SD_FLOOR}D, {spread}) AS sd)"
+    fits = [F.expr(f"CASE WHEN _k >= {m.min_rows} THEN {fit} END AS _fit{g}") for g, m in enumerate(models)]
+    return centred.withColumns(rest).select(*folds.columns, *fits)
 
 
 def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
@@ -65,22 +75,21 @@ def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = Fal
     one more aggregate column, so rows are not multiplied by the grid.
     """
     k = clamp_value(k, "folds")
-    folds = cv_folds(with_position(series).where(F.col("n") >= 2 * k), k, shuffle, seed)
-    longest = max(m.window for m in models)
-    windows = validation_rows(folds).select(KEY, "i", "y", *lagged(longest))
-    lags = lag_names(longest)
-    scored = (
-        windows.join(_fold_fits(folds, models, k), KEY, "left")
-        .groupBy(KEY)
-        .agg(*[
-            mape(F.when(F.col("i") >= m.window, m.one_step(lags, f"_fit{g}")), F.col("y")).alias(f"_m{g}")
-            for g, m in enumerate(models)
-        ])
+    folds = cv_folds(with_position(series).where(F.col("n") >= 2 * k), k, shuffle, seed).select(
+        KEY, "ds", "y", "n", "o", "fold", "fold_start"
     )
-    cells = F.array(*[F.struct(F.lit(g).alias("grid_id"), F.col(f"_m{g}").alias("mape")) for g in range(len(models))])
-    return scored.select(F.col(f"{KEY}.k").alias("_k"), F.col(f"{KEY}.fold").alias("fold"), F.explode(cells).alias("_c")).select(
-        F.col("_k").alias(KEY), "_c.grid_id", "fold", "_c.mape"
+    longest = max(m.window for m in models)
+    fitted = _with_ssa_fits(folds, models, k) if isinstance(models[0], SsaModel) else _with_scaling_fits(folds, models)
+    fits = [f"_fit{g}" for g in range(len(models))]
+    windows = fitted.select(
+        KEY, "fold", "y", (F.col("o") - F.col("fold_start")).alias("_at"), *fits, *lagged(longest, "o", BY_FOLD)
     )
+    scored = windows.groupBy(*BY_FOLD).agg(*[
+        mape(F.when(F.col("_at") >= m.window, m.one_step(lag_names(longest), fit)), F.col("y")).alias(f"_m{g}")
+        for g, (m, fit) in enumerate(zip(models, fits))
+    ])
+    cells = F.expr("array(" + ", ".join(f"struct({g} AS grid_id, _m{g} AS mape)" for g in range(len(models))) + ")")
+    return scored.select(KEY, "fold", F.explode(cells).alias("_cell")).select(KEY, "_cell.grid_id", "fold", "_cell.mape")
 
 
 def _with_parameters(scores: DataFrame, models: list) -> DataFrame:
