@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,13 @@ def forecast_run(series: DataFrame, model="lookback", horizon: int = 14, share:
         last_values(F.col("i"), F.col("y"), fitted.window, F.col("n")).alias("window"),
     )
     return fitted.predict(params.drop("last_ds", "window").join(newest, KEY), horizon)
+
+
+def forecast_by_method(series: DataFrame, routing: DataFrame, models: dict, horizon: int = 14) -> DataFrame:
+    """Each key forecast by the model its ``method`` names in ``routing(series_key, method)``."""
+    placed = with_position(series).join(routing.select(KEY, "method"), KEY)
+    parts = []
+    for method, model in models.items():
+        rows = placed.where(F.col("method") == method).drop("method")
+        parts.append(model.predict(model.fit(rows), check_horizon(horizon)))
+    return reduce(DataFrame.unionByName, parts)

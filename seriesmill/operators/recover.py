@@ -89,6 +89,16 @@ def prediction_rows(series: DataFrame, error_type: str) -> DataFrame:
     return series
 
 
+def retry_prediction(series: DataFrame, error_type: str, model, horizon: int = 1) -> DataFrame:
+    """Forecast after a failed prediction, from newly fitted parameters.
+
+    ``invalid_values`` fits and predicts on the valid rows; ``not_fitted`` fits on
+    the newest 30 rows.  A key without usable rows gives no forecast.
+    """
+    rows = with_position(prediction_rows(series.select(KEY, "ds", "y"), error_type))
+    return model.predict(model.fit(rows), horizon)
+
+
 def error_statistics(reports: DataFrame) -> DataFrame:
     """Attempts per error class: ``open_attempts`` counts unrecovered ones only."""
     return reports.groupBy("error_type").agg(

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import inventory
 from seriesmill.operators.evaluate import error_summary
-from seriesmill.operators.forecast_run import forecast_run
+from seriesmill.operators.forecast_run import forecast_by_method, forecast_run
 from seriesmill.operators.models import DecomposeModel, LookbackModel, SsaModel, WeightedModel, ensemble_forecast
 from seriesmill.operators.models.base import UserModel
 from seriesmill.operators.models.ensemble import ensemble_evaluate
 from seriesmill.operators.models.lookback import one_step_predictions
+from seriesmill.operators.recover import retry_prediction
 from seriesmill.operators.series import forecast_errors
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.series import DECOMPOSE_FORECAST, DECOMPOSED
@@ -90,6 +91,18 @@ def _run(model):
     return lambda t: model.predict(model.fit(t.brand_filled()), HORIZON)
 
 
+_ODD_BRAND = "CAST(split_part(series_key, '#', 2) AS INT) % 2 = 1"
+
+
+def _routed(t: Tables):
+    """Odd brand numbers by decomposition, even ones by lookback."""
+    odd = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int") % 2 == 1
+    routing = t.table("part").select(
+        F.col("p_brand").alias("series_key"), F.when(odd, "Standard").otherwise("Advanced").alias("method")
+    ).distinct()
+    return forecast_by_method(t.brand_filled(), routing, {"Standard": DecomposeModel(), "Advanced": LookbackModel()}, HORIZON)
+
+
 def _members():
     return [DecomposeModel(), WeightedModel(), LookbackModel()]
 
@@ -173,6 +186,22 @@ QUERIES = [
             select="SELECT * FROM ssa_forecast", recursive=True,
         ),
     ),
+    Query(
+        "forecast_by_method", FORECAST_COLUMNS, _routed,
+        with_(
+            BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, fit_sql("fit"), lookback_sql("fit"),
+            select=f"""SELECT * FROM forecast WHERE {_ODD_BRAND} UNION ALL
+                       SELECT * FROM look_forecast WHERE NOT ({_ODD_BRAND})""",
+            recursive=True,
+        ),
+    ),
+    Query(
+        "predict_after_refit", FORECAST_COLUMNS,
+        lambda t: retry_prediction(t.brand_filled(), "not_fitted", LookbackModel(), HORIZON),
+        with_(
+            BRAND, FILLED, fit_sql("fit", "i >= n - 30"), lookback_sql("fit"), select="SELECT * FROM look_forecast", recursive=True,
+        ),
+    ),
     Query(
         "one_step_eval", "series_key ds:d y:r yhat:r",
         lambda t: one_step_predictions(LookbackModel(), LookbackModel().fit(t.brand_filled()), t.brand_filled()),

@@ -78,6 +78,20 @@ def _split(t: Tables):
     ).where(F.col("ds").isNotNull())
 
 
+def _split_sales(t: Tables):
+    names = [_SALES_COLUMNS.get(c, "ds") for c in csv.SPLIT_LAYOUTS["sales"]]
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in names])
+    return csv.parse_split_table(t.sales().select(line.alias("value")), "sales")
+
+
+def _archived(t: Tables):
+    path = scratch_path(t.spark, "archive")
+    good, _ = csv.parse_demand(raw_text(t))
+    for stamp in ("2024-01-01T000000", "2024-01-02T000000"):
+        csv.archive_import(good, path, stamp)
+    return t.spark.read.parquet(path).groupBy("imported_at").agg(F.count(F.lit(1)).alias("rows"), F.sum("sales").alias("sales"))
+
+
 def _csv_round_trip(t: Tables):
     path = scratch_path(t.spark, "demand-csv")
     table = t.supplier().select(F.col("series_key").alias("Store"), F.col("ds").alias("DATE"), F.col("y").alias("sales"))
@@ -175,6 +189,19 @@ QUERIES = [
         lambda t: csv.parse_sales(sales_text(t).drop("Sales", "Customers"), scoring=True),
         with_(SALES, select="SELECT * REPLACE (0 AS sales, 0 AS customers) FROM sales"),
     ),
+    Query(
+        "split_sales_scan", "store_id:i ds:d sales:r customers:i open:i promo:i state_holiday school_holiday:i",
+        _split_sales, with_(SALES, select="SELECT * FROM sales"),
+    ),
+    Query(
+        "import_archive", "imported_at rows:i sales:r", _archived,
+        with_(
+            RAW,
+            select="""SELECT imported_at, count(*) AS "rows", sum(sales) AS sales FROM typed
+                      CROSS JOIN (VALUES ('2024-01-01T000000'), ('2024-01-02T000000')) v(imported_at)
+                      WHERE ds IS NOT NULL AND sales IS NOT NULL GROUP BY 1""",
+        ),
+    ),
     Query(
         "file_routing", "url is_store_file:b",
         lambda t: t.table("pages").select("url", csv.is_store_file(F.col("url")).alias("is_store_file")),

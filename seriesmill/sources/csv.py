@@ -77,6 +77,8 @@ def parse_demand(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_demand(spark: SparkSession, path: str) -> DataFrame:
+    """Accepted rows of a demand file or folder; see ``parse_demand`` for the rejects."""
+    require_paths(spark, path)
     return parse_demand(read_text_table(spark, path))[0]
 
 
@@ -125,6 +127,24 @@ def parse_split_lines(lines: DataFrame, names: list[str], min_fields: int, value
     )
 
 
+# Columns of the plain files in order, by kind; all must be present.
+SPLIT_LAYOUTS = {
+    "store": (
+        "Store", "StoreType", "Assortment", "CompetitionDistance", "CompetitionOpenSinceMonth",
+        "CompetitionOpenSinceYear", "Promo2", "Promo2SinceWeek", "Promo2SinceYear", "PromoInterval",
+    ),
+    "sales": ("Store", "DayOfWeek", "Date", "Sales", "Customers", "Open", "Promo", "StateHoliday", "SchoolHoliday"),
+    "scoring": ("Id", "Store", "DayOfWeek", "Date", "Open", "Promo", "StateHoliday", "SchoolHoliday"),
+}
+
+
+def parse_split_table(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
+    """Unquoted lines of a store, sales or scoring file (header already removed)."""
+    layout = SPLIT_LAYOUTS[kind]
+    raw = parse_split_lines(lines, list(layout), len(layout), value)
+    return parse_store(raw) if kind == "store" else parse_sales(raw, scoring=kind == "scoring")
+
+
 def load_sales_folder(spark: SparkSession, folder: str, scoring: bool = False) -> DataFrame:
     """Sales (or scoring) rows of a folder with their store columns."""
     fact = f"{folder.rstrip('/')}/{TEST_FILE if scoring else TRAIN_FILE}"
