@@ -14,16 +14,17 @@ Z = 1.96
 
 def decompose(series: DataFrame, window: int = 7, period: int = PERIOD) -> DataFrame:
     """Rows ``key, ds, y, trend, seasonal, residual``; trend + seasonal + residual = y."""
-    placed = with_position(series).withColumn("trend", moving_average(window))
+    placed = with_position(series)
     # Row by row, so plain columns instead of array functions keep it in generated code.
-    sums = [f"sum(CASE WHEN i % {period} = {p} THEN y ELSE 0D END) {over()} AS _s{p}" for p in range(period)]
+    whole = over("i")[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    sums = [f"sum(CASE WHEN i % {period} = {p} THEN y ELSE 0D END) {whole} AS _s{p}" for p in range(period)]
     means = [
         f"coalesce(try_divide(_s{p}, floor((n - {p} + {period - 1}) / {period})), 0D) AS _m{p}" for p in range(period)
     ]
     names = [f"_m{p}" for p in range(period)]
     seasonal = f"array({', '.join(names)})[i % {period}] - ({' + '.join(names)}) / {period}"
     return (
-        placed.selectExpr("*", *sums)
+        placed.select("*", moving_average(window).alias("trend"), *[F.expr(s) for s in sums])
         .selectExpr(KEY, "ds", "i", "y", "trend", *means)
         .selectExpr(KEY, "ds", "i", "y", "trend", f"{seasonal} AS seasonal")
         .withColumn("residual", F.expr("y - (trend + seasonal)"))

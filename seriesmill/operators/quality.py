@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.parsing import nan_to_null
-from seriesmill.operators.series import KEY, by_key, in_order
+from seriesmill.operators.series import KEY, in_order
 
 MIN_ROWS = 30
 MAX_MISSING_SHARE = 0.1
@@ -29,51 +29,42 @@ def is_valid():
     return F.coalesce(nan_to_null(F.col("y")) >= 0, F.lit(False))
 
 
-def key_statistics(rows: DataFrame) -> DataFrame:
-    """Counts, date gaps, mean and deviation per key, all from one pass over the rows.
+def value_statistics(rows: DataFrame) -> DataFrame:
+    """Counts, mean and deviation per key: one map-side combined aggregate."""
+    return _clean(rows).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.count_if(F.col("y") < 0).alias("negative_values"),
+        F.avg("y").alias("mean"),
+        F.stddev_samp("y").alias("sd"),
+    )
+
 
-    Rows are combined to one per key and day on the map side; what follows works
-    on days.  The deviation is merged from the spread within and between days.
+def day_statistics(rows: DataFrame) -> DataFrame:
+    """Missing values and date gaps per key.
+
+    Gaps are neighbouring rows by date that are not one day apart; a repeated day
+    is one for each repeat, so the days and how often each occurs are enough.
     """
     days = _clean(rows).groupBy(KEY, "ds").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(F.col("y").isNull() | (F.col("y") < 0)).alias("_missing"),
-        F.count_if(F.col("y") < 0).alias("_negative"),
-        F.count("y").alias("_c"),
-        F.avg("y").alias("_m"),
-        F.var_pop("y").alias("_v"),
     )
-    placed = days.withColumns({
-        "_jump": F.coalesce(F.datediff(F.col("ds"), F.lag("ds").over(in_order())) != 1, F.lit(False)).cast("long"),
-        "_mean": F.try_divide(F.sum(F.expr("_c * _m")).over(by_key()), F.sum("_c").over(by_key())),
-    })
-    return (
-        placed.groupBy(KEY)
-        .agg(
-            F.sum("_rows").alias("total_records"),
-            F.sum("_missing").alias("missing_values"),
-            F.sum("_negative").alias("negative_values"),
-            # a repeated day is a gap for each repeat
-            F.expr("sum(_jump) + sum(_rows - 1)").alias("date_gaps"),
-            F.max("_mean").alias("mean"),
-            F.expr("sum(_c * (_v + (_m - _mean) * (_m - _mean)))").alias("_ss"),
-            F.sum("_c").alias("_n"),
-        )
-        .withColumn("sd", F.sqrt(F.try_divide("_ss", F.col("_n") - 1)))
-        .drop("_ss", "_n")
+    jump = F.coalesce(F.datediff(F.col("ds"), F.lag("ds").over(in_order())) != 1, F.lit(False))
+    return days.withColumn("_jump", jump.cast("long")).groupBy(KEY).agg(
+        F.sum("_missing").alias("missing_values"), F.expr("sum(_jump) + sum(_rows - 1)").alias("date_gaps")
     )
 
 
 def date_gaps(rows: DataFrame) -> DataFrame:
     """Per key: neighbouring rows by date that are not one day apart."""
-    return key_statistics(rows).select(KEY, "date_gaps")
+    return day_statistics(rows).select(KEY, "date_gaps")
 
 
-def with_zscore(rows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def with_zscore(rows: DataFrame) -> DataFrame:
     """Each row with the mean and deviation of its key and its absolute z-score."""
-    stats = key_statistics(rows) if stats is None else stats
     z = F.abs(F.try_divide(F.col("y") - F.col("mean"), F.col("sd")))
-    return _clean(rows).join(stats.select(KEY, "mean", "sd"), KEY).withColumn("zscore", z)
+    stats = value_statistics(rows).select(KEY, "mean", "sd")
+    return _clean(rows).join(stats, KEY).withColumn("zscore", z)
 
 
 def anomalies(rows: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
@@ -96,10 +87,11 @@ def gap_rows(series: DataFrame) -> DataFrame:
     )
 
 
-def value_ranges(rows: DataFrame, limit: float = Z_LIMIT, stats: DataFrame | None = None) -> DataFrame:
+def value_ranges(rows: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
     """Per key: negative rows, and rows above ``mean + limit * sd``."""
-    marked = with_zscore(rows, stats).withColumn("upper_limit", F.col("mean") + limit * F.col("sd"))
+    marked = with_zscore(rows).withColumn("upper_limit", F.col("mean") + limit * F.col("sd"))
     return marked.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("total_records"),
         F.count_if(F.col("y") < 0).alias("negative_values"),
         F.count_if(F.col("y") > F.col("upper_limit")).alias("oversize_values"),
         F.count_if(F.col("zscore") > limit).alias("anomalies"),
@@ -118,8 +110,7 @@ def quality_report(
     The anomalous rows are a table of their own (``anomalies``), joined by key,
     since a key may have any number of them.
     """
-    stats = key_statistics(rows)
-    joined = stats.join(value_ranges(rows, z_limit, stats).drop("negative_values"), KEY)
+    joined = value_ranges(rows, z_limit).join(day_statistics(rows), KEY)
     share = F.try_divide(F.col("missing_values"), F.col("total_records"))
     too_short = F.col("total_records") < min_rows
     too_many = share > max_missing

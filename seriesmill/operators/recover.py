@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators.models.base import get_model
 from seriesmill.operators.quality import MIN_VALID_SHARE, is_valid
-from seriesmill.operators.series import KEY, by_key, recent_n, with_position
+from seriesmill.operators.series import KEY, recent_n, with_position
 
 # Error class -> what is tried.
 TRAINING_ACTIONS = {
@@ -27,8 +27,8 @@ def diagnose(series: DataFrame, min_rows: int, max_rows: int | None = None) -> D
     tenth of them, all rows, or the newest 1000.  One window pass over the daily
     series decides everything, so no second scan is needed.
     """
-    whole = by_key()
     newest = Window.partitionBy(KEY).orderBy(F.desc("ds"))
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = series.select(
         KEY, "ds", "y",
         is_valid().alias("_ok"),

@@ -23,6 +23,11 @@ def in_order(order: str = "ds") -> Window:
     return Window.partitionBy(KEY).orderBy(order)
 
 
+def all_rows(order: str = "ds") -> Window:
+    """The whole key, but on the ordered window, so that one window pass serves both."""
+    return in_order(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Column, agg=F.sum) -> DataFrame:
     """One row per key and day; partial sums are combined on the map side."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -44,8 +49,7 @@ def fill_gaps(series: DataFrame, fill: float = 0.0) -> DataFrame:
     emits itself and the empty days up to the next one, so no calendar is
     joined and the only shuffle is the one by key.
     """
-    w = in_order()
-    whole = by_key()
+    w, whole = in_order(), all_rows()
     spread = series.select(
         KEY, "ds", "y",
         F.lead("ds").over(w).alias("_next"),
@@ -71,7 +75,7 @@ def with_position(series: DataFrame) -> DataFrame:
         return series
     return series.withColumns({
         "i": (F.row_number().over(in_order()) - 1).cast("int"),
-        "n": F.count(F.lit(1)).over(by_key()).cast("int"),
+        "n": F.count(F.lit(1)).over(all_rows()).cast("int"),
     })
 
 

@@ -115,10 +115,9 @@ def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) ->
     variances.  The same row serves every shorter window.
     """
     w = over("i", keys)
-    relative = series.withColumn(
-        "_base", F.expr(f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    ).withColumn("_c", F.expr("y - _base"))
-    products = [f"coalesce(_c * lag(_c, {d}) {w}, 0D) AS _p{d}" for d in range(1, window)]
+    base = f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _base"
+    before = [f"lag(y, {d}) {w} AS _b{d}" for d in range(1, window)]
+    products = [f"coalesce((y - _base) * (_b{d} - _base), 0D) AS _p{d}" for d in range(1, window)]
     edge = window - 1
 
     def values(test: str, value: str) -> str:
@@ -126,7 +125,8 @@ def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) ->
         return f"transform(array_sort({pairs}), p -> p.v)"
 
     return (
-        relative.selectExpr(*keys, "i", "n", "y", "ds", "_base", "_c", "_c * _c AS _p0", *products)
+        series.selectExpr(*keys, "i", "n", "y", "ds", base, *before)
+        .selectExpr(*keys, "i", "n", "y", "ds", "_base", "y - _base AS _c", "(y - _base) * (y - _base) AS _p0", *products)
         .groupBy(*keys)
         .agg(
             F.max("n").alias("n"),
