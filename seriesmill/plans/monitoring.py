@@ -80,9 +80,13 @@ def _stream_daily(t: Tables):
 
 
 def _as_stream(t: Tables, df, label: str):
-    """Write a batch table to the shared folder and read it back as a stream."""
+    """Write a batch table to the shared folder and read it back as a stream.
+
+    All days of a key go to one file, so they arrive in one micro-batch however
+    many files a trigger takes; spread over files they could come out of order.
+    """
     path = scratch_path(t.spark, label)
-    df.write.parquet(path)
+    df.repartition("series_key").write.parquet(path)
     return file_stream(t.spark, path, df, per_trigger=64)
 
 
