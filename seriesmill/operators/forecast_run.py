@@ -30,9 +30,18 @@ def forecast_run(series: DataFrame, model="lookback", horizon: int = 14, share:
     return fitted.predict(params.drop("last_ds", "window").join(newest, KEY), horizon)
 
 
-def forecast_by_method(series: DataFrame, routing: DataFrame, models: dict, horizon: int = 14) -> DataFrame:
-    """Each key forecast by the model its ``method`` names in ``routing(series_key, method)``."""
-    placed = with_position(series).join(routing.select(KEY, "method"), KEY)
+def forecast_by_method(
+    series: DataFrame, routing: DataFrame, models: dict, horizon: int = 14, default: str | None = None
+) -> DataFrame:
+    """Each key forecast by the model its ``method`` names in ``routing(series_key, method)``.
+
+    Keys that are not routed, or name none of ``models``, take the ``default``
+    method; without one they are left out.
+    """
+    if default is not None and default not in models:
+        raise ValueError(f"unknown default method {default!r}")
+    known = F.when(F.col("method").isin(list(models)), F.col("method")).otherwise(F.lit(default))
+    placed = with_position(series).join(routing.select(KEY, "method"), KEY, "left").withColumn("method", known)
     parts = []
     for method, model in models.items():
         rows = placed.where(F.col("method") == method).drop("method")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 DEFAULT_VERSION = "1.0"
+TAG = "version_tag"
 
 
 def save_model(
@@ -24,31 +25,26 @@ def save_model(
         "created": stamp,
     })
     # One folder per model: models differ in their parameter columns.
-    row.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(
+    # The "v" keeps a version such as 1.10 from being read back as a number.
+    row.withColumn(TAG, F.concat(F.lit("v"), F.lit(version))).write.mode("append").partitionBy(TAG).parquet(
         f"{path.rstrip('/')}/model_name={name}"
     )
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    location = f"{path.rstrip('/')}/model_name={name}"
-    # Partition values stay text: "1.0" must not become a number.
-    previous = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        return spark.read.parquet(location)
+        return spark.read.parquet(f"{path.rstrip('/')}/model_name={name}")
     except AnalysisException as error:
         raise FileNotFoundError(f"no model {name!r} below {path}") from error
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", previous)
 
 
 def load_model(spark: SparkSession, path: str, name: str, version: str = DEFAULT_VERSION) -> DataFrame:
     """Parameter rows of one version; only its partition is read."""
-    rows = _read(spark, path, name).where(F.col("version") == version)
+    rows = _read(spark, path, name).where(F.col(TAG) == f"v{version}")
     if rows.isEmpty():
         raise FileNotFoundError(f"no version {version} of model {name!r} below {path}")
-    return rows.withColumn("model", F.lit(name))
+    return rows.withColumns({"model": F.lit(name), "version": F.lit(version)}).drop(TAG)
 
 
 def model_versions(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return _read(spark, path, name).select("version").distinct()
+    return _read(spark, path, name).select(F.substring(TAG, 2, 1000).alias("version")).distinct()

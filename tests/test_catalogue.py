@@ -38,3 +38,20 @@ def test_query_agrees_with_sql(spark, db, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert ours == sorted(repr(tuple(row[i] for i in order)) for row in found.fetchall())
+
+
+def plan_of(spark, name):
+    return entry_point.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = plan_of(spark, "date_range")
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(l_ship" in plan and "LessThanOrEqual(l_ship" in plan  # text is cut
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in plan
+
+
+@pytest.mark.parametrize("name", ["forecast_decompose", "forecast_wma", "forecast_ssa", "cross_validate", "recover_failed"])
+def test_two_shuffles_after_the_part_lookup(spark, name):
+    plan = plan_of(spark, name)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -230,3 +230,39 @@ def test_user_model_reports_failing_keys(make):
     good, bad = UserModel("const", fn, level=3.0).run(make({"a": NOISE, "b": NOISE[:4]}), 2)
     assert [(r.series_key, r.step, r.yhat) for r in good.orderBy("step").collect()] == [("a", 1, 3.0), ("a", 2, 3.0)]
     assert [(r.series_key, r.error_type, r.message) for r in bad.collect()] == [("b", "ValueError", "too few rows")]
+
+
+def test_routing_by_method(make, spark):
+    from seriesmill.operators.forecast_run import forecast_by_method
+
+    data = make({"a": NOISE, "b": NOISE, "c": NOISE, "d": NOISE})
+    routing = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "odd")], "series_key string, method string")
+    models = {"x": DecomposeModel(), "y": WeightedModel()}
+    rows = forecast_by_method(data, routing, models, 2, default="y").where("step = 1").collect()
+    assert {r.series_key: r.model for r in rows} == {"a": "decompose", "b": "wma", "c": "wma", "d": "wma"}
+    assert forecast_by_method(data, routing, models, 2).count() == 4
+    with pytest.raises(ValueError):
+        forecast_by_method(data, routing, models, 2, default="z")
+
+
+def test_retried_prediction(make):
+    from seriesmill.operators.recover import retry_prediction
+
+    data = make({"k": NOISE, "dirty": [-1] * 5 + NOISE[:60], "bad": [-1] * 40})
+    refit = retry_prediction(data.where("series_key = 'k'"), "not_fitted", LookbackModel(), 3).orderBy("step").collect()
+    assert [r.yhat for r in refit] == pytest.approx(loops.lookback_forecast(NOISE[-30:], 3))
+    cleaned = retry_prediction(data, "invalid_values", LookbackModel(), 1)
+    got = {r.series_key: r.yhat for r in cleaned.collect()}
+    assert set(got) == {"k", "dirty"} and got["dirty"] == pytest.approx(loops.lookback_forecast(NOISE[:60], 1)[0])
+
+
+def test_result_does_not_depend_on_partitions(spark, make):
+    data, model = make(SERIES), SsaModel(5, 2)
+    want = {(r.series_key, r.step): r.yhat for r in model.predict(model.fit(data), 3).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        got = {(r.series_key, r.step): r.yhat for r in model.predict(model.fit(data.repartition(9)), 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == pytest.approx(want)

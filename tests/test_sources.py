@@ -117,3 +117,15 @@ def test_market_documents(spark):
     assert [(r.symbol, float(r.price), r.change) for r in got.collect()] == [("Energy", 0.0, "1%"), ("Tech", 0.0, "0%")]
     row = spark.range(1).select(market.indicator(F.lit("k"), F.lit("1"), F.lit("2%"), F.lit("-3")).alias("i")).first().i
     assert (row.key, row.impact) == ("k", "Negative")
+
+
+def test_split_tables(spark):
+    def table(kind, *lines):
+        return csv.parse_split_table(spark.createDataFrame([(x,) for x in lines], "value string"), kind).collect()
+
+    store = table("store", "1,a,b,,9,2008,1,,2010,Jan", "2,a,b,5", "x,a,b,,9,2008,1,,2010,Jan")
+    assert [(r.store_id, r.competition_distance, r.promo2, r.promo2_since_week) for r in store] == [(1, None, 1, None)]
+    sales = table("sales", "3,5,2015-07-31,12.5,4,1,0,a,1", "3,5,2015-07-31,12.5")
+    assert [(r.store_id, r.sales, r.customers, r.state_holiday) for r in sales] == [(3, 12.5, 4, "a")]
+    scoring = table("scoring", "77,3,4,2015-09-17,1,1,0,0")
+    assert [(r.store_id, str(r.ds), r.sales, r.open) for r in scoring] == [(3, "2015-09-17", 0.0, 1)]
