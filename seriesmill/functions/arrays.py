@@ -27,11 +27,6 @@ def last_values(index: Column, y: Column, count: Column | int, n: Column) -> Col
     return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
-def first_values(index: Column, y: Column, count: int) -> Column:
-    pairs = F.collect_list(F.when(index < count, F.struct(index.alias("i"), y.alias("v"))))
-    return F.transform(F.array_sort(pairs), lambda p: p["v"])
-
-
 def roll_forward(window: Column, horizon: int, step: Callable[[Column], Column]) -> Column:
     """Feed ``step(window)`` back into the window ``horizon`` times; array of the steps."""
     start = F.struct(window.alias("w"), F.expr("cast(array() as array<double>)").alias("out"))

@@ -24,10 +24,5 @@ def mae(predicted: Column, actual: Column) -> Column:
     return F.avg(F.abs(actual - predicted))
 
 
-def sample_sd(value: Column) -> Column:
-    """Sample deviation, 0 for a single value."""
-    return F.coalesce(F.stddev_samp(value), F.lit(0.0))
-
-
 def drift(recent_mean: Column, older_mean: Column) -> Column:
     return F.abs(F.try_divide(recent_mean - older_mean, older_mean))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import quality as q
 from seriesmill.plans.base import Query, with_
-from seriesmill.plans.tables import SIGNED, SUPPLIER, Tables
+from seriesmill.plans.tables import SIGNED, SUPPLIER
 
 STATS = """
 stats AS (SELECT series_key, count(*) AS total_records, count(*) FILTER (y < 0) AS negative_values, avg(y) AS mean,

@@ -22,9 +22,7 @@ def _sorted(t: Tables):
 
 def _date_range(t: Tables):
     # The range test sits on the bare scan column and reaches the Parquet reader.
-    lines = t.table("lineitem").where(
-        F.col("l_shipdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz"))
-    )
+    lines = s.between_dates(t.table("lineitem"), "1996-01-01", "1996-12-31", "l_shipdate")
     return s.to_series(lines, "l_suppkey", "l_shipdate", "l_quantity")
 
 

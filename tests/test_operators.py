@@ -62,6 +62,15 @@ def test_split_and_short_series(make):
     assert values(short, "n") == {"j": 2} and long_enough.select("series_key").distinct().count() == 1
 
 
+def test_recent_part_or_tail(make):
+    data = make({"k": range(10), "one": [4]})
+    assert sorted(r.y for r in series.recent_or_tail(data).where("series_key = 'k'").collect()) == [8.0, 9.0]
+    whole = series.recent_or_tail(data, share=1.0, tail=3)
+    assert sorted((r.series_key, r.y) for r in whole.collect()) == [("k", 7.0), ("k", 8.0), ("k", 9.0), ("one", 4.0)]
+    cut = series.between_dates(data, "2024-01-02", "2024-01-03")
+    assert sorted(r.y for r in cut.collect()) == [1.0, 2.0]
+
+
 def test_future_spine_and_sortedness(make, spark):
     last = spark.createDataFrame([("k", dt.date(2024, 2, 28))], "series_key string, last_ds date")
     days = [r.ds.isoformat() for r in series.future_spine(last, 3).orderBy("step").collect()]
