@@ -23,7 +23,47 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import toxicity as T
+    from seriesmill.llm.sampling import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    weights = T.fit(labels.where(~held_out("id")), docs.withColumnRenamed("doc_id", "id"))
+    return docs.select("doc_id", held_out().alias("held_out"), T.score(weights).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, the posterior of its votes, and the votes; no label is used."""
+    from seriesmill.llm import weak_quality as Q
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, patterns, scorer = Q.fit(docs.withColumnRenamed("doc_id", "id"))
+    posteriors = spark.createDataFrame(
+        [(list(map(int, k)), float(p)) for k, p in zip(patterns["key"], patterns["posterior"])], "votes array<int>, posterior double"
+    ) if len(patterns) else spark.createDataFrame([], "votes array<int>, posterior double")
+    scored = Q.with_votes(docs.withColumn("score", Q.score(scorer))).drop("text")
+    return scored.join(F.broadcast(posteriors), "votes", "left").select(
+        "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= 0.5).alias("kept"), "posterior", "votes")
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import langid
+    from seriesmill.llm.sampling import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = docs.where(~held_out()).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    model = langid.fit(labels, docs.select(F.col("doc_id").alias("id"), "text"))
+    return docs.select("doc_id", held_out().alias("held_out"), langid.predict(model).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity,
+    "op2_quality": quality,
+    "op8_language": language,
     "op9_quality_rules": quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
