@@ -60,9 +60,17 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import circulant_minhash as M
+
+    found = M.near_duplicates(_table(spark, sf_dir, "documents"), M.Settings(shingle=2))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
+    "op3_near_dedup": near_dedup,
     "op8_language": language,
     "op9_quality_rules": quality_rules,
 }
