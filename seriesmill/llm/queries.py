@@ -78,11 +78,18 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.items_sha256(f"{c}.items").alias("items_sha256"), f"{c}.contaminated")
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import packing as P
+
+    return P.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
     "op3_near_dedup": near_dedup,
     "op4_decontamination": decontamination,
+    "op7_packing": packing,
     "op8_language": language,
     "op9_quality_rules": quality_rules,
 }
