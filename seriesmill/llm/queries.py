@@ -84,6 +84,12 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import wavelet
+
+    return wavelet.round_trip(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": packing,
     "op8_language": language,
     "op9_quality_rules": quality_rules,
+    "op10_token_files": token_files,
 }
 _WORDS_4 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 

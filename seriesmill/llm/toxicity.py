@@ -32,7 +32,7 @@ class Settings:
     epochs: int = 6
     min_rows: int = 3  # features in fewer sampled rows are left out
     positive_weight: float = 2.0  # label 1 is the rarer class
-    max_labelled: int = 12_000
+    max_labelled: int = 10_000
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def ftrl(rows: list[tuple[int, np.ndarray]], settings: Settings) -> Weights:
     """Weights after ``epochs`` passes over ``(label, keys)`` rows; every feature has its own rate."""
     known, counts = np.unique(np.concatenate([keys for _, keys in rows]), return_counts=True)
     known = known[counts >= settings.min_rows]
-    coded = []
+    coded: list[tuple[int, np.ndarray]] = []
     for label, keys in rows:
         at = np.searchsorted(known, keys)
         at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == keys)] if len(known) else at[:0]
@@ -136,11 +136,11 @@ def fit(labels: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     rows = sample.mapInArrow(_feature_rows, "label int, keys array<int>")
 
     def learn(frames):
-        seen = [(int(label), np.asarray(keys, dtype=np.int64)) for f in frames for label, keys in zip(f["label"], f["keys"])]
+        seen = [(int(label), np.asarray(keys, dtype=np.int32)) for f in frames for label, keys in zip(f["label"], f["keys"])]
         positive = sum(label for label, _ in seen)
         if 0 < positive < len(seen):
             # Order by content: rows arrive in any order.
-            seen.sort(key=lambda r: (len(r[1]), int(r[1].sum()), r[0]))
+            seen.sort(key=lambda r: (len(r[1]), int(r[1].sum(dtype=np.int64)), r[0]))
             found = ftrl(seen, settings)
         else:
             share = (positive + 0.5) / (len(seen) + 1)
