@@ -90,11 +90,21 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of repeated line runs, and the lines and characters that went."""
+    from seriesmill.llm import line_runs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("before"))
+    return line_runs.dedup_lines(docs).select(
+        "doc_id", "text", "lines_deleted", (F.col("before") - F.length("text")).cast("long").alias("chars_deleted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
     "op3_near_dedup": near_dedup,
     "op4_decontamination": decontamination,
+    "op5_line_dedup": line_dedup,
     "op7_packing": packing,
     "op8_language": language,
     "op9_quality_rules": quality_rules,
@@ -117,4 +127,19 @@ named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    # Windows of lines are compared as text: the shortest run of 50 words from each line on, and up to each line.
+    "op5_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, i, len(regexp_extract_all(x[i], '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM l),
+f AS (SELECT a.doc_id, a.i AS low, min(b.i) AS high FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY ALL),
+g AS (SELECT a.doc_id, max(b.i) AS low, a.i AS high FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.c - b.c + b.w >= 50 GROUP BY a.doc_id, a.i),
+r AS (SELECT doc_id, low, high, array_to_string(list_slice(x, low, high), chr(10)) AS key, high - low AS n
+      FROM (SELECT * FROM f UNION SELECT * FROM g) JOIN d USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY key, n ORDER BY doc_id, low) AS k FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS i FROM o WHERE k > 1),
+kept AS (SELECT doc_id, coalesce(string_agg(x[i], chr(10) ORDER BY i) FILTER (WHERE gone.doc_id IS NULL), '') AS text, count(gone.doc_id) AS n
+         FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d) p LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, kept.text, CAST(coalesce(n, 0) AS BIGINT) AS lines_deleted, CAST(length(d.text) - length(kept.text) AS BIGINT) AS chars_deleted
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
