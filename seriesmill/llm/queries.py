@@ -99,12 +99,20 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lines_deleted", (F.col("before") - F.length("text")).cast("long").alias("chars_deleted"))
 
 
+def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import tagpath
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", tagpath.main_text().alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
     "op3_near_dedup": near_dedup,
     "op4_decontamination": decontamination,
     "op5_line_dedup": line_dedup,
+    "op6_extraction": extraction,
     "op7_packing": packing,
     "op8_language": language,
     "op9_quality_rules": quality_rules,
