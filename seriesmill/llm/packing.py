@@ -149,7 +149,7 @@ def pack(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     shared = df.sparkSession.sparkContext.broadcast(rows)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["length", "task"]).select(
+    ranked = pieces.join(before.hint("merge"), ["length", "task"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
