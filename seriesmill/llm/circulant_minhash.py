@@ -166,7 +166,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Sett
 
 
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: ``id, n_shingles, component_id, kept``.
+    """One row for each row of ``df``: ``id, th, n_shingles, component_id, kept`` (``th`` hashes the text).
 
     Texts with the same shingle set form a class, led by its smallest id.  In every band's bucket each class is
     compared with one leader; confirmed links make components.  Only buckets that then still hold several
@@ -208,6 +208,6 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), id_col: str
         found = stage(components(links.union(_links(later, classes, docs, settings))), "components")
 
     labels = classes.join(found, "id", "left").select("cls", F.coalesce("component_id", "id").alias("component_id"))
-    return signed.select("id", "n", "cls").join(labels, "cls", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+    return signed.select("id", "th", "n", "cls").join(labels, "cls", "left").select(
+        "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

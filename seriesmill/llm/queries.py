@@ -64,7 +64,7 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesmill.llm import circulant_minhash as M
 
     found = M.near_duplicates(_table(spark, sf_dir, "documents"), M.Settings(shingle=2))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.drop("th").withColumnRenamed("id", "doc_id")
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
