@@ -129,8 +129,8 @@ def fit(labels: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     """Learn from ``labels`` (``id, label`` 0/1) of ``docs`` (``id, text``).
 
     Features of the sample are made on the executors; one task, which sees at most ``max_labelled`` rows,
-    runs the online learner.  Only non-zero weights return.  Without any labelled text, or with one class
-    only, the weights are empty and the bias is the share of label 1 (0.5 without rows).
+    runs the online learner.  Only non-zero weights return.  With one class only, or without any labelled text,
+    there are no weights and every score is the smoothed share of label 1 (a quarter without rows).
     """
     sample = bounded_sample(labels, docs, settings.max_labelled)
     rows = sample.mapInArrow(_feature_rows, "label int, keys array<int>")
@@ -143,13 +143,13 @@ def fit(labels: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
             seen.sort(key=lambda r: (len(r[1]), int(r[1].sum(dtype=np.int64)), r[0]))
             found = ftrl(seen, settings)
         else:
-            share = (positive + 0.5) / (len(seen) + 1)
+            share = (positive + 0.5) / (len(seen) + 2)
             found = Weights(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0))
         yield pd.DataFrame({"key": np.append(found.keys, -1), "value": np.append(found.values, found.bias)})
 
     learned = rows.coalesce(1).mapInPandas(learn, "key long, value double").toPandas().sort_values("key")
     if learned.empty:
-        return Weights(0.0, np.zeros(0, np.int64), np.zeros(0))
+        return Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
     return Weights(float(learned["value"].iloc[0]), learned["key"].to_numpy()[1:], learned["value"].to_numpy()[1:])
 
 

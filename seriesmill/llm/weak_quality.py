@@ -82,7 +82,6 @@ def figures(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-@F.arrow_udf(", ".join(f"{f} long" for f in FIGURES))
 def _figures(texts: pa.Array) -> pa.Array:
     parts = [figures(block) for _, block in W.blocks(texts)]
     columns = [np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, np.int64) for f in FIGURES]
@@ -92,7 +91,8 @@ def _figures(texts: pa.Array) -> pa.Array:
 def with_votes(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``votes`` (array of int), one vote for each heuristic in order."""
     votes = F.expr("array(" + ", ".join(re.sub(r"\b(" + "|".join(FIGURES) + r")\b", r"__f.\1", rule) for rule in HEURISTICS.values()) + ")")
-    return df.withColumn("__f", _figures(F.col(text_col))).withColumn("votes", votes).drop("__f")
+    counted = F.arrow_udf(_figures, ", ".join(f"{f} long" for f in FIGURES))
+    return df.withColumn("__f", counted(F.col(text_col))).withColumn("votes", votes).drop("__f")
 
 
 def rate(patterns: pd.DataFrame, settings: Settings = Settings()) -> Rated:
