@@ -57,6 +57,11 @@ def step_value(value: float, steps, default: float) -> float:
     return next((result for threshold, result in steps if value >= threshold), default)
 
 
+def whole_up(value: Column) -> Column:
+    """Ceiling that takes a value within a millionth of a whole number for that number."""
+    return F.ceil(F.round(value, 6))
+
+
 def clamp(value: Column, parameter: str) -> Column:
     low, high = PARAMETER_LIMITS[parameter]
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
@@ -66,9 +71,12 @@ def clamp_components(components: Column, window: Column) -> Column:
     return F.greatest(F.lit(1), F.least(window, components))
 
 
-def clamp_value(value: int, parameter: str) -> int:
+def within_limits(value: int, parameter: str) -> int:
+    """The value itself; outside its limits an error.  Use ``clamp`` to choose the nearest limit instead."""
     low, high = PARAMETER_LIMITS[parameter]
-    return max(low, min(high, int(value)))
+    if not low <= value <= high:
+        raise ValueError(f"{parameter} must lie between {low} and {high}, not {value}")
+    return int(value)
 
 
 def method_for(alias: Column) -> Column:
@@ -84,7 +92,7 @@ def stock_status(stock: Column, safety_stock: Column, reorder_point: Column) ->
 
 def days_of_supply(stock: Column, lead_time_demand: Column, lead_time: Column | None = None) -> Column:
     days = F.lit(DEFAULT_LEAD_TIME_DAYS) if lead_time is None else lead_time
-    cover = F.ceil(F.try_divide(stock, lead_time_demand / days))
+    cover = whole_up(F.try_divide(stock, lead_time_demand / days))
     return F.when(lead_time_demand <= 0, F.lit(0)).otherwise(cover).cast("long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions import metrics
-from seriesmill.functions.lookups import clamp_value
+from seriesmill.functions.lookups import within_limits
 from seriesmill.operators.series import KEY, with_position
 
 
@@ -32,7 +32,7 @@ def cv_folds(series: DataFrame, k: int = 5, shuffle: bool = False, seed: int = 4
     Fold sizes differ by at most one, larger ones first, so the fold of a row is
     arithmetic on its position: contiguous folds need no window at all.
     """
-    k = clamp_value(k, "folds")
+    k = within_limits(k, "folds")
     placed = with_position(series)
     if shuffle:
         order = Window.partitionBy(KEY).orderBy(shuffle_rank(seed), "i")

@@ -13,13 +13,15 @@ from seriesmill.operators.series import KEY, train_test_split, with_position
 
 
 def forecast_run(series: DataFrame, model="lookback", horizon: int = 14, share: float = 0.8, **parameters) -> DataFrame:
-    """Windowed models: fit on the first ``share``, predict from the last values of all.
+    """Models that forecast from a window of values: fit on the first ``share``, predict from the last values of all.
 
-    The newest window is the recent part, topped up with training rows when the
+    Other models carry their level, so they are fitted on all rows.  The newest window is the recent part, topped up with training rows when the
     recent part is shorter than the window - which is the tail of the whole series.
     """
     check_horizon(horizon)
     fitted = get_model(model, **parameters) if isinstance(model, str) else model
+    if not fitted.rewindows:
+        return fitted.predict(fitted.fit(with_position(series)), horizon)
     marked = train_test_split(with_position(series), share)
     cut = F.floor(F.col("n") * F.lit(share)).cast("int")
     params = fitted.fit(marked.where(F.col("part") == "train").withColumn("n", cut))

@@ -46,7 +46,7 @@ def reorder_point(series: DataFrame, service_level: float = 0.95, lead_time: int
 
 def order_quantity(stock: Column, reorder: Column, lead_demand: Column) -> Column:
     """0 above the reorder point, else enough to return to it plus one lead time."""
-    return F.when(stock <= reorder, F.ceil(reorder + lead_demand - stock)).otherwise(0).cast("long")
+    return F.when(stock <= reorder, lookups.whole_up(reorder + lead_demand - stock)).otherwise(0).cast("long")
 
 
 def eoq(annual_demand: Column, order_cost: Column, holding_cost: Column) -> Column:

@@ -18,9 +18,17 @@ class Model(Protocol):
     """DataFrame in, DataFrame out; nothing runs until the result is used."""
 
     name: str
+    min_rows: int
+    rewindows: bool  # can fitted parameters forecast from another window of values?
+
+    def parameters(self) -> dict[str, str]:
+        """The model's settings as text."""
+
+    def skipped(self, series: DataFrame) -> DataFrame:
+        """Error rows of the keys that ``fit`` leaves out."""
 
     def fit(self, series: DataFrame) -> DataFrame:
-        """One parameter row per key that is long enough."""
+        """One parameter row per key that is long enough and has no missing value."""
 
     def predict(self, params: DataFrame, horizon: int) -> DataFrame:
         """Rows ``series_key, model, step, ds, yhat, lo, hi``."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
-from seriesmill.operators.series import KEY, with_position
+from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import PERIOD, centred, moving_average, over, position_means, position_sums
 
 Z = 1.96
@@ -40,6 +40,8 @@ class DecomposeModel:
     """
 
     name = "decompose"
+    rewindows = False
+    min_rows = 2
 
     def __init__(self, window: int = 7, period: int = PERIOD, align_phase: bool = False):
         if window <= 0:
@@ -59,14 +61,16 @@ class DecomposeModel:
             F.expr("sum((y - trend) * (y - trend)) AS _dd"),
             F.expr("sum(y) AS _y"),
             F.expr("sum(y - trend) AS _off"),
+            F.count_if(missing()).alias("_missing"),
         )
         sums = cells.groupBy(KEY).agg(
             *[F.max(c).alias(c) for c in ("n", "last_ds", "_t1", "_t2")],
             F.sum("_dd").alias("_dd"),
+            F.sum("_missing").alias("_missing"),
             position_sums("_y", period, "_p").alias("_s"),
             position_sums("_off", period, "_p").alias("_d"),
         )
-        profiled = sums.withColumn("_m", position_means("_s", period)).withColumn("profile", centred("_m", period))
+        profiled = sums.where("_missing = 0").withColumn("_m", position_means("_s", period)).withColumn("profile", centred("_m", period))
         count = f"floor((n - p + {period - 1}) / {period})"
 
         def over_positions(term: str) -> str:
@@ -85,6 +89,12 @@ class DecomposeModel:
             "sqrt(greatest(0D, (_rr - _r * _r / n) / (n - 1))) AS residual_sd",
         )
 
+    def parameters(self) -> dict[str, str]:
+        return {"window": str(self.window), "period": str(self.period), "align_phase": str(self.align_phase)}
+
+    def skipped(self, series: DataFrame) -> DataFrame:
+        return unusable(series, self.min_rows, self.name)
+
     def predict(self, params: DataFrame, horizon: int) -> DataFrame:
         phase = F.col("n") if self.align_phase else F.lit(0)
 

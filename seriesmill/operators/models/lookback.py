@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.arrays import dot, last_values, roll_forward
-from seriesmill.functions.lookups import clamp_value
+from seriesmill.functions.lookups import within_limits
 from seriesmill.functions.metrics import mape
 from seriesmill.operators.models.base import check_horizon, forecast_rows
-from seriesmill.operators.series import KEY, with_position
+from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import lag_names, lagged
 
 SD_FLOOR = 0.1
@@ -30,16 +30,19 @@ def squash(weighted: Column, trend: Column) -> Column:
 
 class LookbackModel:
     name = "lookback"
+    rewindows = True
 
-    def __init__(self, lookback: int = 14, weights: Sequence[float] | None = None, epochs: int = 100):
-        self.lookback = clamp_value(lookback, "lookback")
-        self.epochs = clamp_value(epochs, "epochs")  # accepted for parity of parameters, no effect
+    def __init__(self, lookback: int = 14, weights: Sequence[float] | None = None):
+        self.lookback = within_limits(lookback, "lookback")
         self.weights = step_weights(self.lookback, weights)
         self.min_rows = 2 * self.lookback
         self.window = self.lookback
 
     def parameters(self) -> dict[str, str]:
-        return {"lookback": str(self.lookback), "epochs": str(self.epochs)}
+        return {"lookback": str(self.lookback)}
+
+    def skipped(self, series: DataFrame) -> DataFrame:
+        return unusable(series, self.min_rows, self.name)
 
     def fit(self, series: DataFrame) -> DataFrame:
         placed = with_position(series).where(F.col("n") >= self.min_rows)
@@ -50,7 +53,8 @@ class LookbackModel:
             F.avg("y").alias("mean"),
             F.greatest(F.lit(SD_FLOOR), F.stddev_pop("y")).alias("sd"),
             last_values(F.col("i"), F.col("y"), self.lookback, F.col("n")).alias("window"),
-        ).withColumn("slot_weights", F.expr(f"array({', '.join(f'{w!r}D' for w in self.weights)})"))
+            F.count_if(missing()).alias("_missing"),
+        ).where("_missing = 0").drop("_missing").withColumn("slot_weights", F.expr(f"array({', '.join(f'{w!r}D' for w in self.weights)})"))
 
     def predict(self, params: DataFrame, horizon: int = 14) -> DataFrame:
         mean, sd = F.col("mean"), F.col("sd")

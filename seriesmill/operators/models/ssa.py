@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmill.functions.arrays import dot, roll_forward
-from seriesmill.functions.lookups import clamp_value
+from seriesmill.functions.lookups import within_limits
 from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
 from seriesmill.operators.models.lookback import one_step_mape
-from seriesmill.operators.series import KEY, with_position
+from seriesmill.operators.series import KEY, unusable, with_position
 from seriesmill.operators.stats import lag_sums
 
 Z = 1.96
@@ -148,15 +148,21 @@ def moments(series: DataFrame, window: int) -> DataFrame:
 
 class SsaModel:
     name = "ssa"
+    rewindows = True
 
     def __init__(self, window: int = 7, components: int = 3):
-        self.window = clamp_value(window, "window")
-        self.components = max(1, min(int(components), self.window))
+        self.window = within_limits(window, "window")
+        if not 1 <= components <= self.window:
+            raise ValueError(f"components must lie between 1 and the window {self.window}, not {components}")
+        self.components = int(components)
         self.min_rows = 2 * self.window
 
     def parameters(self) -> dict[str, str]:
         return {"window": str(self.window), "components": str(self.components)}
 
+    def skipped(self, series: DataFrame) -> DataFrame:
+        return unusable(series, self.min_rows, self.name)
+
     def fit(self, series: DataFrame) -> DataFrame:
         sums = lag_sums(with_position(series).where(F.col("n") >= self.min_rows), self.window)
         return solve(sums, [(self.window, self.components)]).select(

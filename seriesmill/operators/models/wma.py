@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.arrays import dot, total
 from seriesmill.functions.lookups import CONFIDENCE_Z, DEFAULT_Z, step_value
 from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
-from seriesmill.operators.series import KEY, with_position
+from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import PERIOD, position_sums
 
 MAX_WINDOW = 30
@@ -19,6 +19,9 @@ class WeightedModel:
     """Each step updates running sums, so it costs the same for any history and window."""
 
     name = "wma"
+    rewindows = False
+    min_rows = 1
+    window = MAX_WINDOW
 
     def __init__(self, confidence: float = 0.95, newest_heavy: bool = False):
         self.confidence, self.newest_heavy = confidence, newest_heavy
@@ -39,7 +42,10 @@ class WeightedModel:
                 F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sd"),
                 F.transform(F.array_sort(tail), lambda p: p["y"]).alias("window"),
                 position_sums("y", PERIOD).alias("season_sums"),
+                F.count_if(missing()).alias("_missing"),
             )
+            .where("_missing = 0")
+            .drop("_missing")
             .withColumn("model", F.lit(self.name))
         )
 
@@ -62,6 +68,12 @@ class WeightedModel:
         steps = F.transform(path, lambda v, k: bounds(v, z * F.col("sd") * F.sqrt(1 + k * 0.1)))
         return forecast_rows(padded, self.name, steps)
 
+    def parameters(self) -> dict[str, str]:
+        return {"confidence": str(self.confidence), "newest_heavy": str(self.newest_heavy)}
+
+    def skipped(self, series: DataFrame) -> DataFrame:
+        return unusable(series, self.min_rows, self.name)
+
     def _weights(self, span: Column) -> Column:
         return F.sequence(F.lit(1), span) if self.newest_heavy else F.sequence(span, F.lit(1), F.lit(-1))
 

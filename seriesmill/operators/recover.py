@@ -10,93 +10,76 @@ from seriesmill.operators.quality import MIN_VALID_SHARE, is_valid
 from seriesmill.operators.series import KEY, recent_n, with_position
 
 # Error class -> what is tried.
-TRAINING_ACTIONS = {
-    "invalid_values": "clean",
-    "invalid_parameters": "defaults",
-    "too_large": "recent_1000",
-}
-PREDICTION_ACTIONS = {"invalid_values": "clean", "not_fitted": "recent_30"}
-RECENT_TRAINING_ROWS = 1000
-RECENT_PREDICTION_ROWS = 30
+TRAINING_ACTIONS = {"invalid_values": "clean", "invalid_parameters": "fallback"}
 
 
-def diagnose(series: DataFrame, min_rows: int, max_rows: int | None = None) -> DataFrame:
+def diagnose(series: DataFrame, min_rows: int) -> DataFrame:
     """Rows with the ``error_type`` of their key (null: can be fitted as it is) and ``keep``.
 
-    ``keep`` marks what a refit uses: the valid rows of a key that loses at most a
-    tenth of them, all rows, or the newest 1000.  One window pass over the daily
-    series decides everything, so no second scan is needed.
+    ``keep`` marks what a refit uses: the valid rows of a key that loses at most a tenth of them, or all rows.
+    One window pass over the daily series decides everything, so no second scan is needed.
     """
-    newest = Window.partitionBy(KEY).orderBy(F.desc("ds"))
-    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(KEY)
     marked = series.select(
         KEY, "ds", "y",
         is_valid().alias("_ok"),
         F.count(F.lit(1)).over(whole).alias("_n"),
         F.count_if(is_valid()).over(whole).alias("_valid"),
-        F.row_number().over(newest).alias("_rank"),
-    )
-    too_large = F.lit(False) if max_rows is None else F.col("_n") > max_rows
-    error = (
-        F.when(F.col("_valid") < F.col("_n"), "invalid_values")
-        .when(F.col("_n") < min_rows, "invalid_parameters")
-        .when(too_large, "too_large")
-    )
-    keep = (
-        F.when(F.col("error_type") == "invalid_values", F.col("_ok") & (F.col("_valid") >= F.col("_n") * MIN_VALID_SHARE))
-        .when(F.col("error_type") == "too_large", F.col("_rank") <= RECENT_TRAINING_ROWS)
-        .otherwise(True)
     )
+    error = F.when(F.col("_valid") < F.col("_n"), "invalid_values").when(F.col("_n") < min_rows, "invalid_parameters")
+    clean = F.col("_ok") & (F.col("_valid") >= F.col("_n") * MIN_VALID_SHARE)
+    keep = F.when(F.col("error_type") == "invalid_values", clean).otherwise(True)
     return marked.withColumn("error_type", error).select(KEY, "ds", "y", "error_type", keep.alias("keep"))
 
 
 def fit_with_recovery(
-    series: DataFrame, model: str, max_rows: int | None = None, **parameters
+    series: DataFrame, model: str, fallback: dict | None = None, **parameters
 ) -> tuple[DataFrame, DataFrame]:
     """(parameter rows of all fitted keys, one report row per failed key).
 
-    A failed key is refitted once, with the model's default parameters.  Report
-    columns: ``series_key, error_type, action, recovered, rows_used``.
+    Keys with invalid values are fitted again on their valid rows with the wanted parameters.  Keys too short for
+    those are fitted with the parameters ``fallback``; without them they stay failed.  Report columns:
+    ``series_key, error_type, action, recovered, rows_used, parameters``; ``recovered`` and ``rows_used`` are what the
+    second fit returned.
     """
-    wanted, default = get_model(model, **parameters), get_model(model)
-    marked = diagnose(series, wanted.min_rows, max_rows)
-    failed = F.col("error_type").isNotNull()
+    wanted = get_model(model, **parameters)
+    second = None if fallback is None else get_model(model, **fallback)
+    marked = diagnose(series, wanted.min_rows)
+    invalid, short = (F.col("error_type") == kind for kind in TRAINING_ACTIONS)
 
     def rows(test):
         return with_position(marked.where(test).select(KEY, "ds", "y"))
 
-    # The two fits may have windows of different length; both carry their weights.
-    params = wanted.fit(rows(~failed)).unionByName(default.fit(rows(failed & F.col("keep"))))
+    params = wanted.fit(rows((F.col("error_type").isNull() | invalid) & F.col("keep")))
+    if second is not None:
+        # The two fits may have windows of different length; both carry their weights.
+        params = params.unionByName(second.fit(rows(short)))
+    failed = marked.where(F.col("error_type").isNotNull()).groupBy(KEY).agg(F.max("error_type").alias("error_type"))
+    refit = params.select(KEY, F.col("n").cast("long").alias("_used"))
+    used = [wanted.parameters(), {} if second is None else second.parameters()]
+    texts = [F.lit(", ".join(f"{k}={v}" for k, v in p.items())) for p in used]
     actions = F.create_map(*[F.lit(x) for pair in TRAINING_ACTIONS.items() for x in pair])
-    kept = marked.where(failed).groupBy(KEY).agg(
-        F.max("error_type").alias("error_type"), F.count_if("keep").alias("_kept")
-    )
-    fitted = F.col("_kept") >= default.min_rows
-    report = kept.select(
-        KEY, "error_type", F.element_at(actions, F.col("error_type")).alias("action"), fitted.alias("recovered"),
-        F.when(fitted, F.col("_kept")).otherwise(0).alias("rows_used"),
+    action = F.when(short & F.lit(second is None), "none").otherwise(F.element_at(actions, F.col("error_type")))
+    report = failed.join(refit, KEY, "left").select(
+        KEY, "error_type", action.alias("action"), F.col("_used").isNotNull().alias("recovered"),
+        F.coalesce("_used", F.lit(0)).alias("rows_used"), F.when(invalid, texts[0]).otherwise(texts[1]).alias("parameters"),
     )
     return params, report
 
 
-def prediction_rows(series: DataFrame, error_type: str) -> DataFrame:
-    """Rows to predict from after a failed prediction: valid ones, or the newest 30."""
-    action = PREDICTION_ACTIONS.get(error_type)
-    if action == "clean":
-        return series.where(is_valid())
-    if action == "recent_30":
-        return recent_n(series, RECENT_PREDICTION_ROWS)
-    return series
-
-
-def retry_prediction(series: DataFrame, error_type: str, model, horizon: int = 1) -> DataFrame:
+def retry_prediction(series: DataFrame, error_type: str, model, horizon: int = 1, recent: int | None = None) -> DataFrame:
     """Forecast after a failed prediction, from newly fitted parameters.
 
-    ``invalid_values`` fits and predicts on the valid rows; ``not_fitted`` fits on
-    the newest 30 rows.  A key without usable rows gives no forecast.
+    ``invalid_values`` fits and predicts on the valid rows, anything else on all rows.  ``recent`` limits both to
+    the newest rows of a key, if that is wanted.  A key without usable rows gives no forecast.
     """
-    rows = with_position(prediction_rows(series.select(KEY, "ds", "y"), error_type))
-    return model.predict(model.fit(rows), horizon)
+    rows = series.select(KEY, "ds", "y")
+    if error_type == "invalid_values":
+        rows = rows.where(is_valid())
+    if recent is not None:
+        rows = recent_n(rows, recent)
+    placed = with_position(rows)
+    return model.predict(model.fit(placed), horizon)
 
 
 def error_statistics(reports: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.metrics import relative_error
+from seriesmill.functions.parsing import nan_to_null
 
 KEY = "series_key"
 
@@ -29,13 +30,14 @@ def all_rows(order: str = "ds") -> Window:
 
 
 def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Column, agg=F.sum) -> DataFrame:
-    """One row per key and day; partial sums are combined on the map side."""
+    """One row per key and day; partial sums are combined on the map side.  NaN counts as missing."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    value = as_col(y).cast("double")
     return (
         df.select(
             as_col(key).cast("string").alias(KEY),
             as_col(ds).cast("date").alias("ds"),
-            as_col(y).cast("double").alias("y"),
+            nan_to_null(value).alias("y"),
         )
         .groupBy(KEY, "ds")
         .agg(agg("y").alias("y"))
@@ -43,7 +45,7 @@ def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Colum
 
 
 def fill_gaps(series: DataFrame, fill: float = 0.0) -> DataFrame:
-    """Every day from first to last of the key, missing days ``fill``.
+    """Every day from first to last of the key; days that are missing or have no value get ``fill``.
 
     Adds the position ``i`` (0-based) and the length ``n``.  Each observed day
     emits itself and the empty days up to the next one, so no calendar is
@@ -63,7 +65,7 @@ def fill_gaps(series: DataFrame, fill: float = 0.0) -> DataFrame:
     ).select(
         KEY,
         "ds",
-        F.when(F.col("ds") == F.col("_seen"), F.col("y")).otherwise(F.lit(fill)).alias("y"),
+        F.coalesce(F.when(F.col("ds") == F.col("_seen"), F.col("y")), F.lit(fill)).alias("y"),
         F.datediff("ds", "_first").alias("i"),
         (F.datediff("_last", "_first") + 1).alias("n"),
     )
@@ -80,8 +82,12 @@ def with_position(series: DataFrame) -> DataFrame:
 
 
 def between_dates(df: DataFrame, start: str, end: str, ds: str = "ds") -> DataFrame:
-    """Inclusive date range; the comparison is on the bare column, so it reaches the scan."""
-    return df.where(F.col(ds).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Rows of the days ``start`` to ``end``, whatever time of the last day they carry.
+
+    The comparisons are on the bare column, so they reach the scan.
+    """
+    day = F.col(ds)
+    return df.where((day >= F.lit(start).cast("date")) & (day < F.date_add(F.lit(end).cast("date"), 1)))
 
 
 def recent_n(series: DataFrame, n: int) -> DataFrame:
@@ -109,15 +115,6 @@ def train_test_split(series: DataFrame, share: float = 0.8) -> DataFrame:
     return with_position(series).withColumn("part", F.when(F.col("i") < cut, "train").otherwise("recent"))
 
 
-def recent_or_tail(series: DataFrame, share: float = 0.8, tail: int = 30) -> DataFrame:
-    """The part after the split, or the last ``tail`` training rows where it is empty."""
-    marked = train_test_split(series, share)
-    cut = F.floor(F.col("n") * F.lit(share))
-    return marked.where(
-        (F.col("part") == "recent") | ((cut >= F.col("n")) & (F.col("i") >= F.col("n") - tail))
-    )
-
-
 def pad_with_history(recent: DataFrame, history: DataFrame, length: int) -> DataFrame:
     """Rows of ``recent``, topped up to ``length`` with the newest history before it."""
     marked = recent.select(KEY, "ds", "y", F.lit(0).alias("_from_history")).unionByName(
@@ -128,13 +125,6 @@ def pad_with_history(recent: DataFrame, history: DataFrame, length: int) -> Data
     return ranked.where((F.col("_from_history") == 0) | (F.col("_rank") <= length)).select(KEY, "ds", "y")
 
 
-def future_spine(last: DataFrame, horizon: int, last_ds: str = "last_ds") -> DataFrame:
-    """``horizon`` future days for each row of ``last``."""
-    return last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
-        "ds", F.date_add(F.col(last_ds), F.col("step"))
-    )
-
-
 def append_forecast(series: DataFrame, forecast: DataFrame) -> DataFrame:
     """History and forecast in one table, told apart by ``is_forecast``."""
     past = series.select(KEY, "ds", "y", F.lit(False).alias("is_forecast"))
@@ -151,6 +141,21 @@ def split_by_length(series: DataFrame, min_rows: int) -> tuple[DataFrame, DataFr
     return long_enough, short
 
 
+def unusable(series: DataFrame, min_rows: int, model: str) -> DataFrame:
+    """One error row for each key that ``model`` cannot be fitted to: missing values, or fewer than ``min_rows`` rows."""
+    counted = series.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.count_if(missing()).alias("_missing"))
+    kind = F.when(F.col("_missing") > 0, "missing_values").when(F.col("_n") < min_rows, "too_short")
+    text = F.when(F.col("_missing") > 0, F.concat(F.col("_missing"), F.lit(" of "), F.col("_n"), F.lit(" rows have no value"))).otherwise(
+        F.concat(F.col("_n"), F.lit(f" rows, {min_rows} needed")))
+    return counted.where(kind.isNotNull()).select(
+        KEY, F.lit(model).alias("model"), F.lit("fit").alias("operation"), kind.alias("error_type"), text.alias("message"))
+
+
+def missing(value: str = "y") -> Column:
+    """No value: null or NaN."""
+    return F.col(value).isNull() | F.isnan(value)
+
+
 def sortedness(series: DataFrame, arrival: str) -> DataFrame:
     """Per key: adjacent pairs out of date order when read in ``arrival`` order."""
     w = Window.partitionBy(KEY).orderBy(arrival)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.operators.series import KEY, in_order, with_position
+from seriesmill.operators.series import KEY, in_order, missing, with_position
 
 PERIOD = 7
 MAX_OFFSET_WINDOW = 31
@@ -53,19 +53,28 @@ def centred(means: str, period: int = PERIOD) -> Column:
     return F.expr(f"transform({means}, m -> m - aggregate({means}, 0D, (a, b) -> a + b) / {period})")
 
 
+_PRESENT = "if(y IS NULL OR isnan(y), 0D, 1D)"
+
+
+def _present_means() -> Column:
+    """Array of position means over the values present; empty positions count as 0."""
+    return F.expr("zip_with(_sums, _counts, (s, c) -> coalesce(try_divide(s, c), 0D))")
+
+
 def seasonal_profile(series: DataFrame, period: int = PERIOD) -> DataFrame:
     """Rows ``key, position, seasonal``: mean of raw values per position, centred."""
-    sums = with_position(series).groupBy(KEY).agg(F.max("n").alias("n"), position_sums("y", period).alias("_sums"))
-    means = sums.select(KEY, position_means("_sums", period).alias("_means"))
+    sums = with_position(series).groupBy(KEY).agg(position_sums("y", period).alias("_sums"), position_sums(_PRESENT, period).alias("_counts"))
+    means = sums.select(KEY, _present_means().alias("_means"))
     return means.select(KEY, F.posexplode(centred("_means", period)).alias("position", "seasonal"))
 
 
 def weekday_deviation(series: DataFrame, min_rows: int = 14, period: int = PERIOD) -> DataFrame:
     """Rows ``key, position, deviation``: position mean minus overall mean, 0 for short series."""
     sums = with_position(series).groupBy(KEY).agg(
-        F.max("n").alias("n"), F.avg("y").alias("_mean"), position_sums("y", period).alias("_sums")
+        F.max("n").alias("n"), F.avg("y").alias("_mean"), position_sums("y", period).alias("_sums"),
+        position_sums(_PRESENT, period).alias("_counts"),
     )
-    means = sums.select(KEY, "n", "_mean", position_means("_sums", period).alias("_means"))
+    means = sums.select(KEY, "n", "_mean", _present_means().alias("_means"))
     cells = F.expr(f"transform(_means, m -> if(n >= {min_rows}, m - _mean, 0D))")
     return means.select(KEY, F.posexplode(cells).alias("position", "deviation"))
 
@@ -112,7 +121,7 @@ def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) ->
     of lags (``window * (window + 1) / 2``); the two edges of the series, at most
     ``window - 1`` values each, correct the sums afterwards.  Values are taken
     relative to the first of the key, so that large levels do not drown small
-    variances.  The same row serves every shorter window.
+    variances.  The same row serves every shorter window.  A series with a missing value gives no row.
     """
     w = over("i", keys)
     base = f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _base"
@@ -134,11 +143,14 @@ def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) ->
             F.stddev_pop("y").alias("sd_pop"),
             F.max("ds").alias("last_ds"),
             F.sum("_c").alias("offset_sum"),
+            F.count_if(missing()).alias("_missing"),
             F.expr("array(" + ", ".join(f"sum(_p{d})" for d in range(window)) + ")").alias("products"),
             F.expr(values(f"i < {edge}", "_c")).alias("head"),
             F.expr(values(f"i >= n - {edge}", "_c")).alias("tail"),
             F.expr(values(f"i >= n - {window}", "y")).alias("window"),
         )
+        .where("_missing = 0")
+        .drop("_missing")
         # Zeros stand in where a series is shorter than the edge, to keep one array length.
         .withColumns({
             "head": F.expr(f"concat(head, array_repeat(0D, {edge} - size(head)))"),

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.lookups import clamp_value
+from seriesmill.functions.lookups import within_limits
 from seriesmill.functions.metrics import mape
 from seriesmill.operators.evaluate import cv_folds, summarise_folds, training_rows
 from seriesmill.operators.models.base import get_model
@@ -74,7 +74,7 @@ def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = Fal
     Validation rows are windowed once for the longest look-back; each model is
     one more aggregate column, so rows are not multiplied by the grid.
     """
-    k = clamp_value(k, "folds")
+    k = within_limits(k, "folds")
     folds = cv_folds(with_position(series).where(F.col("n") >= 2 * k), k, shuffle, seed).select(
         KEY, "ds", "y", "n", "o", "fold", "fold_start"
     )

@@ -8,7 +8,7 @@ from seriesmill.operators import evaluate, recover, tune
 from seriesmill.operators.models import LookbackModel, SsaModel, performance_weights
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.ssa_sql import moment_tables, projection_tables, rule_table
-from seriesmill.plans.tables import BRAND, FILLED, RARELY_SIGNED, Tables
+from seriesmill.plans.tables import BRAND, FILLED, SUPPLIER_YEARS, Tables
 
 LOOKBACKS = (7, 14, 21)
 FOLDS = 5
@@ -112,18 +112,17 @@ def _weights_sql() -> str:
 
 
 def _report(t: Tables):
-    """Brand series with a few negatives, wanted lookback 30, more than 1000 rows called too large."""
-    return recover.fit_with_recovery(t.rarely_signed(), "lookback", max_rows=1000, lookback=30)[1]
+    """Supplier years with a few negatives; lookback 30 needs 60 days, which the last year has not."""
+    return recover.fit_with_recovery(t.supplier_years(), "lookback", {"lookback": 14}, lookback=30)[1]
 
 
 REPORT = """
 counted AS (SELECT series_key, count(*) AS n, count(*) FILTER (y >= 0) AS v FROM series GROUP BY 1),
-failed AS (SELECT *, CASE WHEN v < n THEN 'invalid_values' WHEN n < 60 THEN 'invalid_parameters'
-  WHEN n > 1000 THEN 'too_large' END AS error_type FROM counted),
-rows_kept AS (SELECT *, CASE error_type WHEN 'invalid_values' THEN CASE WHEN v >= n * 0.9 THEN v ELSE 0 END
-  WHEN 'invalid_parameters' THEN n ELSE least(n, 1000) END AS kept FROM failed WHERE error_type IS NOT NULL),
-report AS (SELECT series_key, error_type, CASE error_type WHEN 'invalid_values' THEN 'clean' WHEN 'invalid_parameters' THEN 'defaults'
-  ELSE 'recent_1000' END AS action, kept >= 28 AS recovered, CASE WHEN kept >= 28 THEN kept ELSE 0 END AS rows_used FROM rows_kept)"""
+failed AS (SELECT *, CASE WHEN v < n THEN 'invalid_values' WHEN n < 60 THEN 'invalid_parameters' END AS error_type FROM counted),
+rows_kept AS (SELECT *, CASE error_type WHEN 'invalid_values' THEN CASE WHEN v >= n * 0.9 AND v >= 60 THEN v ELSE 0 END
+  ELSE CASE WHEN n >= 28 THEN n ELSE 0 END END AS kept FROM failed WHERE error_type IS NOT NULL),
+report AS (SELECT series_key, error_type, CASE error_type WHEN 'invalid_values' THEN 'clean' ELSE 'fallback' END AS action,
+  kept > 0 AS recovered, kept AS rows_used, 'lookback=' || CASE error_type WHEN 'invalid_values' THEN 30 ELSE 14 END AS parameters FROM rows_kept)"""
 
 _FOLD_COLUMNS = "series_key ds:d o:i fold:i fold_start:i fold_size:i"
 
@@ -189,13 +188,13 @@ QUERIES = [
         ),
     ),
     Query(
-        "recover_failed", "series_key error_type action recovered:b rows_used:i", _report,
-        with_(RARELY_SIGNED, REPORT, select="SELECT * FROM report"),
+        "recover_failed", "series_key error_type action recovered:b rows_used:i parameters", _report,
+        with_(SUPPLIER_YEARS, REPORT, select="SELECT * FROM report"),
     ),
     Query(
         "error_stats", "error_type attempts:i recovered:i open_attempts:i", lambda t: recover.error_statistics(_report(t)),
         with_(
-            RARELY_SIGNED, REPORT,
+            SUPPLIER_YEARS, REPORT,
             select="""SELECT error_type, count(*) AS attempts, count(*) FILTER (recovered) AS recovered,
                       count(*) FILTER (NOT recovered) AS open_attempts FROM report GROUP BY 1""",
         ),

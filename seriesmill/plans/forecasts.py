@@ -13,11 +13,11 @@ from seriesmill.operators.models.base import UserModel
 from seriesmill.operators.models.ensemble import ensemble_evaluate
 from seriesmill.operators.models.lookback import one_step_predictions
 from seriesmill.operators.recover import retry_prediction
-from seriesmill.operators.series import forecast_errors
+from seriesmill.operators.series import fill_gaps, forecast_errors
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.series import DECOMPOSE_FORECAST, DECOMPOSED
 from seriesmill.plans.ssa_sql import forecast_tables, rule_tables
-from seriesmill.plans.tables import BRAND, FILLED, SUPPLIER, TYPES, Tables
+from seriesmill.plans.tables import BRAND, FILLED, HOLEY, SUPPLIER, SUPPLIER_YEARS, TYPES, Tables
 
 HORIZON = 14
 FORECAST_COLUMNS = "series_key model step:i ds:d yhat:r lo:r hi:r"
@@ -94,6 +94,15 @@ def _run(model):
 _ODD_BRAND = "CAST(split_part(series_key, '#', 2) AS INT) % 2 = 1"
 
 
+def _holey(model):
+    """Forecast of brands of which some days have no value."""
+    def build(t: Tables):
+        series = fill_gaps(t.holey())
+        return model.predict(model.fit(series), HORIZON)
+
+    return build
+
+
 def _routed(t: Tables):
     """Odd brand numbers by decomposition, even ones by lookback."""
     odd = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int") % 2 == 1
@@ -195,11 +204,35 @@ QUERIES = [
             recursive=True,
         ),
     ),
+    Query(
+        "forecast_run_decompose", FORECAST_COLUMNS, lambda t: forecast_run(t.brand_filled(), "decompose", HORIZON),
+        with_(BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, select="SELECT * FROM forecast"),
+    ),
+    Query(
+        "missing_values_decompose", FORECAST_COLUMNS, _holey(DecomposeModel()),
+        with_(HOLEY, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, select="SELECT * FROM forecast"),
+    ),
+    Query(
+        "missing_values_wma", FORECAST_COLUMNS, _holey(WeightedModel()),
+        with_(HOLEY, FILLED, WMA, select="SELECT * FROM wma_forecast", recursive=True),
+    ),
+    Query(
+        "missing_values_lookback", FORECAST_COLUMNS, _holey(LookbackModel()),
+        with_(HOLEY, FILLED, fit_sql("fit"), lookback_sql("fit"), select="SELECT * FROM look_forecast", recursive=True),
+    ),
+    Query(
+        "forecast_skipped_keys", "series_key model error_type message",
+        lambda t: LookbackModel().skipped(t.holey()).unionByName(SsaModel(30, 3).skipped(t.supplier_years())),
+        f"""SELECT series_key, 'lookback' AS model, 'missing_values' AS error_type, m || ' of ' || n || ' rows have no value' AS message
+            FROM ({with_(HOLEY, select="SELECT series_key, count(*) AS n, count(*) - count(y) AS m FROM series GROUP BY 1")}) AS holes WHERE m > 0
+            UNION ALL SELECT series_key, 'ssa', 'too_short', n || ' rows, 60 needed'
+            FROM ({with_(SUPPLIER_YEARS, select="SELECT series_key, count(*) AS n FROM series GROUP BY 1")}) AS years WHERE n < 60""",
+    ),
     Query(
         "predict_after_refit", FORECAST_COLUMNS,
         lambda t: retry_prediction(t.brand_filled(), "not_fitted", LookbackModel(), HORIZON),
         with_(
-            BRAND, FILLED, fit_sql("fit", "i >= n - 30"), lookback_sql("fit"), select="SELECT * FROM look_forecast", recursive=True,
+            BRAND, FILLED, fit_sql("fit"), lookback_sql("fit"), select="SELECT * FROM look_forecast", recursive=True,
         ),
     ),
     Query(

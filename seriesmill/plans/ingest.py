@@ -81,7 +81,50 @@ def _split(t: Tables):
 def _split_sales(t: Tables):
     names = [_SALES_COLUMNS.get(c, "ds") for c in csv.SPLIT_LAYOUTS["sales"]]
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in names])
-    return csv.parse_split_table(t.sales().select(line.alias("value")), "sales")
+    return csv.parse_split_table(t.sales().select(line.alias("value")), "sales")[0]
+
+
+def _broken_sales(t: Tables):
+    """Sales text in which some stores, dates and flags are blank or junk."""
+    day = F.dayofmonth("Date")
+    return sales_text(t).withColumns({
+        "Store": F.when(day == 3, " ").when(day == 4, "s").otherwise(F.col("Store")),
+        "Date": F.when(day == 5, "").otherwise(F.col("Date")),
+        "Open": F.when(day == 6, "").otherwise(F.col("Open")),
+        "Customers": F.when(day == 7, "NA").otherwise(F.col("Customers")),
+    })
+
+
+_BROKEN_SALES = """
+text AS (SELECT *, CASE day(ds) WHEN 3 THEN ' ' WHEN 4 THEN 's' ELSE CAST(store_id AS VARCHAR) END AS raw_store,
+  CASE WHEN day(ds) = 5 THEN '' ELSE strftime(ds, '%Y-%m-%d') END AS raw_date FROM sales)"""
+
+
+def _broken_store(t: Tables):
+    text = store_text(t)
+    return text.withColumn("Store", F.when(F.col("Store").cast("int") % 9 == 0, "?").otherwise(F.col("Store")))
+
+
+def _mixed_layouts(t: Tables):
+    """The same columns in two orders, in files of one folder."""
+    path = scratch_path(t.spark, "mixed-csv")
+    table = t.supplier().select(F.col("ds").alias("Date"), F.col("y").alias("Sales"), F.col("series_key").alias("Store"))
+    even = F.col("Store").cast("int") % 2 == 0
+    csv.export_csv(table.where(even), f"{path}/even")
+    csv.export_csv(table.where(~even).select("Store", "Sales", "Date"), f"{path}/odd")
+    good, bad = csv.parse_demand(csv.read_mixed_tables(t.spark, [f"{path}/even", f"{path}/odd"]))
+    return good.select("ds", "sales", F.lit("").alias("reason")).unionByName(
+        bad.select(F.lit(None).cast("date").alias("ds"), F.lit(None).cast("double").alias("sales"), "reason"))
+
+
+def _overwritten(t: Tables):
+    """One version saved twice with different windows; the second stays."""
+    path = scratch_path(t.spark, "models")
+    for window in (5, 7):
+        model = DecomposeModel(window)
+        registry.save_model(model.fit(t.brand_filled()), path, model.name, "1.0", parameters=model.parameters())
+    rows = registry.load_model(t.spark, path, "decompose", "1.0")
+    return rows.groupBy("series_key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("parameters")["window"]).alias("window_size"))
 
 
 def _archived(t: Tables):
@@ -171,7 +214,7 @@ QUERIES = [
     ),
     Query(
         "store_scan", "store_id:i store_type assortment competition_distance:i promo2:i promo2_since_week:i promo_interval",
-        lambda t: csv.parse_store(store_text(t)).withColumns({
+        lambda t: csv.parse_store(store_text(t))[0].withColumns({
             c: F.coalesce(F.col(c), F.lit(-1)) for c in ("competition_distance", "promo2_since_week")
         }),
         with_(
@@ -182,11 +225,11 @@ QUERIES = [
     ),
     Query(
         "sales_scan", "store_id:i ds:d sales:r customers:i open:i promo:i state_holiday school_holiday:i",
-        lambda t: csv.parse_sales(sales_text(t)), with_(SALES, select="SELECT * FROM sales"),
+        lambda t: csv.parse_sales(sales_text(t))[0], with_(SALES, select="SELECT * FROM sales"),
     ),
     Query(
         "scoring_scan", "store_id:i ds:d sales:r customers:i open:i promo:i state_holiday school_holiday:i",
-        lambda t: csv.parse_sales(sales_text(t).drop("Sales", "Customers"), scoring=True),
+        lambda t: csv.parse_sales(sales_text(t).drop("Sales", "Customers"), scoring=True)[0],
         with_(SALES, select="SELECT * REPLACE (0 AS sales, 0 AS customers) FROM sales"),
     ),
     Query(
@@ -221,6 +264,43 @@ QUERIES = [
            greatest(10, least(500, p_size * 12)) AS epochs, greatest(2, least(10, p_size - 10)) AS folds,
            greatest(7, least(90, p_size * 2)) AS learner_window FROM part""",
     ),
+    Query(
+        "sales_rejects", "raw_store raw_date reason", lambda t: csv.parse_sales(_broken_sales(t))[1],
+        with_(
+            SALES, _BROKEN_SALES,
+            select="""SELECT raw_store, raw_date, CASE WHEN day(ds) IN (3, 4) THEN 'bad_store' ELSE 'bad_date' END AS reason
+                      FROM text WHERE day(ds) BETWEEN 3 AND 5""",
+        ),
+    ),
+    Query(
+        "sales_accepted", "store_id:i ds:d sales:r customers:i open:i", lambda t: csv.parse_sales(_broken_sales(t))[0].withColumn(
+            "customers", F.coalesce("customers", F.lit(-1))),
+        with_(
+            SALES, select="""SELECT store_id, ds, sales, CASE WHEN day(ds) = 7 THEN -1 ELSE customers END AS customers,
+                             CASE WHEN day(ds) = 6 THEN 0 ELSE open END AS open FROM sales WHERE day(ds) NOT BETWEEN 3 AND 5""",
+        ),
+    ),
+    Query(
+        "scoring_rejects", "raw_store raw_date reason",
+        lambda t: csv.parse_sales(_broken_sales(t).drop("Sales", "Customers"), scoring=True)[1],
+        with_(
+            SALES, _BROKEN_SALES,
+            select="""SELECT raw_store, raw_date, CASE WHEN day(ds) IN (3, 4) THEN 'bad_store' ELSE 'bad_date' END AS reason
+                      FROM text WHERE day(ds) BETWEEN 3 AND 5""",
+        ),
+    ),
+    Query(
+        "store_rejects", "raw_store reason", lambda t: csv.parse_store(_broken_store(t))[1],
+        with_(STORE, select="SELECT '?' AS raw_store, 'bad_store' AS reason FROM store WHERE store_id % 9 = 0"),
+    ),
+    Query(
+        "mixed_layout_scan", "ds:d sales:r reason", _mixed_layouts,
+        with_(SUPPLIER, select="SELECT ds, y AS sales, '' AS reason FROM series"),
+    ),
+    Query(
+        "registry_overwrite", "series_key rows:i window_size:i", _overwritten,
+        with_(BRAND, select='SELECT DISTINCT series_key, 1 AS "rows", 7 AS window_size FROM series'),
+    ),
     Query(
         "csv_round_trip", "ds:d rows:i sales:r", _csv_round_trip,
         with_(SUPPLIER, select='SELECT ds, count(*) AS "rows", sum(y) AS sales FROM series GROUP BY 1'),

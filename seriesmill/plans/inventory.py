@@ -23,9 +23,9 @@ outlook AS (SELECT series_key, avg(yhat) AS mean_demand, avg(hi - yhat) AS mean_
 def recommend_sql(source: str) -> str:
     """From ``source(item, current_stock, mean_demand, mean_margin)``."""
     return f"""
-SELECT *, CASE WHEN current_stock <= reorder_point THEN ceil(reorder_point + lead_time_demand - current_stock) ELSE 0 END AS recommended_order,
+SELECT *, CASE WHEN current_stock <= reorder_point THEN ceil(round(reorder_point + lead_time_demand - current_stock, 6)) ELSE 0 END AS recommended_order,
   CASE WHEN current_stock <= safety_stock THEN 'Critical' WHEN current_stock <= reorder_point THEN 'Low' ELSE 'Adequate' END AS stock_status,
-  CASE WHEN lead_time_demand <= 0 THEN 0 ELSE ceil(current_stock / (lead_time_demand / 3)) END AS days_of_supply
+  CASE WHEN lead_time_demand <= 0 THEN 0 ELSE ceil(round(current_stock / (lead_time_demand / 3), 6)) END AS days_of_supply
 FROM (SELECT *, mean_demand * 3 AS lead_time_demand, mean_margin * sqrt(3) AS safety_stock,
   mean_demand * 3 + mean_margin * sqrt(3) AS reorder_point FROM {source})"""
 
@@ -171,7 +171,7 @@ QUERIES = [
         }),
         with_(
             BRAND, FILLED, DEMAND, PART_LEVELS,
-            select="""SELECT item, ceil(stock / (mean_demand * 3 / 3)) AS days, ceil(stock / (mean_demand * 3 / 7)) AS days_week_lead
+            select="""SELECT item, ceil(round(stock / (mean_demand * 3 / 3), 6)) AS days, ceil(round(stock / (mean_demand * 3 / 7), 6)) AS days_week_lead
                       FROM levels""",
         ),
     ),

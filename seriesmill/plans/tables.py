@@ -44,13 +44,18 @@ class Tables:
             F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")),
         )
 
-    def rarely_signed(self) -> DataFrame:
-        """As ``signed`` with few negatives, so that some brands have none."""
-        back = (F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & (F.col("l_discount") >= 0.1)
+    def supplier_years(self) -> DataFrame:
+        """Daily quantity per supplier and year, few lines counted negative: some keys are short, some have bad values."""
+        back = (F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & (F.col("l_linenumber") == 7)
+        key = F.concat_ws("-", F.col("l_suppkey").cast("string"), F.year("l_shipdate").cast("string"))
         return to_series(
-            self.with_part(), "p_brand", "l_shipdate",
-            F.when(back & (F.col("l_linenumber") == 7), -F.col("l_quantity")).otherwise(F.col("l_quantity")),
-        )
+            self.table("lineitem"), key, "l_shipdate", F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")))
+
+    def holey(self) -> DataFrame:
+        """Daily quantity per brand where the lines of some days, and one brand's all, have no value."""
+        unknown = (F.col("l_linenumber") == 7) | (F.col("p_brand") == "Brand#11")
+        value = F.when(F.col("l_quantity") == 13, F.lit(float("nan"))).when(~unknown, F.col("l_quantity"))
+        return to_series(self.with_part(), "p_brand", "l_shipdate", value)
 
     # -- store tables ----------------------------------------------------------
     def sales(self) -> DataFrame:
@@ -119,10 +124,12 @@ BRAND = _series("p_brand")
 TYPES = _series("p_type")
 SUPPLIER = _series("l_suppkey", source="lineitem")
 SIGNED = _series("p_brand", "CASE WHEN l_returnflag = 'R' AND l_tax >= 0.07 THEN -l_quantity ELSE l_quantity END")
-RARELY_SIGNED = _series(
-    "p_brand",
-    "CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 AND l_discount >= 0.1 AND l_linenumber = 7 THEN -l_quantity ELSE l_quantity END",
+SUPPLIER_YEARS = _series(
+    "l_suppkey || '-' || year(l_shipdate)",
+    "CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 AND l_linenumber = 7 THEN -l_quantity ELSE l_quantity END",
+    source="lineitem",
 )
+HOLEY = _series("p_brand", "CASE WHEN l_linenumber <> 7 AND p_brand <> 'Brand#11' AND l_quantity <> 13 THEN l_quantity END")
 
 FILLED = """
 bounds AS (SELECT series_key, min(ds) AS a, max(ds) AS b FROM series GROUP BY 1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions import parsing as p
 from seriesmill.operators.features import enrich_sales, first_per_key
-from seriesmill.schema import column, resolve
+from seriesmill.schema import SALES, STORE, column, resolve
 
 # File-name parts that mark a sales or store file.
 STORE_FILE_MARKS = ("rossmann", "store", "train")
@@ -15,10 +15,17 @@ STORE_FILE_MARKS = ("rossmann", "store", "train")
 TRAIN_FILE, STORE_FILE, TEST_FILE = "train.csv", "store.csv", "test.csv"
 
 
+MAX_HEADERS = 100
+
+
 def read_text_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Quoted, comma-separated text with a header; every column as string."""
+    """Quoted, comma-separated text with a header; every column as string.
+
+    All files must have the same columns in the same order, otherwise reading fails; see ``read_mixed_tables``.
+    """
     return (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
@@ -28,6 +35,31 @@ def read_text_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_mixed_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_text_table`` for files that differ in their columns: each is read by its own header.
+
+    The header is the first line of a file.  Columns are matched by name, ignoring case; a file without one has nulls
+    there.  Fields must not hold line breaks.  More than ``MAX_HEADERS`` different headers are an error.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"))
+    # Within a file the first line has the lowest block and, in it, the lowest id.
+    first = lines.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_at")).alias("_header"))
+    headers = [r[0] for r in first.select("_header").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(headers) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers below {path}")
+    named = lines.join(first, "_file").where("value <> _header AND trim(value) <> ''")
+    parts = None
+    for header in headers:
+        names = [name.strip().strip('"').lower() for name in header.split(",")]
+        schema = ", ".join(f"`{name}` string" for name in names)
+        options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
+        part = named.where(F.col("_header") == header).select(F.from_csv("value", schema, options).alias("row")).select("row.*")
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    return parts
+
+
 def require_paths(spark: SparkSession, *paths: str) -> None:
     """Fail early when an input is missing, whatever file system it is on."""
     for path in paths:
@@ -82,12 +114,20 @@ def load_demand(spark: SparkSession, path: str) -> DataFrame:
     return parse_demand(read_text_table(spark, path))[0]
 
 
-def parse_store(raw: DataFrame) -> DataFrame:
-    """Store dimension; rows without a numeric store id are dropped."""
+def _split_off(judged: DataFrame, raw: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows without a reason, the raw fields and reason of the others)."""
+    good = F.col("reason").isNull()
+    return judged.where(good).select(*columns), judged.where(~good).select(*raw, "reason")
+
+
+def parse_store(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store dimension, rejected ``raw_store, reason``): a row needs a numeric store id."""
     def i(name: str) -> Column:
         return p.parse_int(column(raw, name))
 
-    return raw.select(
+    store = column(raw, "Store")
+    typed = raw.select(
+        store.alias("raw_store"),
         i("Store").alias("store_id"),
         p.blank_to_default(column(raw, "StoreType"), p.BLANK_CATEGORY).alias("store_type"),
         p.blank_to_default(column(raw, "Assortment"), p.BLANK_CATEGORY).alias("assortment"),
@@ -98,25 +138,33 @@ def parse_store(raw: DataFrame) -> DataFrame:
         i("Promo2SinceWeek").alias("promo2_since_week"),
         i("Promo2SinceYear").alias("promo2_since_year"),
         p.blank_to_default(column(raw, "PromoInterval"), p.BLANK_INTERVAL).alias("promo_interval"),
-    ).where(F.col("store_id").isNotNull())
+    )
+    judged = with_reasons(typed, {"bad_store": F.col("store_id").isNull()})
+    return _split_off(judged, ["raw_store"], STORE.names)
 
 
-def parse_sales(raw: DataFrame, scoring: bool = False) -> DataFrame:
-    """Sales facts by column name; scoring files have no sales, which become 0."""
-    zero = F.lit(0)
+def parse_sales(raw: DataFrame, scoring: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sales facts by column name, rejected ``raw_store, raw_date, reason``).
+
+    A row needs a store and a date.  Flags are 1 for the text "1" and else 0; sales and customers that are blank or no
+    number are null.  Scoring files have neither; both become 0.
+    """
+    store, date = column(raw, "Store"), column(raw, "Date")
     sales = F.lit(0.0) if scoring else p.parse_double(column(raw, "Sales"))
-    customers = zero if scoring else p.parse_int(column(raw, "Customers"))
+    customers = F.lit(0) if scoring else p.parse_int(column(raw, "Customers"))
     typed = raw.select(
-        p.parse_int(column(raw, "Store")).alias("store_id"),
-        p.parse_date(column(raw, "Date")).alias("ds"),
+        store.alias("raw_store"), date.alias("raw_date"),
+        p.parse_int(store).alias("store_id"),
+        p.parse_date(date).alias("ds"),
         sales.alias("sales"),
         customers.alias("customers"),
-        p.parse_int(column(raw, "Open")).alias("open"),
-        p.parse_int(column(raw, "Promo")).alias("promo"),
+        p.parse_flag(column(raw, "Open")).alias("open"),
+        p.parse_flag(column(raw, "Promo")).alias("promo"),
         p.blank_to_default(column(raw, "StateHoliday"), p.BLANK_HOLIDAY).alias("state_holiday"),
-        p.parse_int(column(raw, "SchoolHoliday")).alias("school_holiday"),
+        p.parse_flag(column(raw, "SchoolHoliday")).alias("school_holiday"),
     )
-    return typed.dropna()
+    judged = with_reasons(typed, {"bad_store": F.col("store_id").isNull(), "bad_date": F.col("ds").isNull()})
+    return _split_off(judged, ["raw_store", "raw_date"], SALES.names)
 
 
 def parse_split_lines(lines: DataFrame, names: list[str], min_fields: int, value: str = "value") -> DataFrame:
@@ -138,11 +186,18 @@ SPLIT_LAYOUTS = {
 }
 
 
-def parse_split_table(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """Unquoted lines of a store, sales or scoring file (header already removed)."""
+def parse_split_table(lines: DataFrame, kind: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected ``line, reason``) of unquoted lines of a store, sales or scoring file without its header."""
     layout = SPLIT_LAYOUTS[kind]
-    raw = parse_split_lines(lines, list(layout), len(layout), value)
-    return parse_store(raw) if kind == "store" else parse_sales(raw, scoring=kind == "scoring")
+    parts = F.split(F.col(value), ",")
+    raw = lines.select(F.col(value).alias("line"), *[F.get(parts, at).alias(name) for at, name in enumerate(layout)])
+    enough = F.size(F.split("line", ",")) >= len(layout)
+    good = raw.where(enough)
+    accepted, _ = parse_store(good) if kind == "store" else parse_sales(good, scoring=kind == "scoring")
+    bad = {"few_fields": ~enough, "bad_store": p.parse_int(F.col("Store")).isNull()}
+    if kind != "store":
+        bad["bad_date"] = p.parse_date(F.col("Date")).isNull()
+    return accepted, with_reasons(raw, bad).where("reason IS NOT NULL").select("line", "reason")
 
 
 def load_sales_folder(spark: SparkSession, folder: str, scoring: bool = False) -> DataFrame:
@@ -150,9 +205,9 @@ def load_sales_folder(spark: SparkSession, folder: str, scoring: bool = False) -
     fact = f"{folder.rstrip('/')}/{TEST_FILE if scoring else TRAIN_FILE}"
     store = f"{folder.rstrip('/')}/{STORE_FILE}"
     require_paths(spark, fact, store)
-    stores = parse_store(read_text_table(spark, store))
+    stores, _ = parse_store(read_text_table(spark, store))
     stores = first_per_key(stores, "store_id", F.struct(*[c for c in stores.columns if c != "store_id"]))
-    return enrich_sales(parse_sales(read_text_table(spark, fact), scoring), stores)
+    return enrich_sales(parse_sales(read_text_table(spark, fact), scoring)[0], stores)
 
 
 def archive_import(raw: DataFrame, path: str, imported_at: str) -> None:

@@ -14,7 +14,7 @@ def save_model(
     params: DataFrame, path: str, name: str, version: str = DEFAULT_VERSION,
     model_type: str | None = None, parameters: dict[str, str] | None = None, created: str | None = None,
 ) -> None:
-    """Append the parameter rows of a fitted model with its description."""
+    """Store the parameter rows of a fitted model with its description; a version saved before is replaced."""
     described = F.create_map(*[F.lit(x) for pair in (parameters or {}).items() for x in pair])
     if not parameters:
         described = F.expr("cast(map() as map<string,string>)")
@@ -25,8 +25,9 @@ def save_model(
         "created": stamp,
     })
     # One folder per model: models differ in their parameter columns.
-    # The "v" keeps a version such as 1.10 from being read back as a number.
-    row.withColumn(TAG, F.concat(F.lit("v"), F.lit(version))).write.mode("append").partitionBy(TAG).parquet(
+    # The "v" keeps a version such as 1.10 from being read back as a number.  Only this version's folder is replaced.
+    tagged = row.withColumn(TAG, F.concat(F.lit("v"), F.lit(version)))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(TAG).parquet(
         f"{path.rstrip('/')}/model_name={name}"
     )
 
@@ -35,6 +36,8 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{path.rstrip('/')}/model_name={name}")
     except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no model {name!r} below {path}") from error
 
 
@@ -47,4 +50,4 @@ def load_model(spark: SparkSession, path: str, name: str, version: str = DEFAULT
 
 
 def model_versions(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return _read(spark, path, name).select(F.substring(TAG, 2, 1000).alias("version")).distinct()
+    return _read(spark, path, name).select(F.expr(f"substring({TAG}, 2)").alias("version")).distinct()

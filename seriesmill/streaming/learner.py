@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from seriesmill.functions.lookups import clamp_value
+from seriesmill.functions.lookups import within_limits
 from seriesmill.operators.models.lookback import SD_FLOOR, step_weights
 from seriesmill.operators.models.ssa import affine_rule, leading_vectors
 from seriesmill.operators.series import KEY
@@ -71,7 +71,7 @@ def online_learner(
     are taken in date order; a row not after the last one seen is only reported as
     ``late``.  An error counts only when the row is the day right after the last.
     """
-    window = clamp_value(window, "learner_window")
+    window = within_limits(window, "learner_window")
     forecast_from = step or lookback_step(7)
     half = window // 2
     epoch = dt.date(1970, 1, 1)

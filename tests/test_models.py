@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -5,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import reference_models as loops
+from conftest import START
 from pyspark.sql import functions as F
 
 from seriesmill.operators.evaluate import cross_validate, cv_folds
@@ -15,6 +17,7 @@ from seriesmill.operators.models import (
 )
 from seriesmill.operators.models.base import UserModel
 from seriesmill.operators.tune import best_parameters, grid_models, grid_search
+from seriesmill.schema import SERIES as SERIES_SCHEMA
 
 H = 14
 random.seed(5)
@@ -175,7 +178,7 @@ def test_forecast_run_fits_on_the_first_part(make):
 
 def test_registry_of_models():
     assert available_models() == ["decompose", "lookback", "ssa", "wma"]
-    assert get_model("SSA", window=99).window == 30
+    assert get_model("SSA", window=30).window == 30
     with pytest.raises(ValueError, match="unknown model"):
         get_model("nothing")
 
@@ -250,7 +253,9 @@ def test_retried_prediction(make):
 
     data = make({"k": NOISE, "dirty": [-1] * 5 + NOISE[:60], "bad": [-1] * 40})
     refit = retry_prediction(data.where("series_key = 'k'"), "not_fitted", LookbackModel(), 3).orderBy("step").collect()
-    assert [r.yhat for r in refit] == pytest.approx(loops.lookback_forecast(NOISE[-30:], 3))
+    assert [r.yhat for r in refit] == pytest.approx(loops.lookback_forecast(NOISE, 3))
+    newest = retry_prediction(data.where("series_key = 'k'"), "not_fitted", LookbackModel(), 3, recent=30).orderBy("step").collect()
+    assert [r.yhat for r in newest] == pytest.approx(loops.lookback_forecast(NOISE[-30:], 3))
     cleaned = retry_prediction(data, "invalid_values", LookbackModel(), 1)
     got = {r.series_key: r.yhat for r in cleaned.collect()}
     assert set(got) == {"k", "dirty"} and got["dirty"] == pytest.approx(loops.lookback_forecast(NOISE[:60], 1)[0])
@@ -266,3 +271,37 @@ def test_result_does_not_depend_on_partitions(spark, make):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("model", [DecomposeModel(), WeightedModel(), LookbackModel(), SsaModel(5, 2)])
+def test_missing_values_are_reported_and_others_forecast(spark, make, model):
+    """A null near the end, one in the middle, a NaN and nulls only: none is forecast, none stops the other keys."""
+    from seriesmill.operators.series import fill_gaps
+
+    day = lambda i: START + dt.timedelta(days=i)
+    rows = [(k, day(i), float(NOISE[i % len(NOISE)])) for k in ("good",) for i in range(60)]
+    for key, at, value in (("late", 59, None), ("middle", 30, None), ("nan", 40, math.nan)):
+        rows += [(key, day(i), value if i == at else float(NOISE[i % len(NOISE)])) for i in range(60)]
+    rows += [("none", day(i), None) for i in range(60)]
+    data = spark.createDataFrame(rows, SERIES_SCHEMA)
+    forecast = model.predict(model.fit(data), 3)
+    assert {r.series_key for r in forecast.collect()} == {"good"}
+    assert {(r.series_key, r.error_type) for r in model.skipped(data).collect()} == {(k, "missing_values") for k in ("late", "middle", "nan", "none")}
+    filled = fill_gaps(data.where("series_key = 'late'"))
+    assert model.predict(model.fit(filled), 2).where("yhat IS NOT NULL").count() == 2
+    assert {r.error_type for r in model.skipped(make({"k": [1.0]})).collect()} == ({"too_short"} if model.min_rows > 1 else set())
+
+
+def test_parameters_outside_their_limits_are_errors():
+    for build in (lambda: SsaModel(60), lambda: SsaModel(7, 9), lambda: LookbackModel(3)):
+        with pytest.raises(ValueError, match="must lie between"):
+            build()
+
+
+def test_run_of_a_model_without_a_window_ends_at_the_last_day(make):
+    from seriesmill.operators.forecast_run import forecast_run
+
+    line = make({"k": range(100)})
+    rows = forecast_run(line, "decompose", 2).orderBy("step").collect()
+    assert [str(r.ds) for r in rows] == ["2024-04-10", "2024-04-11"] and rows[0].yhat > 90
+    assert forecast_run(line, "wma", 2).count() == 2

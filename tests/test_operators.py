@@ -62,19 +62,14 @@ def test_split_and_short_series(make):
     assert values(short, "n") == {"j": 2} and long_enough.select("series_key").distinct().count() == 1
 
 
-def test_recent_part_or_tail(make):
-    data = make({"k": range(10), "one": [4]})
-    assert sorted(r.y for r in series.recent_or_tail(data).where("series_key = 'k'").collect()) == [8.0, 9.0]
-    whole = series.recent_or_tail(data, share=1.0, tail=3)
-    assert sorted((r.series_key, r.y) for r in whole.collect()) == [("k", 7.0), ("k", 8.0), ("k", 9.0), ("one", 4.0)]
-    cut = series.between_dates(data, "2024-01-02", "2024-01-03")
+def test_date_range_takes_whole_days(make, spark):
+    cut = series.between_dates(make({"k": range(10)}), "2024-01-02", "2024-01-03")
     assert sorted(r.y for r in cut.collect()) == [1.0, 2.0]
+    times = spark.sql("SELECT timestamp_ntz'1996-12-31 10:00' AS ds UNION ALL SELECT timestamp_ntz'1997-01-01 00:00'")
+    assert series.between_dates(times, "1996-12-01", "1996-12-31").count() == 1
 
 
-def test_future_spine_and_sortedness(make, spark):
-    last = spark.createDataFrame([("k", dt.date(2024, 2, 28))], "series_key string, last_ds date")
-    days = [r.ds.isoformat() for r in series.future_spine(last, 3).orderBy("step").collect()]
-    assert days == ["2024-02-29", "2024-03-01", "2024-03-02"]
+def test_sortedness(make):
     arrived = make({"k": [1, 2, 3, 4]}).withColumn("arrival", F.expr("array(2, 1, 3, 4)[datediff(ds, date'2024-01-01')]"))
     row = series.sortedness(arrived, "arrival").first()
     assert (row.inversions, row.is_sorted) == (1, False)
@@ -116,22 +111,26 @@ def test_guard_refuses_heavy_loss(make):
 def test_recovery_by_error_class(make):
     data = make({
         "dirty": [-1] + [5 + i % 3 for i in range(59)], "lost": [-1] * 20 + [4] * 40, "short": [i % 5 for i in range(40)],
-        "tiny": [1, 2, 3], "large": [i % 9 for i in range(90)], "fine": [i % 4 for i in range(70)],
+        "tiny": [1, 2, 3], "large": [i % 9 for i in range(2000)], "fine": [i % 4 for i in range(70)],
     })
-    params, report = recover.fit_with_recovery(data, "lookback", max_rows=80, lookback=30)
-    got = {r.series_key: (r.error_type, r.action, r.recovered, r.rows_used) for r in report.collect()}
+    params, report = recover.fit_with_recovery(data, "lookback", {"lookback": 14}, lookback=29)
+    got = {r.series_key: (r.error_type, r.action, r.recovered, r.rows_used, r.parameters) for r in report.collect()}
     assert got == {
-        "dirty": ("invalid_values", "clean", True, 59), "lost": ("invalid_values", "clean", False, 0),
-        "short": ("invalid_parameters", "defaults", True, 40), "tiny": ("invalid_parameters", "defaults", False, 0),
-        "large": ("too_large", "recent_1000", True, 90),
+        "dirty": ("invalid_values", "clean", True, 59, "lookback=29"), "lost": ("invalid_values", "clean", False, 0, "lookback=29"),
+        "short": ("invalid_parameters", "fallback", True, 40, "lookback=14"),
+        "tiny": ("invalid_parameters", "fallback", False, 0, "lookback=14"),
     }
-    assert {r.series_key for r in params.collect()} == {"dirty", "short", "large", "fine"}
+    used = {r.series_key: r.n for r in params.collect()}
+    assert used == {"dirty": 59, "short": 40, "large": 2000, "fine": 70}
+    _, strict = recover.fit_with_recovery(data, "lookback", lookback=29)
+    assert {r.series_key: (r.action, r.recovered) for r in strict.where("error_type = 'invalid_parameters'").collect()} == {
+        "short": ("none", False), "tiny": ("none", False)}
     from seriesmill.operators.models import LookbackModel
 
-    forecast = LookbackModel(30).predict(params, 3)
+    forecast = LookbackModel(29).predict(params, 3)
     assert forecast.where("yhat IS NOT NULL").count() == 12
     stats = {r.error_type: (r.attempts, r.open_attempts) for r in recover.error_statistics(report).collect()}
-    assert stats == {"invalid_values": (2, 1), "invalid_parameters": (2, 1), "too_large": (1, 0)}
+    assert stats == {"invalid_values": (2, 1), "invalid_parameters": (2, 1)}
 
 
 # -- scalar rules ----------------------------------------------------------------

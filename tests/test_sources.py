@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.operators.models import DecomposeModel, SsaModel
+from seriesmill.schema import SALES
 from seriesmill.sources import csv, market, registry
 
 STORE_CSV = """Store,StoreType,Assortment,CompetitionDistance,CompetitionOpenSinceMonth,CompetitionOpenSinceYear,Promo2,Promo2SinceWeek,Promo2SinceYear,PromoInterval
@@ -99,6 +100,9 @@ def test_registry(spark, make, tmp_path):
     assert loaded.first().parameters == {"window": "5", "components": "2"}
     want = [r.yhat for r in model.predict(params, 4).orderBy("step").collect()]
     assert [r.yhat for r in model.predict(loaded, 4).orderBy("step").collect()] == pytest.approx(want)
+    registry.save_model(SsaModel(7, 1).fit(series), path, "ssa", "1.0", parameters={"window": "7"})
+    again = registry.load_model(spark, path, "ssa", "1.0").collect()
+    assert [r.parameters["window"] for r in again] == ["7"] and registry.model_versions(spark, path, "ssa").count() == 2
     for name, version in (("ssa", "9"), ("none", "1.0")):
         with pytest.raises(FileNotFoundError):
             registry.load_model(spark, path, name, version)
@@ -121,7 +125,7 @@ def test_market_documents(spark):
 
 def test_split_tables(spark):
     def table(kind, *lines):
-        return csv.parse_split_table(spark.createDataFrame([(x,) for x in lines], "value string"), kind).collect()
+        return csv.parse_split_table(spark.createDataFrame([(x,) for x in lines], "value string"), kind)[0].collect()
 
     store = table("store", "1,a,b,,9,2008,1,,2010,Jan", "2,a,b,5", "x,a,b,,9,2008,1,,2010,Jan")
     assert [(r.store_id, r.competition_distance, r.promo2, r.promo2_since_week) for r in store] == [(1, None, 1, None)]
@@ -129,3 +133,34 @@ def test_split_tables(spark):
     assert [(r.store_id, r.sales, r.customers, r.state_holiday) for r in sales] == [(3, 12.5, 4, "a")]
     scoring = table("scoring", "77,3,4,2015-09-17,1,1,0,0")
     assert [(r.store_id, str(r.ds), r.sales, r.open) for r in scoring] == [(3, "2015-09-17", 0.0, 1)]
+
+
+def test_every_row_is_accepted_or_rejected(spark):
+    columns = "Store string, Date string, Sales string, Customers string, Open string, Promo string, StateHoliday string, SchoolHoliday string"
+    rows = [("1", "2015-07-31", "5", "1", "", None, "0", "1"), ("x", "2015-07-31", "5", "1", "1", "1", "0", "1"), ("2", "soon", "5", "1", "1", "1", "0", "1"),
+            ("3", "2015-07-31", "many", None, "1", "1", None, "2"), (None,) * 8]
+    good, bad = csv.parse_sales(spark.createDataFrame(rows, columns))
+    assert good.columns == SALES.names
+    assert sorted((r.store_id, r.sales, r.customers, r.open, r.promo, r.school_holiday) for r in good.collect()) == [
+        (1, 5.0, 1, 0, 0, 1), (3, None, None, 1, 1, 0)]
+    assert sorted(((r.raw_store, r.raw_date, r.reason) for r in bad.collect()), key=str) == [
+        ("2", "soon", "bad_date"), ("x", "2015-07-31", "bad_store"), (None, None, "bad_store")]
+    lines = spark.createDataFrame([("3,5,2015-07-31,12.5,4,,0,a,1",), ("3,5",), ("s,5,2015-07-31,12.5,4,1,0,a,1",), ("3,5,no,1,4,1,0,a,1",)], "value string")
+    good, bad = csv.parse_split_table(lines, "sales")
+    assert [r.open for r in good.collect()] == [0] and sorted(r.reason for r in bad.collect()) == ["bad_date", "bad_store", "few_fields"]
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Sales\n2024-01-01,1\n2024-01-02,"2"\n')
+    (tmp_path / "b.csv").write_text("Sales, Date ,Holiday\n3,2024-01-03,a\n")
+    (tmp_path / "c.csv").write_text("date,sales\n")
+    good, bad = csv.parse_demand(csv.read_mixed_tables(spark, str(tmp_path)))
+    assert sorted((str(r.ds), r.sales, r.state_holiday) for r in good.collect()) == [
+        ("2024-01-01", 1.0, "0"), ("2024-01-02", 2.0, "0"), ("2024-01-03", 3.0, "a")]
+    assert bad.count() == 0
+
+
+def test_shared_folder(spark):
+    from seriesmill.session import is_local
+
+    assert [is_local(m) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1024]", "yarn", "spark://h:7077")] == [True, True, True, False, False, False]
