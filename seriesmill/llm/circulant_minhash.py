@@ -26,6 +26,7 @@ class Settings:
     rows: int = 5
     universe_bits: int = 20
     seed: int = 17
+    leader_rounds: int = 2
 
     @property
     def coordinates(self) -> int:
@@ -165,13 +166,31 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Sett
     return stage(rows.mapInArrow(_confirm(settings), f"a {kind}, b {kind}"), "links")
 
 
+def _open_rows(met: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, cls, comp, main``: the buckets that hold several components; ``main`` is the largest there."""
+    owner = classes.join(found, "id", "left").select("cls", F.coalesce("component_id", "id").alias("comp"))
+    placed = met.select("key", "cls").join(owner, "cls")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return stage(placed.join(mixed.select("key", "main"), "key"), "open")
+
+
+def _led_by_most_linked(opened: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b``: per bucket, the class ``a`` with most links of the largest component, and each ``b`` outside it."""
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    ranked = opened.where("comp = main").join(
+        classes.select("cls", "id").join(ends, "id").select("cls", "links"), "cls", "left").groupBy("key").agg(
+        F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "cls"))["cls"].alias("a"))
+    return opened.where("comp <> main").join(ranked, "key").select("a", F.col("cls").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``id, th, n_shingles, component_id, kept`` (``th`` hashes the text).
 
     Texts with the same shingle set form a class, led by its smallest id.  In every band's bucket each class is
     compared with one leader; confirmed links make components.  Only buckets that then still hold several
-    components are looked at again: members outside a bucket's largest component meet all members of other
-    components.  A pair is confirmed on its full sets.  Every link within a bucket is thus either confirmed or
+    components are looked at again: first members outside a bucket's largest component meet its most linked class
+    (``leader_rounds`` times), then those that are still outside meet all members of other components.  A pair is confirmed on its full sets.  Every link within a bucket is thus either confirmed or
     its ends are already in one component.
 
     Null and empty texts have no shingles and link with nothing.  Rows that share an id but not a text are
@@ -192,18 +211,21 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), id_col: str
     links = _links(first, classes, docs, settings)
     found = stage(components(links), "components")
 
-    # Buckets that still hold several components.
-    owner = classes.join(found, "id", "left").select("cls", F.coalesce("component_id", "id").alias("comp"))
-    placed = met.select("key", "cls").join(owner, "cls")
-    counted = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = counted.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_rows = stage(placed.join(mixed, "key"), "open")
-    few, all_rows = (
-        open_rows.select("key", F.col("cls").alias(s), F.col("comp").alias(f"comp_{s}"), "main").join(_side(classes, s), s) for s in "ab")
-    again = few.where("comp_a <> main").drop("main").join(all_rows, "key").where(
+    kind = dict(classes.dtypes)["id"]
+    for _ in range(settings.leader_rounds):
+        opened = _open_rows(met, classes, found)
+        pairs = stage(sides(_led_by_most_linked(opened, classes, links)).select("a", "b", "id_a", "id_b").join(
+            first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        links = stage(links.union(_links(pairs, classes, docs, settings)), "links")
+        found = stage(components(links), "components")
+
+    few, every = (
+        _open_rows(met, classes, found).select("key", F.col("cls").alias(s), F.col("comp").alias(f"comp_{s}"), "main").join(_side(classes, s), s) for s in "ab")
+    again = few.where("comp_a <> main").drop("main").join(every, "key").where(
         (F.col("comp_a") != F.col("comp_b")) & _alike(settings.percent) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-    later = stage(again.select("a", "b", "id_a", "id_b").distinct().join(first, ["a", "b"], "left_anti").join(
-        first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    later = stage(again.select("a", "b", "id_a", "id_b").distinct(), "pairs")
     if not later.isEmpty():
         found = stage(components(links.union(_links(later, classes, docs, settings))), "components")
 
