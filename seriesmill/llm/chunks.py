@@ -74,3 +74,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def bytes_of(column: pa.Array) -> pa.Array:
     """One array of the texts as bytes; null becomes empty."""
     return pa.concat_arrays([pc.fill_null(column, "").cast(pa.large_binary())])
+
+
+def zip_bytes(content: bytes) -> bytes:
+    return zstandard.compress(content, 1)
+
+
+def unzip_bytes(content: bytes | pa.Scalar) -> bytes:
+    return zstandard.decompress(content.as_py() if isinstance(content, pa.Scalar) else content)

@@ -112,6 +112,12 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seriesmill.llm import pitman_yor
+
+    return pitman_yor.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seriesmill.llm import spelling as S
 
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules,
     "op10_token_files": token_files,
     "op11_alignment": alignment,
+    "op12_lm_scores": lm_scores,
     "op13_spelling": spelling,
 }
 _WORDS_4 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
