@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from seriesmill.llm import words as W
 from seriesmill.llm.tables import stage
 
 
-_SLICE = 1 << 15
+_SLICE = 1 << 15  # distinct stretches encoded and linked at a time
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Settings:
 
     byte_tokenizer: str | None = None
     piece_tokenizer: str | None = None
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
     chunks: int | None = None
 
 
@@ -159,12 +159,6 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
 
 
-def _in_slices(encode: Callable[[list[str]], list[list[int]]], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and their number per text; the tokenizers' own objects live for one slice only."""
-    parts = [_flat(encode(texts.slice(k, _SLICE).to_pylist())) for k in range(0, max(len(texts), 1), _SLICE)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-
 def _join(parts: pa.Array, counts: np.ndarray, by: str) -> pa.Array:
     """Runs of ``counts`` strings joined by ``by``."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
@@ -194,15 +188,20 @@ class Aligner:
         self.cuts = self.b.cuts and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.a.model.normalizer is None
 
     def encode(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        texts = stretches.cast(pa.large_string())
-        return *_in_slices(self.a.encode, texts), *_in_slices(lambda t: self.b.encode(t, whole=not self.cuts), texts)
+        texts = stretches.cast(pa.large_string()).to_pylist()
+        return *_flat(self.a.encode(texts)), *_flat(self.b.encode(texts, whole=not self.cuts))
 
     def _same(self, stretches: pa.Array, ids: np.ndarray, counts: np.ndarray, table: pa.Array) -> np.ndarray:
         """Whether the bytes of the tokens are those of the stretch."""
         return pc.equal(_join(table.take(pa.array(ids)), counts, b""), stretches).to_numpy(zero_copy_only=False)
 
     def units(self, stretches: pa.Array) -> Units:
-        """Links and groups of stretches; each is a block of its own on the diagonal of the matrices."""
+        """Links and groups of stretches, some at a time: each is a block of its own on the diagonal of the matrices."""
+        parts = [self._units(stretches.slice(k, _SLICE)) for k in range(0, max(len(stretches), 1), _SLICE)]
+        merged = {f.name: np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Units) if f.name != "groups"}
+        return Units(groups=pa.concat_arrays([p.groups for p in parts]), **merged)
+
+    def _units(self, stretches: pa.Array) -> Units:
         a, n_a, b, n_b = self.encode(stretches)
         ok = self._same(stretches, a, n_a, self.a.bytes) & self._same(stretches, b, n_b, self.b.bytes)
         in_a, in_b = np.repeat(np.arange(len(ok)), n_a), np.repeat(np.arange(len(ok)), n_b)
@@ -251,6 +250,8 @@ def _describe(settings: Settings, parts: int):
                     C.requests([C.deal(pairs, weight, (pairs >> 32) % parts)]),
                 ], ["block", "ids", *_COUNTS, "sha", "offsets", "codes", "links", "links_at", "pairs", "requests"])
                 number += 1
+                del units, stretches, lists, codes, row, code
+                pa.default_memory_pool().release_unused()
 
     return run
 
