@@ -22,10 +22,11 @@ from seriesmill.llm import words as W
 from seriesmill.llm.tables import stage
 from seriesmill.session import scratch_path
 
-# File: magic, length of the JSON head, head, then the compressed parts in the order of the head.
-MAGIC = b"SMWM0001"
+# File: magic, length of the JSON head, head, the table of part sizes, the rank directory, then the compressed parts: the pieces of each
+# bit-plane, the ends of the documents, and their names.
+MAGIC = b"SMWM0002"
 SUFFIX = ".wm"
-_BLOCK = 512  # bits between entries of the rank directory
+_PIECE = 1 << 14  # bytes of a plane that are compressed together
 
 
 @dataclass(frozen=True)
@@ -39,14 +40,20 @@ class Settings:
 
 
 def build(ids: np.ndarray, ends: np.ndarray, names: pa.Array, base: int = 0, task: int = 0, level: int = 1) -> bytes:
-    """File content for ``ids`` of the documents ``names``, which end at ``ends``; ``base`` ids of task ``task`` stand before them."""
+    """File content for ``ids`` of the documents ``names``, which end at ``ends``; ``base`` ids of task ``task`` stand before them.
+
+    The directory holds the ones of each plane before each of its pieces, so a query inflates one piece of a plane.
+    """
     bits = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
-    order, zeros, parts = ids.astype(np.uint32), [], []
+    order, zeros, parts, directory = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], []
     for shift in range(bits - 1, -1, -1):
-        flags = (order >> np.uint32(shift) & np.uint32(1)).astype(bool)
+        flags = (order >> order.dtype.type(shift) & order.dtype.type(1)).astype(bool)
         low = order[~flags]
         zeros.append(len(low))
-        parts.append(np.packbits(flags).tobytes())
+        plane = np.packbits(flags)
+        pieces = [plane[k : k + _PIECE] for k in range(0, len(plane), _PIECE)]
+        directory.append(np.cumsum([0, *(int(np.bitwise_count(p).sum()) for p in pieces)])[:-1])
+        parts += [p.tobytes() for p in pieces]
         order = np.concatenate([low, order[flags]])  # zeros first, each side in its old order
     parts.append(ends.astype("<i8").tobytes())
     table = pa.RecordBatch.from_arrays([names], ["id"])
@@ -54,14 +61,18 @@ def build(ids: np.ndarray, ends: np.ndarray, names: pa.Array, base: int = 0, tas
     with pa.ipc.new_stream(sink, table.schema) as stream:
         stream.write_batch(table)
     parts.append(sink.getvalue().to_pybytes())
-    packed = [zstandard.compress(p, level) for p in parts]
-    head = json.dumps({"n": len(ids), "documents": len(ends), "base": base, "task": task, "bits": bits, "zeros": zeros,
-                       "sizes": [len(p) for p in packed]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *packed])
+    press = zstandard.ZstdCompressor(level)
+    packed = [press.compress(p) for p in parts]
+    tables = [np.array([len(p) for p in packed], "<i4").tobytes(), np.concatenate(directory).astype("<i8").tobytes()]
+    head = json.dumps({"n": len(ids), "documents": len(ends), "base": base, "task": task, "bits": bits, "zeros": zeros, "parts": len(packed)}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *tables, *packed])
 
 
 class Shard:
-    """Reader of one file; bit-planes are unpacked when they are first used."""
+    """Reader of one file; a piece of a plane is inflated when a query first meets it.
+
+    Queries take one place (or token, or rank) or an array of them, and answer in kind.
+    """
 
     def __init__(self, content: bytes):
         if content[: len(MAGIC)] != MAGIC:
@@ -70,103 +81,116 @@ class Shard:
         start = len(MAGIC) + 4
         self.head = json.loads(content[start : start + size])
         self.n, self.bits, self.zeros = self.head["n"], self.head["bits"], self.head["zeros"]
-        ends = np.cumsum([start + size, *self.head["sizes"]])
-        self._parts = [content[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        self._planes: dict[int, np.ndarray] = {}
-        self._ranks: dict[int, np.ndarray] = {}
+        start += size
+        sizes = np.frombuffer(content, "<i4", self.head["parts"], start)
+        start += sizes.nbytes
+        self.pieces = (self.head["parts"] - 2) // self.bits
+        self.directory = np.frombuffer(content, "<i8", self.bits * self.pieces, start).reshape(self.bits, self.pieces)
+        start += self.directory.nbytes
+        self._content, self._starts = content, np.cumsum([start, *sizes])
+        self._inflate = zstandard.ZstdDecompressor()
+        self._pieces: dict[tuple[int, int], np.ndarray] = {}
+        self._ranks: dict[tuple[int, int], np.ndarray] = {}
+
+    def _part(self, k: int) -> bytes:
+        return self._inflate.decompress(self._content[self._starts[k] : self._starts[k + 1]])
 
     @cached_property
     def ends(self) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(self._parts[-2]), "<i8")
+        return np.frombuffer(self._part(self.head["parts"] - 2), "<i8")
 
     @cached_property
     def names(self) -> pa.Array:
         """The ids of the documents."""
-        with pa.ipc.open_stream(zstandard.decompress(self._parts[-1])) as stream:
+        with pa.ipc.open_stream(self._part(self.head["parts"] - 1)) as stream:
             return pa.concat_arrays([batch.column("id") for batch in stream])
 
-    def plane(self, level: int) -> np.ndarray:
-        if level not in self._planes:
-            self._planes[level] = np.frombuffer(zstandard.decompress(self._parts[level]), np.uint8)
-        return self._planes[level]
-
-    def ones(self, level: int, at: int) -> int:
-        """Ones of a plane before ``at``: the directory's entry and the bits after it."""
-        plane = self.plane(level)
-        if level not in self._ranks:
-            step = _BLOCK // 8
-            padded = np.pad(plane, (0, -len(plane) % step)).reshape(-1, step)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).sum(axis=1, dtype=np.int64))])
-        block, rest = divmod(at, _BLOCK)
-        tail = plane[block * _BLOCK // 8 : block * _BLOCK // 8 + -(-rest // 8)]
-        return int(self._ranks[level][block]) + int(np.unpackbits(tail, count=rest).sum() if rest else 0)
-
-    def _bit(self, level: int, at: int) -> int:
-        return int(self.plane(level)[at >> 3]) >> (7 - (at & 7)) & 1
-
-    def access(self, at: int) -> int:
+    def piece(self, level: int, k: int) -> np.ndarray:
+        """The bytes of one piece of a plane."""
+        if (level, k) not in self._pieces:
+            self._pieces[level, k] = np.frombuffer(self._part(level * self.pieces + k), np.uint8)
+        return self._pieces[level, k]
+
+    def _ones_before(self, level: int, k: int) -> np.ndarray:
+        """Ones of the plane before each byte of a piece."""
+        if (level, k) not in self._ranks:
+            counts = np.bitwise_count(self.piece(level, k))
+            self._ranks[level, k] = self.directory[level, k] + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return self._ranks[level, k]
+
+    def _by_piece(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones of a plane before each place, and the bit there (0 behind the end)."""
+        ones, bit = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        which = np.minimum(at >> 3, max((self.n + 7) // 8 - 1, 0)) // _PIECE
+        for k in np.unique(which) if self.pieces else ():
+            rows = np.flatnonzero(which == k)
+            place = at[rows] - (int(k) * _PIECE << 3)
+            piece, before = self.piece(level, int(k)), self._ones_before(level, int(k))
+            byte = np.append(piece, 0)[place >> 3].astype(np.int64)
+            ones[rows] = before[place >> 3] + np.bitwise_count(byte >> (8 - (place & 7)))
+            bit[rows] = byte >> (7 - (place & 7)) & 1
+        return ones, bit
+
+    def access(self, at):
         """The token at a place."""
-        value = 0
+        place = np.atleast_1d(np.asarray(at, np.int64))
+        value = np.zeros(len(place), np.int64)
         for level in range(self.bits):
-            bit = self._bit(level, at)
-            ones = self.ones(level, at)
-            at = self.zeros[level] + ones if bit else at - ones
+            ones, bit = self._by_piece(level, place)
+            place = np.where(bit == 1, self.zeros[level] + ones, place - ones)
             value = value << 1 | bit
-        return value
+        return value if np.ndim(at) else int(value[0])
 
-    def _range(self, token: int, low: int, high: int) -> tuple[int, int]:
+    def _start(self, token: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the places of ``token`` from ``at`` on begin below the last plane."""
         for level in range(self.bits):
-            a, b = self.ones(level, low), self.ones(level, high)
-            if token >> (self.bits - 1 - level) & 1:
-                low, high = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                low, high = low - a, high - b
-        return low, high
-
-    def count(self, token: int, low: int = 0, high: int | None = None) -> int:
-        """Occurrences of a token in places ``low`` to ``high``."""
-        if not 0 <= token < 1 << self.bits:
-            return 0
-        a, b = self._range(token, low, self.n if high is None else high)
-        return b - a
-
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
+            ones, _ = self._by_piece(level, at)
+            at = np.where(token >> (self.bits - 1 - level) & 1 == 1, self.zeros[level] + ones, at - ones)
+        return at
+
+    def count(self, token, low=0, high=None):
+        """Occurrences of a token in places ``low`` to ``high`` (the end)."""
+        tokens, lows, highs = np.broadcast_arrays(*(np.atleast_1d(np.asarray(x, np.int64)) for x in (token, low, self.n if high is None else high)))
+        inside = (tokens >= 0) & (tokens < 1 << self.bits)
+        found = np.where(inside, self._start(tokens, highs) - self._start(tokens, lows), 0)
+        return found if np.ndim(token) or np.ndim(low) or np.ndim(high) else int(found[0])
+
+    def _select_bit(self, level: int, bit: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place of the ``k``-th bit of a kind, by halving on the ranks."""
-        low, high = 0, self.n
-        while low < high:
+        low, high = np.zeros(len(k), np.int64), np.full(len(k), self.n, np.int64)
+        while np.any(low < high):
             middle = (low + high) // 2
-            seen = self.ones(level, middle + 1)
-            if (seen if bit else middle + 1 - seen) > k:
-                high = middle
-            else:
-                low = middle + 1
+            ones, own = self._by_piece(level, middle)
+            seen = np.where(bit == 1, ones + own, middle + 1 - ones - own)
+            high, low = np.where(seen > k, middle, high), np.where(seen > k, low, np.minimum(middle + 1, high))
         return low
 
-    def select(self, token: int, k: int) -> int:
+    def select(self, token, k):
         """Place of the ``k``-th occurrence (from 0)."""
-        if not 0 <= k < self.count(token):
+        tokens, ranks = np.broadcast_arrays(*(np.atleast_1d(np.asarray(x, np.int64)) for x in (token, k)))
+        if np.any((ranks < 0) | (ranks >= self.count(tokens))):
             raise IndexError(k)
-        at = self._range(token, 0, self.n)[0] + k
+        at = self._start(tokens, np.zeros(len(tokens), np.int64)) + ranks
         for level in range(self.bits - 1, -1, -1):
-            if token >> (self.bits - 1 - level) & 1:
-                at = self._select_bit(level, 1, at - self.zeros[level])
-            else:
-                at = self._select_bit(level, 0, at)
-        return at
+            bit = tokens >> (self.bits - 1 - level) & 1
+            at = self._select_bit(level, bit, np.where(bit == 1, at - self.zeros[level], at))
+        return at if np.ndim(token) or np.ndim(k) else int(at[0])
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.select(token, np.arange(self.count(token))).tolist()
 
     def decode(self) -> np.ndarray:
         """All tokens, rebuilt from the last plane upwards."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            flags = np.unpackbits(self.plane(level), count=self.n).view(bool)
-            above = np.empty(self.n, np.uint32)
+            plane = np.concatenate([self.piece(level, k) for k in range(self.pieces)]) if self.pieces else np.zeros(0, np.uint8)
+            flags = np.unpackbits(plane, count=self.n).view(bool)
+            above = np.empty(self.n, kind)
             above[~flags] = values[: self.zeros[level]]
-            above[flags] = values[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            above[flags] = values[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             values = above
-        return values
+        return values.astype(np.uint32)
 
     def documents(self) -> Iterator[np.ndarray]:
         ids, start = self.decode(), 0
@@ -227,7 +251,11 @@ def write_shards(df: DataFrame, folder: str, settings: Settings = Settings(), id
 
 
 def read_shards(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
-    """``id, task, start, n_tokens, ids_crc32`` of every document in the files; ``start`` counts from the task's first id."""
+    """One row per document in the files: ``id, task, start, n_tokens, ids_crc32, last_id, n_end_ids, last_end``.
+
+    ``start`` counts from the task's first id.  The last id is looked up by access, the end ids of the document are
+    counted by rank, and the place of the last one (from the document's start) is found by select.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,17 +263,20 @@ def read_shards(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
                 shard = Shard(content.as_py())
                 crc = [zlib.crc32(ids.astype("<u4").data) for ids in shard.documents()]
                 starts = np.concatenate([[0], shard.ends[:-1]]).astype(np.int64)
+                until = shard.count(T.END_ID, np.zeros(len(starts), np.int64), shard.ends)
+                own = shard.count(T.END_ID, starts, shard.ends)
                 yield pa.RecordBatch.from_arrays([
                     shard.names, pa.array(np.full(len(crc), shard.head["task"], np.int32)), pa.array(shard.head["base"] + starts),
-                    pa.array(shard.ends - starts), pa.array(crc, pa.int64()),
-                ], ["id", "task", "start", "n_tokens", "ids_crc32"])
+                    pa.array(shard.ends - starts), pa.array(crc, pa.int64()), pa.array(shard.access(shard.ends - 1)), pa.array(own),
+                    pa.array(shard.select(T.END_ID, until - 1) - starts),
+                ], ["id", "task", "start", "n_tokens", "ids_crc32", "last_id", "n_end_ids", "last_end"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", "content")
-    return files.mapInArrow(read, f"id {id_type}, task int, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(read, f"id {id_type}, task int, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long, last_end long")
 
 
 def round_trip(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``df`` as shards and read them back: ``id, start, n_tokens, ids_crc32``, ``start`` counted over all documents.
+    """Write ``df`` as shards and read them back: the columns of ``read_shards``, ``start`` counted over all documents.
 
     A document's start is its start within its task's files plus the ids of all earlier tasks, of which there is
     one number each.  An empty table gives no file and no row.
@@ -254,8 +285,8 @@ def round_trip(df: DataFrame, settings: Settings = Settings(), id_col: str = "do
     folder = scratch_path(spark, "wavelet")
     files = stage(write_shards(df, folder, settings, id_col, text_col), "wavelet-files")
     if files.isEmpty():
-        return spark.createDataFrame([], f"id {kind}, start long, n_tokens long, ids_crc32 long")
+        return spark.createDataFrame([], f"id {kind}, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long, last_end long")
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = files.groupBy("task").agg(F.sum("n_tokens").alias("n")).select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return read_shards(spark, folder, kind).join(F.broadcast(before), "task").select(
-        "id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+        "id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "last_id", "n_end_ids", "last_end")
