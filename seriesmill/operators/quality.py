@@ -70,10 +70,8 @@ def with_zscore(rows: DataFrame) -> DataFrame:
 def anomalies(rows: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
     """Rows further than ``limit`` deviations from the mean of their key."""
     return with_zscore(rows).where(F.col("zscore") > limit).select(
-        KEY, "ds", F.col("y").alias("value"), "zscore",
-        F.format_string(
-            "Sales value %.2f is %.2f standard deviations from mean", F.col("y"), F.col("zscore")
-        ).alias("description"),
+        KEY, "ds", F.col("y").alias("value"), "zscore", "mean", "sd",
+        F.when(F.col("y") < F.col("mean"), "low").otherwise("high").alias("side"),
     )
 
 
@@ -105,7 +103,7 @@ def quality_report(
     min_rows: int = MIN_ROWS,
     max_missing: float = MAX_MISSING_SHARE,
 ) -> DataFrame:
-    """One verdict row per key with its counts and issue texts.
+    """One verdict row per key with its counts and ``issues``: a code, the figure found and the limit it breaks.
 
     The anomalous rows are a table of their own (``anomalies``), joined by key,
     since a key may have any number of them.
@@ -115,21 +113,17 @@ def quality_report(
     too_short = F.col("total_records") < min_rows
     too_many = share > max_missing
 
-    def issue(test, text, *values):
-        return F.when(test, F.format_string(text, *values) if values else F.lit(text))
+    def finding(code, test, figure, limit):
+        return F.when(test, F.struct(F.lit(code).alias("code"), figure.cast("double").alias("figure"), limit.cast("double").alias("limit")))
 
+    none = F.lit(0)
     issues = F.array_compact(F.array(
-        issue(too_short, f"Insufficient data: %d records (minimum {min_rows} required)", F.col("total_records")),
-        issue(
-            too_many, f"Too many missing values: %.2f%% (maximum {max_missing * 100:.2f}%% allowed)", share * 100
-        ),
-        issue(F.col("date_gaps") > 0, "Found %d gaps in date sequence", F.col("date_gaps")),
-        issue(F.col("anomalies") > 0, "Found %d anomalies in the data", F.col("anomalies")),
-        issue(F.col("negative_values") > 0, "Found %d records with negative sales values", F.col("negative_values")),
-        issue(
-            F.col("oversize_values") > 0, "Found %d records with unusually large sales values (> %.2f)",
-            F.col("oversize_values"), F.col("upper_limit"),
-        ),
+        finding("too_short", too_short, F.col("total_records"), F.lit(min_rows)),
+        finding("missing_share", too_many, share, F.lit(max_missing)),
+        finding("date_gaps", F.col("date_gaps") > 0, F.col("date_gaps"), none),
+        finding("anomalies", F.col("anomalies") > 0, F.col("anomalies"), none),
+        finding("negative", F.col("negative_values") > 0, F.col("negative_values"), none),
+        finding("oversize", F.col("oversize_values") > 0, F.col("oversize_values"), none),
     ))
     return joined.withColumn("issues", issues).select(
         KEY, (F.size("issues") == 0).alias("is_valid"), "total_records", "missing_values", "date_gaps",

@@ -22,14 +22,12 @@ gaps AS (SELECT series_key, count(*) FILTER (previous_ds IS NOT NULL AND date_di
 REPORT = """
 SELECT s.series_key, total_records, s.negative_values AS missing_values, date_gaps, anomalies, s.negative_values, oversize_values,
   upper_limit, array_to_string(list_filter([
-    CASE WHEN total_records < 30 THEN printf('Insufficient data: %d records (minimum 30 required)', total_records) END,
-    CASE WHEN s.negative_values / total_records > 0.1 THEN
-      printf('Too many missing values: %.2f%% (maximum 10.00%% allowed)', s.negative_values / total_records * 100) END,
-    CASE WHEN date_gaps > 0 THEN printf('Found %d gaps in date sequence', date_gaps) END,
-    CASE WHEN anomalies > 0 THEN printf('Found %d anomalies in the data', anomalies) END,
-    CASE WHEN s.negative_values > 0 THEN printf('Found %d records with negative sales values', s.negative_values) END,
-    CASE WHEN oversize_values > 0 THEN
-      printf('Found %d records with unusually large sales values (> %.2f)', oversize_values, upper_limit) END
+    CASE WHEN total_records < 30 THEN printf('too_short %.4f/30.0000', CAST(total_records AS DOUBLE)) END,
+    CASE WHEN s.negative_values / total_records > 0.1 THEN printf('missing_share %.4f/0.1000', s.negative_values / total_records) END,
+    CASE WHEN date_gaps > 0 THEN printf('date_gaps %.4f/0.0000', CAST(date_gaps AS DOUBLE)) END,
+    CASE WHEN anomalies > 0 THEN printf('anomalies %.4f/0.0000', CAST(anomalies AS DOUBLE)) END,
+    CASE WHEN s.negative_values > 0 THEN printf('negative %.4f/0.0000', CAST(s.negative_values AS DOUBLE)) END,
+    CASE WHEN oversize_values > 0 THEN printf('oversize %.4f/0.0000', CAST(oversize_values AS DOUBLE)) END
   ], lambda x: x IS NOT NULL), '; ') AS issues
 FROM stats s JOIN ranges r ON s.series_key = r.series_key JOIN gaps g ON s.series_key = g.series_key"""
 
@@ -40,7 +38,8 @@ _REPORT_COLUMNS = (
 
 
 def _report(rows):
-    return q.quality_report(rows).withColumn("issues", F.array_join("issues", "; "))
+    text = F.transform("issues", lambda x: F.format_string("%s %.4f/%.4f", x["code"], x["figure"], x["limit"]))
+    return q.quality_report(rows).withColumn("issues", F.array_join(text, "; "))
 
 
 def _guard_sql(share: float) -> str:
@@ -61,11 +60,10 @@ QUERIES = [
         with_(SIGNED, STATS, select=f"SELECT *, issues = '' AS is_valid FROM ({REPORT})"),
     ),
     Query(
-        "anomalies_zscore", "series_key ds:d value:r zscore:r description", lambda t: q.anomalies(t.supplier()),
+        "anomalies_zscore", "series_key ds:d value:r zscore:r mean:r sd:r side", lambda t: q.anomalies(t.supplier()),
         with_(
             SUPPLIER, STATS,
-            select="""SELECT series_key, ds, y AS value, zscore,
-                      printf('Sales value %.2f is %.2f standard deviations from mean', y, zscore) AS description
+            select="""SELECT series_key, ds, y AS value, zscore, mean, sd, CASE WHEN y < mean THEN 'low' ELSE 'high' END AS side
                       FROM scored WHERE zscore > 3""",
         ),
     ),

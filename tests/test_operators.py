@@ -86,11 +86,11 @@ def test_quality_counts(make):
     })
     report = {r.series_key: r for r in quality.quality_report(rows).collect()}
     assert report["dirty"].missing_values == 4 and report["dirty"].negative_values == 3
-    assert "Too many missing values: 13.33% (maximum 10.00% allowed)" in report["dirty"].issues
+    assert ("missing_share", 13.33, 0.1) in [(i.code, round(100 * i.figure, 2), i.limit) for i in report["dirty"].issues]
     assert report["gap"].date_gaps == 2 and series.fill_gaps(rows.where("series_key = 'gap'")).count() == 32
     assert (report["spike"].anomalies, report["spike"].oversize_values) == (1, 1)
     assert report["zero"].is_valid and report["zero"].anomalies == 0
-    assert report["one"].issues == ["Insufficient data: 1 records (minimum 30 required)"]
+    assert [tuple(i) for i in report["one"].issues] == [("too_short", 1.0, 30.0)]
     # dirty: mean 8.759 and deviation 3.729 over its 29 numbers put only -3 beyond three deviations
     found = {(r.series_key, r.value): r.zscore for r in quality.anomalies(rows).collect()}
     assert set(found) == {("dirty", -3.0), ("spike", 100.0)} and found["dirty", -3.0] == pytest.approx(3.153, abs=1e-3)
