@@ -45,9 +45,9 @@ def recommendations(t: Tables):
 
 
 def _defaulted(t: Tables):
-    """Stock known for some brands only; the others get the default."""
-    large = t.table("part").where(F.col("p_size") > 48).groupBy(F.col("p_brand").alias("item")).agg(F.sum("p_size").alias("stock"))
-    return inv.recommendations(_forecast(t), large.where(F.col("stock") > 150))
+    """Stock of large parts by brand, over all parts; a brand without any has an unknown stock and gets the default."""
+    held = t.table("part").groupBy(F.col("p_brand").alias("item")).agg(F.sum(F.when(F.col("p_size") > 48, F.col("p_size"))).alias("stock"))
+    return inv.recommendations(_forecast(t), held)
 
 
 def _shared(t: Tables):
@@ -133,7 +133,7 @@ QUERIES = [
         "recommendations_default_stock", _COLUMNS, _defaulted,
         with_(
             BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, SUMMARY,
-            """stock AS (SELECT p_brand AS item, sum(p_size) AS stock FROM part WHERE p_size > 48 GROUP BY 1 HAVING sum(p_size) > 150)""",
+            """stock AS (SELECT p_brand AS item, sum(p_size) FILTER (p_size > 48) AS stock FROM part GROUP BY 1)""",
             select=recommend_sql(
                 "(SELECT series_key AS item, coalesce(stock, 20) AS current_stock, o.* FROM outlook o LEFT JOIN stock ON item = series_key)"
             ),
