@@ -51,27 +51,6 @@ def cv_folds(series: DataFrame, k: int = 5, shuffle: bool = False, seed: int = 4
     )
 
 
-def training_rows(folds: DataFrame, k: int) -> DataFrame:
-    """Every row once for each fold it trains, as a series keyed ``(series_key, fold)``.
-
-    ``fold`` is the one left out.  Its rows are one run of the order, so the
-    position inside the training series follows by subtracting their number; no
-    re-ranking.  The copies stay in the partition of their key.
-    """
-    size, extra = F.floor(F.col("n") / k).cast("int"), F.col("n") % k
-    f = F.col("_f")
-    left_out = size + F.when(f < extra, 1).otherwise(0)
-    spread = folds.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(f != F.col("fold"))
-    return spread.select(
-        KEY,
-        f.alias("fold"),
-        "ds",
-        "y",
-        (F.col("o") - F.when(F.col("fold") > f, left_out).otherwise(0)).cast("int").alias("i"),
-        (F.col("n") - left_out).cast("int").alias("n"),
-    )
-
-
 def fold_scores(series: DataFrame, model, k: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
     """Rows ``key, fold, mape``: fit on the other folds, one-step error on this one."""
     from seriesmill.operators.tune import grid_scores

@@ -33,6 +33,9 @@ class Model(Protocol):
     def predict(self, params: DataFrame, horizon: int) -> DataFrame:
         """Rows ``series_key, model, step, ds, yhat, lo, hi``."""
 
+    # Models whose parameters are aggregates of a key's rows also have ``prepare``, ``aggregates``, ``finish`` and ``steps``,
+    # so that several of them are fitted side by side in one pass (see ``fit_side_by_side``).
+
 
 _REGISTRY: dict[str, Callable[..., Model]] = {}
 
@@ -72,6 +75,30 @@ def forecast_rows(params: DataFrame, model: str, steps: Column) -> DataFrame:
     )
 
 
+def fit_side_by_side(placed: DataFrame, models: dict[str, Model], *others: Column) -> DataFrame:
+    """One row per key with a column ``{tag}fit`` for each model: its parameters, or null if the key cannot be fitted.
+
+    All models are columns of one aggregate over ``series_key, ds, y, i, n``; rows without a position ``i`` belong to the
+    key but are not learned from.  ``others`` are further aggregates.
+    """
+    for tag, model in models.items():
+        placed = model.prepare(placed, tag)
+    grouped = placed.groupBy(KEY).agg(*[a for tag, model in models.items() for a in model.aggregates(tag)], *others)
+    for tag, model in models.items():
+        grouped = model.finish(grouped, tag)
+    return grouped
+
+
+def fit_one(placed: DataFrame, model: Model) -> DataFrame:
+    """Parameter rows of one model that is an aggregate of its rows."""
+    fitted = fit_side_by_side(placed, {model.name: model}).where(F.col(f"{model.name}fit").isNotNull())
+    return fitted.select(KEY, F.lit(model.name).alias("model"), f"{model.name}fit.*")
+
+
+def fit_when(test: Column, **columns: Column) -> Column:
+    return F.when(test, F.struct(*[c.alias(n) for n, c in columns.items()]))
+
+
 def bounds(yhat: Column, margin: Column) -> Column:
     """Forecast struct with a lower bound floored at 0."""
     return F.struct(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
+from seriesmill.operators.models.base import bounds, check_horizon, fit_one, fit_when, forecast_rows
+from seriesmill.operators.models.lookback import one_step_mape
 from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import PERIOD, centred, moving_average, over, position_means, position_sums
 
@@ -47,47 +48,40 @@ class DecomposeModel:
         if window <= 0:
             raise ValueError("window must be positive")
         self.window, self.period, self.align_phase = int(window), int(period), align_phase
-
-    def fit(self, series: DataFrame) -> DataFrame:
-        period = self.period
-        placed = with_position(series).withColumn("trend", moving_average(self.window))
-        # Few sums per (key, position), then one row per key: both groupings are
-        # served by the partitioning the window already has.
-        cells = placed.where("n >= 2").groupBy(KEY, F.expr(f"i % {period} AS _p")).agg(
-            F.max("n").alias("n"),
-            F.max("ds").alias("last_ds"),
-            F.expr("max(CASE WHEN i = n - 1 THEN trend END) AS _t1"),
-            F.expr("max(CASE WHEN i = n - 2 THEN trend END) AS _t2"),
-            F.expr("sum((y - trend) * (y - trend)) AS _dd"),
-            F.expr("sum(y) AS _y"),
-            F.expr("sum(y - trend) AS _off"),
-            F.count_if(missing()).alias("_missing"),
-        )
-        sums = cells.groupBy(KEY).agg(
-            *[F.max(c).alias(c) for c in ("n", "last_ds", "_t1", "_t2")],
-            F.sum("_dd").alias("_dd"),
-            F.sum("_missing").alias("_missing"),
-            position_sums("_y", period, "_p").alias("_s"),
-            position_sums("_off", period, "_p").alias("_d"),
-        )
-        profiled = sums.where("_missing = 0").withColumn("_m", position_means("_s", period)).withColumn("profile", centred("_m", period))
-        count = f"floor((n - p + {period - 1}) / {period})"
+        self.look_back = self.window // 2 + 2
+
+    def prepare(self, placed: DataFrame, tag: str) -> DataFrame:
+        return placed.withColumn(f"{tag}trend", moving_average(self.window))
+
+    def aggregates(self, tag: str) -> list[Column]:
+        period, trend = self.period, f"{tag}trend"
+        return [c.alias(tag + n) for n, c in {
+            "n": F.expr("max(CASE WHEN i IS NOT NULL THEN n END)"), "last_ds": F.expr("max(CASE WHEN i IS NOT NULL THEN ds END)"),
+            "t1": F.expr(f"max(CASE WHEN i = n - 1 THEN {trend} END)"), "t2": F.expr(f"max(CASE WHEN i = n - 2 THEN {trend} END)"),
+            "dd": F.expr(f"sum(CASE WHEN i IS NOT NULL THEN (y - {trend}) * (y - {trend}) END)"),
+            "s": position_sums("y", period), "d": position_sums(f"(y - {trend})", period),
+            "missing": F.count_if(F.col("i").isNotNull() & missing()),
+        }.items()]
+
+    def finish(self, grouped: DataFrame, tag: str) -> DataFrame:
+        period, n = self.period, f"{tag}n"
+        profiled = grouped.withColumn(f"{tag}m", position_means(f"{tag}s", period, n)).withColumn(f"{tag}profile", centred(f"{tag}m", period))
+        count = f"floor(({n} - p + {period - 1}) / {period})"
+        d, profile = f"{tag}d", f"{tag}profile"
 
         def over_positions(term: str) -> str:
             return f"aggregate(sequence(0, {period - 1}), 0D, (a, p) -> a + {term})"
 
-        r_sum = over_positions(f"_d[p] - profile[p] * {count}")
-        r_square = over_positions(f"profile[p] * profile[p] * {count} - 2 * profile[p] * _d[p]")
-        return profiled.withColumns({"_r": F.expr(r_sum), "_rr": F.expr(f"_dd + {r_square}")}).selectExpr(
-            KEY,
-            f"'{self.name}' AS model",
-            "n",
-            "last_ds",
-            "_t1 AS level",
-            "_t1 - _t2 AS step_size",
-            "profile",
-            "sqrt(greatest(0D, (_rr - _r * _r / n) / (n - 1))) AS residual_sd",
-        )
+        r_sum = over_positions(f"{d}[p] - {profile}[p] * {count}")
+        r_square = over_positions(f"{profile}[p] * {profile}[p] * {count} - 2 * {profile}[p] * {d}[p]")
+        rest = profiled.withColumns({f"{tag}r": F.expr(r_sum), f"{tag}rr": F.expr(f"{tag}dd + {r_square}")})
+        return rest.withColumn(f"{tag}fit", fit_when(
+            F.expr(f"{n} >= {self.min_rows} AND {tag}missing = 0"), n=F.col(n), last_ds=F.col(f"{tag}last_ds"), level=F.col(f"{tag}t1"),
+            step_size=F.expr(f"{tag}t1 - {tag}t2"), profile=F.col(profile),
+            residual_sd=F.expr(f"sqrt(greatest(0D, try_divide({tag}rr - {tag}r * try_divide({tag}r, {n}), {n} - 1)))")))
+
+    def fit(self, series: DataFrame) -> DataFrame:
+        return fit_one(with_position(series).where(F.col("n") >= self.min_rows), self)
 
     def parameters(self) -> dict[str, str]:
         return {"window": str(self.window), "period": str(self.period), "align_phase": str(self.align_phase)}
@@ -95,13 +89,40 @@ class DecomposeModel:
     def skipped(self, series: DataFrame) -> DataFrame:
         return unusable(series, self.min_rows, self.name)
 
-    def predict(self, params: DataFrame, horizon: int) -> DataFrame:
-        phase = F.col("n") if self.align_phase else F.lit(0)
+    def steps(self, horizon: int, of: str = "") -> Column:
+        """The forecast as an array of ``(yhat, lo, hi)``, from parameters below ``of``."""
+        col = lambda n: F.col(of + n)
+        phase = col("n") if self.align_phase else F.lit(0)
 
         def at(step):
             position = ((step - 1 + phase) % self.period + 1).cast("int")
-            raw = F.col("level") + step * F.col("step_size") + F.element_at("profile", position)
-            return bounds(F.greatest(F.lit(0.0), raw), Z * F.col("residual_sd") * F.sqrt(step))
+            raw = col("level") + step * col("step_size") + F.element_at(col("profile"), position)
+            return bounds(F.greatest(F.lit(0.0), raw), Z * col("residual_sd") * F.sqrt(step))
+
+        return F.transform(F.sequence(F.lit(1), F.lit(check_horizon(horizon))), at)
 
-        steps = F.transform(F.sequence(F.lit(1), F.lit(check_horizon(horizon))), at)
-        return forecast_rows(params, self.name, steps)
+    def predict(self, params: DataFrame, horizon: int) -> DataFrame:
+        return forecast_rows(params, self.name, self.steps(horizon))
+
+    # -- scoring ---------------------------------------------------------------
+    def fit_struct(self) -> Column:
+        return F.struct("profile")
+
+    def rest_fit(self) -> str:
+        """The parameters ``one_step`` needs, from the position means of all folds but one."""
+        if self.period != PERIOD:
+            raise ValueError(f"folds are summed by positions of a period of {PERIOD}")
+        return f"struct(transform(_means, m -> m - aggregate(_means, 0D, (a, b) -> a + b) / {PERIOD}) AS profile)"
+
+    def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
+        """Trend of the values before a row, one step on, and the profile at the row's position.
+
+        The trend at the end of a series is a mean cut at the end, so ``half + 1`` and ``half + 2`` values give its last two.
+        """
+        half = self.window // 2
+        mean = lambda count: f"({' + '.join(lags[-count:])}) / {count}"
+        level, previous = mean(half + 1), mean(half + 2)
+        return F.expr(f"greatest(0D, 2 * {level} - {previous} + {fit}.profile[{position} % {self.period}])")
+
+    def evaluate(self, params: DataFrame, series: DataFrame) -> DataFrame:
+        return one_step_mape(self, params, series)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.arrays import dot, last_values, roll_forward
 from seriesmill.functions.lookups import within_limits
 from seriesmill.functions.metrics import mape
-from seriesmill.operators.models.base import check_horizon, forecast_rows
+from seriesmill.operators.models.base import check_horizon, fit_one, fit_when, forecast_rows
 from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import lag_names, lagged
 
@@ -36,7 +36,7 @@ class LookbackModel:
         self.lookback = within_limits(lookback, "lookback")
         self.weights = step_weights(self.lookback, weights)
         self.min_rows = 2 * self.lookback
-        self.window = self.lookback
+        self.window = self.look_back = self.lookback
 
     def parameters(self) -> dict[str, str]:
         return {"lookback": str(self.lookback)}
@@ -44,24 +44,35 @@ class LookbackModel:
     def skipped(self, series: DataFrame) -> DataFrame:
         return unusable(series, self.min_rows, self.name)
 
+    def prepare(self, placed: DataFrame, tag: str) -> DataFrame:
+        return placed
+
+    def aggregates(self, tag: str) -> list[Column]:
+        return [c.alias(tag + n) for n, c in {
+            "n": F.max(F.when(F.col("i").isNotNull(), F.col("n"))), "last_ds": F.max(F.when(F.col("i").isNotNull(), F.col("ds"))),
+            "mean": F.avg(F.when(F.col("i").isNotNull(), F.col("y"))), "sd": F.stddev_pop(F.when(F.col("i").isNotNull(), F.col("y"))),
+            "window": last_values(F.col("i"), F.col("y"), self.lookback, F.col("n")),
+            "missing": F.count_if(F.col("i").isNotNull() & missing()),
+        }.items()]
+
+    def finish(self, grouped: DataFrame, tag: str) -> DataFrame:
+        of = lambda n: F.col(tag + n)
+        return grouped.withColumn(f"{tag}fit", fit_when(
+            (of("n") >= self.min_rows) & (of("missing") == 0), n=of("n"), last_ds=of("last_ds"), mean=of("mean"),
+            sd=F.greatest(F.lit(SD_FLOOR), of("sd")), window=of("window"),
+            slot_weights=F.expr(f"array({', '.join(f'{w!r}D' for w in self.weights)})")))
+
     def fit(self, series: DataFrame) -> DataFrame:
-        placed = with_position(series).where(F.col("n") >= self.min_rows)
-        return placed.groupBy(KEY).agg(
-            F.first(F.lit(self.name)).alias("model"),
-            F.max("n").alias("n"),
-            F.max("ds").alias("last_ds"),
-            F.avg("y").alias("mean"),
-            F.greatest(F.lit(SD_FLOOR), F.stddev_pop("y")).alias("sd"),
-            last_values(F.col("i"), F.col("y"), self.lookback, F.col("n")).alias("window"),
-            F.count_if(missing()).alias("_missing"),
-        ).where("_missing = 0").drop("_missing").withColumn("slot_weights", F.expr(f"array({', '.join(f'{w!r}D' for w in self.weights)})"))
+        return fit_one(with_position(series).where(F.col("n") >= self.min_rows), self)
 
-    def predict(self, params: DataFrame, horizon: int = 14) -> DataFrame:
-        mean, sd = F.col("mean"), F.col("sd")
-        scaled = F.transform("window", lambda v: (v - mean) / sd)
+    def steps(self, horizon: int, of: str = "") -> Column:
+        """The forecast as an array of ``(yhat, lo, hi)``, from parameters below ``of``."""
+        col = lambda n: F.col(of + n)
+        mean, sd = col("mean"), col("sd")
+        scaled = F.transform(col("window"), lambda v: (v - mean) / sd)
 
         def step(w: Column) -> Column:
-            return squash(dot(w, F.col("slot_weights")), F.element_at(w, -1) - F.element_at(w, -3))
+            return squash(dot(w, col("slot_weights")), F.element_at(w, -1) - F.element_at(w, -3))
 
         def unscale(z: Column, k: Column) -> Column:
             value = z * sd + mean
@@ -72,15 +83,17 @@ class LookbackModel:
                 (value + width).alias("hi"),
             )
 
-        path = roll_forward(scaled, check_horizon(horizon), step)
-        return forecast_rows(params, self.name, F.transform(path, unscale))
+        return F.transform(roll_forward(scaled, check_horizon(horizon), step), unscale)
+
+    def predict(self, params: DataFrame, horizon: int = 14) -> DataFrame:
+        return forecast_rows(params, self.name, self.steps(horizon))
 
     # -- scoring ---------------------------------------------------------------
     def fit_struct(self) -> Column:
         """Fitted values a score needs, out of this model's parameter row."""
         return F.struct("mean", "sd")
 
-    def one_step(self, lags: list[str], fit: str) -> Column:
+    def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
         """One-step forecast from columns of previous values (oldest first; the newest fit)."""
         lags = lags[-self.lookback:]
         weighted = " + ".join(f"{w!r}D * {x}" for w, x in zip(self.weights, lags))
@@ -94,10 +107,10 @@ class LookbackModel:
 
 def one_step_predictions(model, params: DataFrame, series: DataFrame) -> DataFrame:
     """Actual and one-step forecast for every row with a full window before it."""
-    size = model.window
+    size = model.look_back
     windows = with_position(series).select(KEY, "ds", "i", "y", *lagged(size)).where(F.col("i") >= size)
     fits = params.select(KEY, model.fit_struct().alias("_fit"))
-    predicted = model.one_step(lag_names(size), "_fit")
+    predicted = model.one_step(lag_names(size), "_fit", "i")
     return windows.join(fits, KEY).select(KEY, "ds", "i", "y", predicted.alias("yhat"))
 
 

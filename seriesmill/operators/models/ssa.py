@@ -74,6 +74,52 @@ def _vectors_column(rows) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
+def recurrence(means, vectors):
+    """Weights of the value that follows ``L - 1`` others if all ``L`` lie in the span of the vectors; intercept and weights."""
+    last = vectors[:, -1, :]
+    weights = np.einsum("mjc,mc->mj", vectors[:, :-1, :], last) / (1.0 - (last**2).sum(1))[:, None]
+    return means[:, -1] - (means[:, :-1] * weights).sum(1), weights
+
+
+def rebuilt_tail(values, means, vectors):
+    """The last ``L - 1`` values of the rebuilt series, from the last ``2 L - 2`` observed.
+
+    Every window is projected on the vectors; a day's value is the mean over the anti-diagonal, that is over all windows that hold it.
+    """
+    size = means.shape[1]
+    windows = np.lib.stride_tricks.sliding_window_view(values, size, axis=1)
+    centred = windows - means[:, None, :]
+    projected = np.einsum("mwc,mjc->mwj", np.einsum("mwj,mjc->mwc", centred, vectors), vectors) + means[:, None, :]
+    total, seen = np.zeros_like(values), np.zeros(values.shape[1])
+    for w in range(windows.shape[1]):
+        total[:, w : w + size] += projected[:, w]
+        seen[w : w + size] += 1
+    return (total / seen)[:, -(size - 1) :]
+
+
+def recurrences(sums: DataFrame, window: int, components: int) -> DataFrame:
+    """Like ``solve``, for the recurrence: ``_a0``, ``_b0`` and in ``window`` the rebuilt values it starts from."""
+    kept = [KEY, "n", "last_ds", "sd_pop"]
+    fields = [sums.schema[c] for c in kept] + [
+        T.StructField("_a0", T.DoubleType()), T.StructField("_b0", T.ArrayType(T.DoubleType())), T.StructField("window", T.ArrayType(T.DoubleType()))]
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows == 0:
+                continue
+            products, head, tail, values = (_matrix(batch, c) for c in ("products", "head", "tail", "window"))
+            n, total, level = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "offset_sum", "base"))
+            means, cov = lag_covariance(products, head, tail, total, n, window)
+            vectors = leading_vectors(cov, components)
+            intercept, weights = recurrence(means, vectors)
+            rebuilt = rebuilt_tail(values - level[:, None], means, vectors) + level[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(level + intercept - level * weights.sum(1)), _vectors_column(weights), _vectors_column(rebuilt)],
+                names=[*kept, "_a0", "_b0", "window"])
+
+    return sums.select(*kept, "base", "products", "head", "tail", "offset_sum", "window").mapInArrow(batches, T.StructType(fields))
+
+
 def solve(sums: DataFrame, settings: list[tuple[int, int]], keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """Adds per setting ``(window, components)``: ``_a{g}`` intercept, ``_b{g}`` weights.
 
@@ -111,6 +157,76 @@ def solve(sums: DataFrame, settings: list[tuple[int, int]], keys: tuple[str, ...
     return sums.select(*columns).mapInArrow(batches, T.StructType(fields))
 
 
+def fold_moments(folds: list[dict], n: int, base: float, window: int):
+    """What ``lag_covariance`` needs of a series without each of its folds, by additive sums.
+
+    ``folds`` hold, in order, ``start``, ``size``, ``total`` and ``products`` of their rows relative to ``base`` (a product belongs to its later
+    row) and the values within ``window - 1`` rows of their ends.  Left out is one fold at a time: the products of the rows before it are sums of
+    whole folds, so are those behind it but for the rows whose partner lies across the gap, and the two sides meet at a
+    new seam.  Returns arrays ``(products, head, tail, total, rows)`` with a row per fold.
+    """
+    near = np.zeros(n)
+    for f in folds:
+        for o, value in (e.values() for e in f["edge"]):
+            near[o] = value
+    before = np.cumsum([np.zeros(window), *(f["products"] for f in folds)], axis=0)
+    totals = np.array([f["total"] for f in folds])
+    edge, out = window - 1, []
+    for k, f in enumerate(folds):
+        start, end = f["start"], f["start"] + f["size"]
+        left = n - f["size"]
+        products = before[k] + before[-1] - before[k + 1]
+        rest = np.concatenate([near[max(0, start - edge) : start], near[end : end + edge]])  # the rows around the seam
+        mid = min(start, edge)
+        for d in range(1, window):
+            behind = near[end : min(end + d, n)]
+            partner = np.arange(end, end + len(behind)) - d
+            products[d] -= (behind * np.where(partner >= 0, near[np.maximum(partner, 0)], 0.0)).sum()
+            first = np.arange(max(0, mid - d), min(mid, len(rest) - d))
+            products[d] += (rest[first] * rest[first + d]).sum()
+        places = np.concatenate([np.arange(edge), np.arange(left - edge, left)]) if left >= edge else np.zeros(0, int)
+        ends = near[np.where(places < start, places, places + f["size"])] if len(places) else np.zeros(2 * edge)
+        out.append((products, ends[:edge], ends[edge:], totals.sum() - f["total"], left))
+    return tuple(np.array(x) for x in zip(*out))
+
+
+def solve_folds(sums: DataFrame, settings: list[tuple[int, int]], longest: int) -> DataFrame:
+    """``series_key, _fits``: for each left-out fold an array with ``(intercept, weights)`` of every setting, null where too short.
+
+    ``sums`` has a row per key: ``n, base`` and the array ``folds``.
+    """
+    fit = T.StructType([T.StructField("intercept", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    out = T.StructType([sums.schema[KEY], T.StructField("_fits", T.ArrayType(T.ArrayType(fit)))])
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            rows = batch.to_pylist()
+            parts = [fold_moments(sorted(r["folds"], key=lambda f: f["start"]), r["n"], r["base"], longest) for r in rows]
+            products, head, tail, total, left = (np.concatenate(x) for x in zip(*parts))
+            level = np.repeat([r["base"] for r in rows], [len(p[4]) for p in parts])
+            fits = []
+            for window, components in settings:
+                ok = left >= 2 * window
+                means, cov = lag_covariance(products, head, tail, total, np.where(ok, left, 2 * window), window)
+                cov[~ok] = np.eye(window)
+                intercept, weights = affine_rule(means, leading_vectors(cov, components))
+                shift = level + intercept - level * weights.sum(1)
+                fits.append([{"intercept": a, "weights": w} if good else None for a, w, good in zip(shift.tolist(), weights.tolist(), ok)])
+            by_fold = list(map(list, zip(*fits)))
+            ends = np.cumsum([0, *(len(p[4]) for p in parts)])
+            yield pa.RecordBatch.from_pylist([{KEY: r[KEY], "_fits": by_fold[a:b]} for r, a, b in zip(rows, ends[:-1], ends[1:])], schema=_arrow(out))
+
+    return sums.select(KEY, "n", "base", "folds").mapInArrow(batches, out)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
 def moments(series: DataFrame, window: int) -> DataFrame:
     """Rows ``key, a, b, mean_a, covariance`` for the lag columns ``a <= b``."""
     sums = lag_sums(with_position(series).where(F.col("n") >= 2 * window), window)
@@ -150,22 +266,33 @@ class SsaModel:
     name = "ssa"
     rewindows = True
 
-    def __init__(self, window: int = 7, components: int = 3):
+    def __init__(self, window: int = 7, components: int = 3, method: str = "last"):
+        """``method``: ``last`` rebuilds the last value of each window; ``recurrent`` continues the rebuilt series by its linear recurrence."""
+        if method not in ("last", "recurrent"):
+            raise ValueError(f"unknown method {method!r}")
+        if method == "recurrent" and components >= window:
+            raise ValueError("a recurrence needs fewer components than the window")
+        self.method = method
         self.window = within_limits(window, "window")
         if not 1 <= components <= self.window:
             raise ValueError(f"components must lie between 1 and the window {self.window}, not {components}")
         self.components = int(components)
+        self.look_back = self.window if method == "last" else self.window - 1
         self.min_rows = 2 * self.window
 
     def parameters(self) -> dict[str, str]:
-        return {"window": str(self.window), "components": str(self.components)}
+        chosen = {"window": str(self.window), "components": str(self.components)}
+        return chosen if self.method == "last" else chosen | {"method": self.method}
 
     def skipped(self, series: DataFrame) -> DataFrame:
         return unusable(series, self.min_rows, self.name)
 
     def fit(self, series: DataFrame) -> DataFrame:
-        sums = lag_sums(with_position(series).where(F.col("n") >= self.min_rows), self.window)
-        return solve(sums, [(self.window, self.components)]).select(
+        recurrent = self.method == "recurrent"
+        keep = 2 * self.window - 2 if recurrent else None
+        sums = lag_sums(with_position(series).where(F.col("n") >= self.min_rows), self.window, keep=keep)
+        solved = recurrences(sums, self.window, self.components) if recurrent else solve(sums, [(self.window, self.components)])
+        return solved.select(
             KEY, F.lit(self.name).alias("model"), "n", "last_ds", "sd_pop",
             F.col("_a0").alias("intercept"), F.col("_b0").alias("weights"), "window",
         )
@@ -187,8 +314,8 @@ class SsaModel:
     def fit_struct(self) -> Column:
         return F.struct("intercept", "weights")
 
-    def one_step(self, lags: list[str], fit: str) -> Column:
-        terms = [f"{fit}.weights[{j}] * {x}" for j, x in enumerate(lags[-self.window:])]
+    def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
+        terms = [f"{fit}.weights[{j}] * {x}" for j, x in enumerate(lags[-self.look_back:])]
         return F.expr(" + ".join([f"{fit}.intercept", *terms]))
 
     def evaluate(self, params: DataFrame, series: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.arrays import dot, total
 from seriesmill.functions.lookups import CONFIDENCE_Z, DEFAULT_Z, step_value
-from seriesmill.operators.models.base import bounds, check_horizon, forecast_rows
+from seriesmill.operators.models.base import bounds, check_horizon, fit_one, fit_when, forecast_rows
+from seriesmill.operators.models.lookback import one_step_mape
 from seriesmill.operators.series import KEY, missing, unusable, with_position
 from seriesmill.operators.stats import PERIOD, position_sums
 
@@ -26,47 +27,81 @@ class WeightedModel:
     def __init__(self, confidence: float = 0.95, newest_heavy: bool = False):
         self.confidence, self.newest_heavy = confidence, newest_heavy
 
-    def fit(self, series: DataFrame) -> DataFrame:
-        placed = with_position(series)
+    def prepare(self, placed: DataFrame, tag: str) -> DataFrame:
+        return placed
+
+    def aggregates(self, tag: str) -> list[Column]:
         i, n, y = F.col("i"), F.col("n"), F.col("y")
+        used = i.isNotNull()
         span = F.greatest(F.lit(2), F.least(F.lit(MAX_WINDOW), F.floor(n / 4))).cast("int")
         tail = F.collect_list(F.when(i >= n - span, F.struct("i", "y")))
-        return (
-            placed.groupBy(KEY)
-            .agg(
-                F.max("n").cast("int").alias("n"),
-                F.max("ds").alias("last_ds"),
-                F.max(span).alias("span"),
-                F.sum("y").alias("sum_y"),
-                F.sum(i.cast("double") * y).alias("sum_iy"),
-                F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sd"),
-                F.transform(F.array_sort(tail), lambda p: p["y"]).alias("window"),
-                position_sums("y", PERIOD).alias("season_sums"),
-                F.count_if(missing()).alias("_missing"),
-            )
-            .where("_missing = 0")
-            .drop("_missing")
-            .withColumn("model", F.lit(self.name))
-        )
+        return [c.alias(tag + name) for name, c in {
+            "n": F.max(F.when(used, n)).cast("int"), "last_ds": F.max(F.when(used, F.col("ds"))), "span": F.max(F.when(used, span)),
+            "sum_y": F.sum(F.when(used, y)), "sum_iy": F.sum(i.cast("double") * y),
+            "sd": F.coalesce(F.stddev_samp(F.when(used, y)), F.lit(0.0)),
+            "window": F.transform(F.array_sort(tail), lambda p: p["y"]), "season_sums": position_sums("y", PERIOD),
+            "missing": F.count_if(used & missing()),
+        }.items()]
+
+    def finish(self, grouped: DataFrame, tag: str) -> DataFrame:
+        names = ["n", "last_ds", "span", "sum_y", "sum_iy", "sd", "window", "season_sums"]
+        return grouped.withColumn(f"{tag}fit", fit_when(
+            (F.col(f"{tag}n") >= self.min_rows) & (F.col(f"{tag}missing") == 0), **{n: F.col(tag + n) for n in names}))
 
-    def predict(self, params: DataFrame, horizon: int = 10) -> DataFrame:
+    def fit(self, series: DataFrame) -> DataFrame:
+        return fit_one(with_position(series), self)
+
+    def steps(self, horizon: int = 10, of: str = "") -> Column:
+        """The forecast as an array of ``(yhat, lo, hi)``, from parameters below ``of``."""
+        col = lambda n: F.col(of + n)
         # A window shorter than the span exists only for a single-row series: pad with 0.
-        gap = F.greatest(F.lit(0), F.col("span") - F.size("window"))
-        padded = params.withColumn("window", F.concat(F.array_repeat(F.lit(0.0), gap), F.col("window")))
-        weights = self._weights(F.col("span"))
+        gap = F.greatest(F.lit(0), col("span") - F.size(col("window")))
+        window = F.concat(F.array_repeat(F.lit(0.0), gap), col("window"))
+        weights = self._weights(col("span"))
         start = F.struct(
-            dot(F.col("window"), weights).alias("ws"),
-            total(F.col("window")).alias("s"),
-            F.col("sum_y").alias("sy"),
-            F.col("sum_iy").alias("siy"),
-            F.col("season_sums").alias("ss"),
+            dot(window, weights).alias("ws"),
+            total(window).alias("s"),
+            col("sum_y").alias("sy"),
+            col("sum_iy").alias("siy"),
+            col("season_sums").alias("ss"),
             F.expr("cast(array() as array<double>)").alias("out"),
         )
         rounds = F.sequence(F.lit(0), F.lit(check_horizon(horizon) - 1))
-        path = F.aggregate(rounds, start, self._advance, lambda s: s["out"])
+        path = F.aggregate(rounds, start, lambda state, k: self._advance(state, k, col, window), lambda s: s["out"])
         z = step_value(self.confidence, CONFIDENCE_Z, DEFAULT_Z)
-        steps = F.transform(path, lambda v, k: bounds(v, z * F.col("sd") * F.sqrt(1 + k * 0.1)))
-        return forecast_rows(padded, self.name, steps)
+        return F.transform(path, lambda v, k: bounds(v, z * col("sd") * F.sqrt(1 + k * 0.1)))
+
+    def predict(self, params: DataFrame, horizon: int = 10) -> DataFrame:
+        return forecast_rows(params, self.name, self.steps(horizon))
+
+    # -- scoring ---------------------------------------------------------------
+    look_back = MAX_WINDOW
+
+    def fit_struct(self) -> Column:
+        days = "floor((n - p + 6) / 7)"
+        slope = "try_divide(n * sum_iy - n * (n - 1) / 2 * sum_y, n * ((n - 1) * CAST(n AS DOUBLE) * (2 * n - 1) / 6) - pow(n * (n - 1) / 2, 2))"
+        return F.expr(
+            f"struct(coalesce({slope}, 0D) AS slope, span, transform(season_sums, (s, p) -> "
+            f"if(n >= {MIN_SEASON_ROWS}, coalesce(try_divide(s, {days}), 0D) - sum_y / n, 0D)) AS deviations)")
+
+    def rest_fit(self) -> str:
+        """The parameters ``one_step`` needs, from the sums of all folds but one."""
+        n = "CAST(_left AS DOUBLE)"
+        slope = f"try_divide({n} * _siy - {n} * ({n} - 1) / 2 * _sy, {n} * (({n} - 1) * {n} * (2 * {n} - 1) / 6) - pow({n} * ({n} - 1) / 2, 2))"
+        return (
+            f"struct(coalesce({slope}, 0D) AS slope, CAST(greatest(2, least({MAX_WINDOW}, floor(_left / 4))) AS INT) AS span, "
+            f"transform(_means, m -> if(_left >= {MIN_SEASON_ROWS}, m - _sy / _left, 0D)) AS deviations)")
+
+    def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
+        """Weighted mean of the last ``span`` values, the slope, and the deviation of the row's weekday."""
+        weights = f"sequence(1, {fit}.span)" if self.newest_heavy else f"sequence({fit}.span, 1, -1)"
+        lags = lags[-MAX_WINDOW:]
+        window = f"slice(array({', '.join(lags)}), {len(lags)} - {fit}.span + 1, {fit}.span)"
+        level = f"aggregate(zip_with({window}, {weights}, (x, w) -> x * w), 0D, (a, x) -> a + x) / ({fit}.span * ({fit}.span + 1) / 2)"
+        return F.expr(f"greatest(0D, {level} + {fit}.slope + {fit}.deviations[{position} % {PERIOD}])")
+
+    def evaluate(self, params: DataFrame, series: DataFrame) -> DataFrame:
+        return one_step_mape(self, params, series)
 
     def parameters(self) -> dict[str, str]:
         return {"confidence": str(self.confidence), "newest_heavy": str(self.newest_heavy)}
@@ -77,10 +112,10 @@ class WeightedModel:
     def _weights(self, span: Column) -> Column:
         return F.sequence(F.lit(1), span) if self.newest_heavy else F.sequence(span, F.lit(1), F.lit(-1))
 
-    def _advance(self, state: Column, k: Column) -> Column:
-        n, span = (F.col("n") + k).cast("double"), F.col("span")
+    def _advance(self, state: Column, k: Column, col, window: Column) -> Column:
+        n, span = (col("n") + k).cast("double"), col("span")
         newest, oldest = (span, 1) if self.newest_heavy else (F.lit(1), span)
-        only_value = (F.col("n") < span) & (k == 0)
+        only_value = (col("n") < span) & (k == 0)
         level = state["ws"] / F.when(only_value, newest).otherwise(span * (span + 1) / 2)
 
         sum_i, sum_ii = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
@@ -95,7 +130,7 @@ class WeightedModel:
         nxt = F.greatest(F.lit(0.0), level + slope * (k + 1) + weekday)
 
         slot = (n % PERIOD).cast("int")
-        dropped = F.when(k < span, F.get("window", k)).otherwise(F.get(state["out"], k - span))
+        dropped = F.when(k < span, F.get(window, k)).otherwise(F.get(state["out"], k - span))
         # The rest of the window ages by one place: one weight step up or down.
         rest = state["s"] - dropped
         aged = state["ws"] - dropped * oldest + (-rest if self.newest_heavy else rest)

@@ -41,10 +41,10 @@ def position_sums(value: str, period: int = PERIOD, position: str = "i % {period
     ) + ")")
 
 
-def position_means(sums: str, period: int = PERIOD) -> Column:
+def position_means(sums: str, period: int = PERIOD, n: str = "n") -> Column:
     """Array of means from an array of sums and the length ``n``; empty positions count as 0."""
     return F.expr(
-        f"transform({sums}, (s, p) -> coalesce(try_divide(s, floor((n - p + {period - 1}) / {period})), 0D))"
+        f"transform({sums}, (s, p) -> coalesce(try_divide(s, floor(({n} - p + {period - 1}) / {period})), 0D))"
     )
 
 
@@ -114,8 +114,38 @@ def lag_names(window: int) -> list[str]:
     return [f"_l{at}" for at in range(window)]
 
 
-def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """What the lag covariance of a series needs, one row per ``keys``.
+def fold_sums(folds: DataFrame, window: int) -> DataFrame:
+    """``series_key, n, base, folds``: what ``lag_sums`` holds, for each fold of a key apart.
+
+    A product belongs to the fold of its later row.  ``edge`` has the values within ``window - 1`` rows of a fold's ends.  Rows are read
+    once and none is copied; a key with a missing value gives no row.
+    """
+    w = over("o")
+    base = f"first(y) {w[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _base"
+    before = [f"lag(y, {d}) {w} AS _b{d}" for d in range(1, window)]
+    products = [f"coalesce((y - _base) * (_b{d} - _base), 0D) AS _p{d}" for d in range(1, window)]
+    edge = window - 1
+    near = f"o < fold_start + {edge} OR o >= fold_start + fold_size - {edge}"
+    cells = (
+        folds.selectExpr(KEY, "n", "o", "fold", "fold_start", "fold_size", "y", base, *before)
+        .selectExpr(KEY, "n", "o", "fold", "fold_start", "fold_size", "y", "_base", "y - _base AS _c", "(y - _base) * (y - _base) AS _p0", *products)
+        .groupBy(KEY, "fold")
+        .agg(
+            F.max("n").alias("n"), F.max("_base").alias("base"), F.count_if(missing()).alias("_missing"),
+            F.struct(
+                F.max("fold_start").alias("start"), F.max("fold_size").alias("size"), F.sum("_c").alias("total"),
+                F.expr("array(" + ", ".join(f"sum(_p{d})" for d in range(window)) + ")").alias("products"),
+                F.expr(f"collect_list(CASE WHEN {near} THEN struct(o, _c) END)").alias("edge"),
+            ).alias("cell"),
+        )
+    )
+    return cells.groupBy(KEY).agg(
+        F.max("n").alias("n"), F.max("base").alias("base"), F.sum("_missing").alias("_missing"), F.collect_list("cell").alias("folds")
+    ).where("_missing = 0").drop("_missing")
+
+
+def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,), keep: int | None = None) -> DataFrame:
+    """What the lag covariance of a series needs, one row per ``keys``; ``window`` has its last ``keep`` values (``window``).
 
     Products are summed per lag distance (``window`` sums) instead of per pair
     of lags (``window * (window + 1) / 2``); the two edges of the series, at most
@@ -147,7 +177,7 @@ def lag_sums(series: DataFrame, window: int, keys: tuple[str, ...] = (KEY,)) ->
             F.expr("array(" + ", ".join(f"sum(_p{d})" for d in range(window)) + ")").alias("products"),
             F.expr(values(f"i < {edge}", "_c")).alias("head"),
             F.expr(values(f"i >= n - {edge}", "_c")).alias("tail"),
-            F.expr(values(f"i >= n - {window}", "y")).alias("window"),
+            F.expr(values(f"i >= n - {keep or window}", "y")).alias("window"),
         )
         .where("_missing = 0")
         .drop("_missing")

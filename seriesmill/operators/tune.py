@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.lookups import within_limits
 from seriesmill.functions.metrics import mape
-from seriesmill.operators.evaluate import cv_folds, summarise_folds, training_rows
+from seriesmill.operators.evaluate import cv_folds, summarise_folds
 from seriesmill.operators.models.base import get_model
 from seriesmill.operators.models.lookback import SD_FLOOR
-from seriesmill.operators.models.ssa import SsaModel, solve
+from seriesmill.operators.models.ssa import SsaModel, solve_folds
 from seriesmill.operators.series import KEY, in_order, with_position
-from seriesmill.operators.stats import lag_names, lag_sums, lagged, over
+from seriesmill.operators.stats import PERIOD, fold_sums, lag_names, lagged, over
 
 
 def parameter_sets(grid: dict[str, list]) -> list[dict]:
@@ -29,25 +29,47 @@ def grid_models(name: str, grid: dict[str, list]) -> list:
 BY_FOLD = (KEY, "fold")
 
 
-def _with_ssa_fits(folds: DataFrame, models: list, k: int) -> DataFrame:
+def _with_ssa_fits(folds: DataFrame, models: list) -> DataFrame:
     """Fold rows with ``_fit0, _fit1, …``, null where the training series is too short.
 
-    One pass of lag sums for the longest window serves every parameter set.  The
-    fits of a key (one per fold) come back as a single row, so that the fold rows
-    are joined by key, where they already lie.
+    Sums of products per fold give the lag covariance without any one of them, and those of the longest window serve
+    every parameter set.  The fits of a key (one per fold) come back as a single row, so that the fold rows are joined by
+    key, where they already lie.
     """
     longest = max(m.window for m in models)
-    sums = lag_sums(training_rows(folds, k), longest, BY_FOLD)
-    solved = solve(sums, [(m.window, m.components) for m in models], BY_FOLD)
-    fits = ", ".join(
-        f"CASE WHEN n >= {m.min_rows} THEN struct(_a{g} AS intercept, _b{g} AS weights) END AS _fit{g}"
-        for g, m in enumerate(models)
-    )
-    by_key = solved.groupBy(KEY).agg(
-        F.map_from_entries(F.collect_list(F.expr(f"struct(fold, struct({fits}) AS fits)"))).alias("_fits")
-    )
-    picked = [F.expr(f"_fits[fold]._fit{g} AS _fit{g}") for g in range(len(models))]
-    return folds.join(by_key, KEY, "left").select(*folds.columns, *picked)
+    solved = solve_folds(fold_sums(folds, longest), [(m.window, m.components) for m in models], longest)
+    return folds.join(solved, KEY, "left").select(*folds.columns, *[F.expr(f"_fits[fold][{g}] AS _fit{g}") for g in range(len(models))])
+
+
+def _rest_sums(values: dict[str, str]) -> dict[str, Column]:
+    """``{name}_a`` and ``{name}_b``: sums over the folds before and behind a row's own."""
+    frame = f"(PARTITION BY {KEY} ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND"
+    found = {}
+    for name, value in values.items():
+        found[f"{name}_a"] = F.expr(f"coalesce(sum({value}) OVER {frame} 1 PRECEDING), 0D)")
+        found[f"{name}_b"] = F.expr(f"sum({value}) {over()} - sum({value}) OVER {frame} CURRENT ROW)")
+    return found
+
+
+def _with_position_fits(folds: DataFrame, models: list) -> DataFrame:
+    """Fold rows with ``_fit0, _fit1, …`` for models of position sums, slope and level.
+
+    Without a fold the rows behind it move up by its size, so their position sums are turned by the size modulo the period before
+    they are added to those in front, and their positions count by so much less.
+    """
+    period = PERIOD
+    values = {f"_s{p}": f"CASE WHEN o % {period} = {p} THEN y ELSE 0D END" for p in range(period)}
+    values |= {"_y": "y", "_iy": "CAST(o AS DOUBLE) * y"}
+    summed = folds.withColumns(_rest_sums(values)).withColumn("_gaps", F.expr(f"count_if(y IS NULL OR isnan(y)) {over()}"))
+    turned = f"array({', '.join(f'_s{p}_b' for p in range(period))})"
+    sums = ", ".join(f"_s{p}_a + {turned}[({p} + fold_size) % {period}]" for p in range(period))
+    rest = summed.withColumn("_left", F.expr("n - fold_size")).withColumns({
+        "_sums": F.expr(f"array({sums})"), "_sy": F.expr("_y_a + _y_b"), "_siy": F.expr("_iy_a + _iy_b - fold_size * _y_b"),
+    })
+    means = f"transform(_sums, (s, p) -> coalesce(try_divide(s, floor((_left - p + {period - 1}) / {period})), 0D))"
+    rest = rest.withColumn("_means", F.expr(means))
+    fits = [F.expr(f"CASE WHEN _gaps = 0 AND _left >= {m.min_rows} THEN {m.rest_fit()} END AS _fit{g}") for g, m in enumerate(models)]
+    return rest.select(*folds.columns, *fits)
 
 
 def _with_scaling_fits(folds: DataFrame, models: list) -> DataFrame:
@@ -71,21 +93,28 @@ def _with_scaling_fits(folds: DataFrame, models: list) -> DataFrame:
 def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
     """Rows ``key, grid_id, fold, mape`` for models of one kind.
 
-    Validation rows are windowed once for the longest look-back; each model is
+    The parameters without a fold come from sums over the others; no row is copied.  Validation rows are windowed once for the longest look-back; each model is
     one more aggregate column, so rows are not multiplied by the grid.
     """
     k = within_limits(k, "folds")
     folds = cv_folds(with_position(series).where(F.col("n") >= 2 * k), k, shuffle, seed).select(
-        KEY, "ds", "y", "n", "o", "fold", "fold_start"
+        KEY, "ds", "y", "n", "o", "fold", "fold_start", "fold_size"
     )
-    longest = max(m.window for m in models)
-    fitted = _with_ssa_fits(folds, models, k) if isinstance(models[0], SsaModel) else _with_scaling_fits(folds, models)
+    longest = max(m.look_back for m in models)
+    if isinstance(models[0], SsaModel):
+        if any(m.method != "last" for m in models):
+            raise ValueError("folds are scored with the last-value rule")
+        fitted = _with_ssa_fits(folds, models)
+    elif hasattr(models[0], "rest_fit"):
+        fitted = _with_position_fits(folds, models)
+    else:
+        fitted = _with_scaling_fits(folds, models)
     fits = [f"_fit{g}" for g in range(len(models))]
     windows = fitted.select(
-        KEY, "fold", "y", (F.col("o") - F.col("fold_start")).alias("_at"), *fits, *lagged(longest, "o", BY_FOLD)
+        KEY, "fold", "o", "y", (F.col("o") - F.col("fold_start")).alias("_at"), *fits, *lagged(longest, "o", BY_FOLD)
     )
     scored = windows.groupBy(*BY_FOLD).agg(*[
-        mape(F.when(F.col("_at") >= m.window, m.one_step(lag_names(longest), fit)), F.col("y")).alias(f"_m{g}")
+        mape(F.when(F.col("_at") >= m.look_back, m.one_step(lag_names(longest), fit, "o")), F.col("y")).alias(f"_m{g}")
         for g, (m, fit) in enumerate(zip(models, fits))
     ])
     cells = F.expr("array(" + ", ".join(f"struct({g} AS grid_id, _m{g} AS mape)" for g in range(len(models))) + ")")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.operators import evaluate, recover, tune
-from seriesmill.operators.models import LookbackModel, SsaModel, performance_weights
+from seriesmill.operators.models import DecomposeModel, LookbackModel, SsaModel, WeightedModel, performance_weights
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.ssa_sql import moment_tables, projection_tables, rule_table
 from seriesmill.plans.tables import BRAND, FILLED, SUPPLIER_YEARS, Tables
@@ -57,6 +57,39 @@ trained AS MATERIALIZED (SELECT f.series_key || '|' || h.fold AS g, f.y,
     return [*parts, f"scores AS ({' UNION ALL '.join(scores)})"]
 
 
+# Rows of the other folds, numbered anew: what the models are fitted to when one fold is left out.
+TRAINED = f"""
+trained AS MATERIALIZED (SELECT f.series_key, h.fold, f.y,
+  row_number() OVER (PARTITION BY f.series_key, h.fold ORDER BY f.i) - 1 AS p, count(*) OVER (PARTITION BY f.series_key, h.fold) AS n
+  FROM folded f CROSS JOIN (SELECT unnest(generate_series(0, {FOLDS - 1})) AS fold) h WHERE f.fold <> h.fold)"""
+
+PROFILES = """
+profiles AS (SELECT series_key, fold, q, m - avg(m) OVER (PARTITION BY series_key, fold) AS s
+  FROM (SELECT series_key, fold, p % 7 AS q, avg(y) AS m FROM trained GROUP BY ALL))"""
+
+
+def decompose_scores_sql(windows: tuple[int, ...]) -> str:
+    """Fold errors of the decomposition: the trend continued by its last step, and the profile of the other folds."""
+    before = lambda rows: f"avg(y) OVER (PARTITION BY series_key, fold ORDER BY i ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
+    parts = [f"""SELECT {g} AS grid_id, v.series_key, v.fold,
+          avg(abs((greatest(0, 2 * t1 - t2 + s) - y) / y)) FILTER (y > 0) AS mape
+          FROM (SELECT *, row_number() OVER (PARTITION BY series_key, fold ORDER BY i) - 1 AS pos, {before(w // 2 + 1)} AS t1, {before(w // 2 + 2)} AS t2
+            FROM folded) v
+          JOIN profiles r ON v.series_key = r.series_key AND v.fold = r.fold AND v.i % 7 = q WHERE pos >= {w // 2 + 2} GROUP BY ALL"""
+             for g, w in enumerate(windows)]
+    return f"scores AS ({' UNION ALL '.join(parts)})"
+
+
+WEIGHTED_SCORES = """
+rest AS (SELECT series_key, fold, regr_slope(y, p) AS slope, avg(y) AS level, greatest(2, least(30, max(n) // 4)) AS span FROM trained GROUP BY ALL),
+days AS (SELECT series_key, fold, p % 7 AS q, avg(y) AS m FROM trained GROUP BY ALL),
+scores AS (SELECT 0 AS grid_id, v.series_key, v.fold, avg(abs((greatest(0,
+    list_sum(list_transform(w[len(w) - span + 1:], lambda x, j: x * (span - j + 1))) / (span * (span + 1) / 2) + slope + m - level) - y) / y)) FILTER (y > 0) AS mape
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_key, fold ORDER BY i) - 1 AS pos,
+      list(y) OVER (PARTITION BY series_key, fold ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS w FROM folded) v
+    JOIN rest r ON v.series_key = r.series_key AND v.fold = r.fold JOIN days d ON v.series_key = d.series_key AND v.fold = d.fold AND v.i % 7 = q
+  WHERE pos >= 30 GROUP BY ALL)"""
+
 SUMMARY = """
 summary AS (SELECT series_key, grid_id, avg(mape) AS mean_mape, coalesce(stddev_samp(mape), 0) AS sd_mape, count(mape) AS num_folds,
   array_to_string(list(CAST(CAST(round(mape * 1000) AS BIGINT) AS VARCHAR) ORDER BY fold) FILTER (mape IS NOT NULL), ',') AS fold_results
@@ -136,7 +169,30 @@ def _folds_sql(order: str) -> str:
     )
 
 
+TREND_WINDOWS = (5, 7, 9)
+
+
 QUERIES = [
+    Query(
+        "cross_validate_decompose", "series_key mean_mape:r sd_mape:r num_folds:i fold_results",
+        lambda t: _listed(evaluate.cross_validate(t.brand_filled(), DecomposeModel(), FOLDS)),
+        with_(BRAND, FILLED, fold_sql(), TRAINED, PROFILES, decompose_scores_sql((7,)), SUMMARY, select="SELECT * FROM summary"),
+    ),
+    Query(
+        "grid_search_decompose", "series_key grid_id:i trend_window:i mean_mape:r rank:i",
+        lambda t: tune.grid_search(t.brand_filled(), tune.grid_models("decompose", {"window": list(TREND_WINDOWS)}), FOLDS).withColumn(
+            "trend_window", F.col("parameters")["window"]),
+        with_(
+            BRAND, FILLED, fold_sql(), TRAINED, PROFILES, decompose_scores_sql(TREND_WINDOWS), SUMMARY,
+            select="""SELECT *, 5 + 2 * grid_id AS trend_window,
+                      row_number() OVER (PARTITION BY series_key ORDER BY mean_mape NULLS LAST, grid_id) AS rank FROM summary""",
+        ),
+    ),
+    Query(
+        "cross_validate_wma", "series_key mean_mape:r sd_mape:r num_folds:i",
+        lambda t: evaluate.cross_validate(t.brand_filled(), WeightedModel(), FOLDS),
+        with_(BRAND, FILLED, fold_sql(), TRAINED, WEIGHTED_SCORES, SUMMARY, select="SELECT * FROM summary"),
+    ),
     Query("ensemble_weights", "series_key model mape:r weight:r", _weights, _weights_sql()),
     Query("cv_folds", _FOLD_COLUMNS, lambda t: evaluate.cv_folds(t.brand_filled(), FOLDS), _folds_sql("i")),
     Query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import inventory
 from seriesmill.operators.evaluate import error_summary
-from seriesmill.operators.forecast_run import forecast_by_method, forecast_run
+from seriesmill.operators.forecast_run import forecast_by_method, forecast_outcomes, forecast_run
 from seriesmill.operators.models import DecomposeModel, LookbackModel, SsaModel, WeightedModel, ensemble_forecast
 from seriesmill.operators.models.base import UserModel
 from seriesmill.operators.models.ensemble import ensemble_evaluate
@@ -16,7 +16,7 @@ from seriesmill.operators.recover import retry_prediction
 from seriesmill.operators.series import fill_gaps, forecast_errors
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.series import DECOMPOSE_FORECAST, DECOMPOSED
-from seriesmill.plans.ssa_sql import forecast_tables, rule_tables
+from seriesmill.plans.ssa_sql import forecast_tables, moment_tables, projection_tables, recurrent_tables, rule_tables
 from seriesmill.plans.tables import BRAND, FILLED, HOLEY, SUPPLIER, SUPPLIER_YEARS, TYPES, Tables
 
 HORIZON = 14
@@ -112,6 +112,20 @@ def _routed(t: Tables):
     return forecast_by_method(t.brand_filled(), routing, {"Standard": DecomposeModel(), "Advanced": LookbackModel()}, HORIZON)
 
 
+def _routed_outcomes(t: Tables):
+    """Some brands name a method that does not exist, some none, and of some brands days have no value."""
+    number = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int")
+    method = F.when(number % 5 == 1, "Deluxe").when(number % 5 == 2, "Standard").when(number % 5 == 3, "Weighted").when(number % 5 == 4, "Advanced")
+    routing = t.table("part").select(F.col("p_brand").alias("series_key"), method.alias("method")).distinct()
+    models = {"Standard": DecomposeModel(), "Advanced": LookbackModel(), "Weighted": WeightedModel()}
+    gappy = t.brand_filled().withColumn("y", F.when((F.col("series_key") != "Brand#24") | (F.col("i") % 100 != 99), F.col("y")))
+    return forecast_outcomes(gappy, routing, models, HORIZON)
+
+
+_METHOD = """CASE CAST(split_part(series_key, '#', 2) AS INT) % 5 WHEN 1 THEN 'Deluxe' WHEN 2 THEN 'Standard' WHEN 3 THEN 'Weighted' WHEN 4 THEN 'Advanced' END"""
+_GAPPY = "(SELECT count(*) FILTER (i % 100 = 99) FROM filled f WHERE f.series_key = k.series_key)"
+
+
 def _members():
     return [DecomposeModel(), WeightedModel(), LookbackModel()]
 
@@ -204,6 +218,59 @@ QUERIES = [
             recursive=True,
         ),
     ),
+    Query(
+        "forecast_by_method_outcomes", "series_key model step:i ds:d yhat:r lo:r hi:r error_type message",
+        lambda t: _routed_outcomes(t).withColumns({c: F.coalesce(F.col(c), F.lit("-")) for c in ("model", "error_type", "message")}).withColumns(
+            {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("step", "yhat", "lo", "hi")}).withColumn("ds", F.coalesce("ds", F.lit("1970-01-01").cast("date"))),
+        with_(
+            BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, fit_sql("fit"), lookback_sql("fit"), WMA.strip().removeprefix("\n"),
+            f"""done AS (SELECT series_key, model, step, ds, yhat, lo, hi FROM forecast WHERE {_METHOD} = 'Standard'
+                 UNION ALL SELECT series_key, model, step, ds, yhat, lo, hi FROM look_forecast WHERE {_METHOD} = 'Advanced' AND series_key <> 'Brand#24'
+                 UNION ALL SELECT series_key, model, step, ds, yhat, lo, hi FROM wma_forecast WHERE {_METHOD} = 'Weighted')""",
+            f"""failed AS (SELECT series_key, CASE WHEN {_METHOD} = 'Advanced' THEN 'lookback' ELSE '-' END AS model, -1 AS step, DATE '1970-01-01' AS ds, -1 AS yhat, -1 AS lo, -1 AS hi,
+                 CASE WHEN {_METHOD} = 'Advanced' THEN 'missing_values' ELSE 'unknown_method' END AS error_type,
+                 CASE WHEN {_METHOD} = 'Advanced' THEN {_GAPPY} || ' of ' || (SELECT count(*) FROM filled f WHERE f.series_key = k.series_key) || ' rows have no value'
+                   ELSE coalesce('method ' || {_METHOD}, 'no method') END AS message
+                 FROM (SELECT DISTINCT series_key FROM filled) k WHERE series_key NOT IN (SELECT series_key FROM done))""",
+            select="SELECT *, '-' AS error_type, '-' AS message FROM done UNION ALL SELECT * FROM failed",
+            recursive=True,
+        ),
+    ),
+    Query(
+        "forecast_ssa_recurrent", FORECAST_COLUMNS, _run(SsaModel(7, 3, method="recurrent")),
+        with_(
+            BRAND, FILLED, "trained AS (SELECT series_key AS g, i, n, y FROM filled)", *moment_tables("m", "trained", 7), *projection_tables("m", 3),
+            *recurrent_tables("m", 7, 3), select="SELECT * FROM ssa_forecast", recursive=True,
+        ),
+    ),
+    Query(
+        "decompose_evaluate", "series_key model mape:r",
+        lambda t: DecomposeModel().evaluate(DecomposeModel().fit(t.brand_filled()), t.brand_filled()),
+        with_(
+            BRAND, FILLED,
+            """profile AS (SELECT series_key, q, m - avg(m) OVER (PARTITION BY series_key) AS s
+                 FROM (SELECT series_key, i % 7 AS q, avg(y) AS m FROM filled GROUP BY ALL))""",
+            """ahead AS (SELECT *, avg(y) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS t1,
+                 avg(y) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS t2 FROM filled)""",
+            select="""SELECT a.series_key, 'decompose' AS model, avg(abs((greatest(0, 2 * t1 - t2 + s) - y) / y)) FILTER (y > 0) AS mape
+                      FROM ahead a JOIN profile p ON a.series_key = p.series_key AND i % 7 = q WHERE i >= 5 GROUP BY 1""",
+        ),
+    ),
+    Query(
+        "wma_evaluate", "series_key model mape:r",
+        lambda t: WeightedModel().evaluate(WeightedModel().fit(t.brand_filled()), t.brand_filled()),
+        with_(
+            BRAND, FILLED,
+            """rest AS (SELECT series_key, regr_slope(y, i) AS slope, avg(y) AS level, greatest(2, least(30, max(n) // 4)) AS span FROM filled GROUP BY 1)""",
+            "days AS (SELECT series_key, i % 7 AS q, avg(y) AS m FROM filled GROUP BY ALL)",
+            """ahead AS (SELECT *, list(y) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS w FROM filled)""",
+            select="""SELECT a.series_key, 'wma' AS model, avg(abs((greatest(0,
+                        list_sum(list_transform(w[len(w) - span + 1:], lambda x, j: x * (span - j + 1))) / (span * (span + 1) / 2) + slope + m - level) - y) / y))
+                        FILTER (y > 0) AS mape
+                      FROM ahead a JOIN rest r ON a.series_key = r.series_key JOIN days d ON a.series_key = d.series_key AND i % 7 = q
+                      WHERE i >= 30 GROUP BY 1""",
+        ),
+    ),
     Query(
         "forecast_run_decompose", FORECAST_COLUMNS, lambda t: forecast_run(t.brand_filled(), "decompose", HORIZON),
         with_(BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, select="SELECT * FROM forecast"),

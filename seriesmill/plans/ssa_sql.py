@@ -75,3 +75,31 @@ def forecast_tables(rule: str, size: int, train: str, horizon: int = 14) -> list
         """ssa_forecast AS (SELECT series_key, 'ssa' AS model, k AS step, last_ds + CAST(k AS INT) AS ds, z AS yhat,
              greatest(0, z - 1.96 * sd) AS lo, z + 1.96 * sd AS hi FROM ssa WHERE k > 0)""",
     ]
+
+
+def recurrent_tables(name: str, size: int, components: int, horizon: int = 14) -> list[str]:
+    """``ssa_forecast`` by the linear recurrence of the leading directions, from the rebuilt end of ``filled``.
+
+    Every one of the last windows is projected in full, and a day's value is the mean over the windows that hold it.
+    """
+    stacked = " UNION ALL ".join(f"SELECT g, a, b, v FROM {name}_p{c}" for c in range(1, components + 1))
+    last = size - 1
+    return [
+        f"proj AS MATERIALIZED (SELECT g, a, b, sum(v) AS v FROM ({stacked}) GROUP BY 1, 2, 3)",
+        f"""ends AS (SELECT series_key AS g, i - (n - {2 * size - 2}) AS t, y FROM filled WHERE i >= n - {2 * size - 2} AND n >= {2 * size})""",
+        f"""rebuilt AS (SELECT p.g, s + p.a AS t, any_value(m.m) + sum(p.v * (e.y - mb.m)) AS v
+             FROM proj p CROSS JOIN (SELECT unnest(generate_series(0, {size - 2})) AS s) w
+             JOIN ends e ON e.g = p.g AND e.t = s + p.b JOIN {name}_mean m ON m.g = p.g AND m.a = p.a JOIN {name}_mean mb ON mb.g = p.g AND mb.a = p.b
+             GROUP BY p.g, s, p.a)""",
+        f"""start AS (SELECT g, list(v ORDER BY t) AS h FROM (SELECT g, t, avg(v) AS v FROM rebuilt WHERE t >= {size - 1} GROUP BY 1, 2) GROUP BY 1)""",
+        f"""rule AS (SELECT p.g, any_value(e.m) - sum(m.m * p.v / (1 - q.v)) AS a, list(p.v / (1 - q.v) ORDER BY p.b) AS w
+             FROM proj p JOIN proj q ON p.g = q.g AND q.a = {last} AND q.b = {last} JOIN {name}_mean m ON m.g = p.g AND m.a = p.b
+             JOIN {name}_mean e ON e.g = p.g AND e.a = {last} WHERE p.a = {last} AND p.b < {last} GROUP BY 1)""",
+        "tails AS (SELECT series_key, max(ds) AS last_ds, greatest(1, stddev_pop(y)) AS sd FROM filled GROUP BY 1)",
+        f"""ssa AS (SELECT t.series_key, last_ds, sd, a, w, h, 0 AS k, CAST(NULL AS DOUBLE) AS z
+             FROM tails t JOIN rule r ON t.series_key = r.g JOIN start s ON s.g = r.g
+             UNION ALL SELECT series_key, last_ds, sd, a, w, list_append(h[2:], v), k + 1, v
+             FROM (SELECT *, a + list_sum(list_transform(h, lambda x, j: x * w[j])) AS v FROM ssa WHERE k < {horizon}))""",
+        """ssa_forecast AS (SELECT series_key, 'ssa' AS model, k AS step, last_ds + CAST(k AS INT) AS ds, z AS yhat,
+             greatest(0, z - 1.96 * sd) AS lo, z + 1.96 * sd AS hi FROM ssa WHERE k > 0)""",
+    ]
