@@ -8,9 +8,10 @@ from seriesmill.operators import monitor
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.tables import PERSISTENCE, USER_DAILY, Tables
 from seriesmill.session import scratch_path
-from seriesmill.streaming.daily import daily_totals
-from seriesmill.streaming.learner import online_learner
-from seriesmill.streaming.monitor import prediction_monitor
+from seriesmill.streaming.daily import daily_table, daily_totals
+from seriesmill.streaming.learner import online_forecasts, online_learner
+from seriesmill.streaming.monitor import prediction_monitor, stream_errors
+from seriesmill.streaming.reorder import Ordered, late_rows, ordered_rows, release_in_order
 from seriesmill.streaming.run import drain, file_stream
 
 # The events cover 30 days, so the windows are shorter than the defaults.
@@ -76,7 +77,84 @@ def _event_stream(t: Tables):
 
 
 def _stream_daily(t: Tables):
-    return drain(daily_totals(_event_stream(t), "user_id"), "daily")
+    return daily_table(daily_totals(_event_stream(t), "user_id"), scratch_path(t.spark, "daily"), scratch_path(t.spark, "daily-progress"))
+
+
+BATCHES = 8
+
+
+def _arrivals(t: Tables):
+    """Each user's days as they might arrive: most by date, some up to five days later, dealt over micro-batches by arrival."""
+    first = F.lit("1970-01-01").cast("date")
+    day = F.datediff("ds", first)
+    lag = (F.col("series_key").cast("long") * 7 + day * 3) % 11
+    rows = t.user_daily().withColumn("arrival", day + F.when(lag > 6, lag - 6).otherwise(0))
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.floor((F.col("arrival") - low) * BATCHES / (high - low + 1)).cast("int")
+    return rows.withColumn("part", part).select("series_key", "ds", "y", "part")
+
+
+ARRIVALS = f"""
+arrivals AS (SELECT *, CAST(floor((arrival - min(arrival) OVER ()) * {BATCHES} / (max(arrival) OVER () - min(arrival) OVER () + 1)) AS INT) AS part
+  FROM (SELECT *, date_diff('day', DATE '1970-01-01', ds) + CASE WHEN lag > 6 THEN lag - 6 ELSE 0 END AS arrival
+    FROM (SELECT *, (CAST(series_key AS BIGINT) * 7 + date_diff('day', DATE '1970-01-01', ds) * 3) % 11 AS lag FROM series))),
+marks AS (SELECT part, max(max(ds)) OVER (ORDER BY part) - 1 AS reached FROM arrivals GROUP BY part),
+told AS (SELECT a.*, m.reached AS passed, coalesce(a.ds <= m.reached, false) AS late
+  FROM arrivals a LEFT JOIN marks m ON m.part = a.part - 1)"""
+
+
+def _in_batches(t: Tables, rows):
+    """The rows as a stream with a micro-batch for each ``part``: one file after the other."""
+    path = scratch_path(t.spark, "arrivals")
+    held = scratch_path(t.spark, "arrivals-all")
+    rows.write.parquet(held)
+    kept = t.spark.read.schema(rows.schema).parquet(held)
+    for part in range(BATCHES):
+        kept.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return file_stream(t.spark, path, rows.drop("part"), per_trigger=1)
+
+
+def _ordered(t: Tables):
+    return release_in_order(_in_batches(t, _arrivals(t)), Ordered.below(scratch_path(t.spark, "ordered")))
+
+
+def _stream_late(t: Tables):
+    """Late rows of an arriving stream, and the days that were released, in order and in full."""
+    schema = "series_key string, ds date, y double"
+    paths = _ordered(t)
+    late = late_rows(t.spark, paths, schema).withColumn("late", F.lit(True))
+    return late.unionByName(ordered_rows(t.spark, paths, schema).withColumn("late", F.lit(False)))
+
+
+def _stream_errors(t: Tables):
+    """Forecasts come in one stream and actuals in another, each over several micro-batches."""
+    rows = t.persistence()
+    part = (F.datediff("ds", F.lit("1970-01-01").cast("date")) / 8).cast("int")
+    dealt = rows.withColumn("part", part - F.lit(rows.agg(F.min(part)).first()[0]))
+    forecasts = _in_batches(t, dealt.select("series_key", "ds", F.col("predicted").alias("yhat"), "part"))
+    actuals = _in_batches(t, dealt.select("series_key", "ds", F.col("actual").alias("y"), "part"))
+    return drain(stream_errors(forecasts, actuals, "30 days"), "errors")
+
+
+HORIZON = 3
+
+
+def _stream_forecasts(t: Tables):
+    """Days in order over several micro-batches; after each, the next three days with bounds."""
+    schema = "series_key string, ds date, y double"
+    paths = _ordered(t)
+    rows = ordered_rows(t.spark, paths, schema)
+    return drain(online_forecasts(_as_stream(t, rows, "ordered-in"), WINDOW, LOOKBACK, HORIZON), "forecasts")
+
+
+ONLINE_PATHS = f"""
+kept AS (SELECT series_key, ds, y FROM told WHERE NOT late),
+seen AS (SELECT *, list(y) OVER (PARTITION BY series_key ORDER BY ds ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS w FROM kept),
+fits AS (SELECT series_key, ds AS made, list_avg(w) AS mean, greatest(0.1, list_aggregate(w, 'stddev_pop')) AS sd, w[-{LOOKBACK}:] AS v FROM seen WHERE len(w) = {WINDOW}),
+path AS (SELECT series_key, made, mean, sd, list_transform(v, lambda x: (x - mean) / sd) AS z, 0 AS step, CAST(NULL AS DOUBLE) AS f FROM fits
+  UNION ALL SELECT series_key, made, mean, sd, list_append(z[2:], n), step + 1, n FROM (SELECT *, 2 * tanh(0.5 * (
+    list_sum(list_transform(z, lambda x, j: x / (1 + exp(-10 * ((j - 1) / {LOOKBACK} - 0.5))))) + 0.2 * (z[{LOOKBACK}] - z[{LOOKBACK - 2}]))) AS n
+    FROM path WHERE step < {HORIZON}))"""
 
 
 def _as_stream(t: Tables, df, label: str):
@@ -157,8 +235,26 @@ QUERIES = [
     ),
     Query(
         "stream_daily", "series_key ds:d y:r", _stream_daily,
-        """SELECT CAST(user_id AS VARCHAR) AS series_key, CAST(ts AS DATE) AS ds, sum(value) AS y FROM events
-           WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""",
+        "SELECT CAST(user_id AS VARCHAR) AS series_key, CAST(ts AS DATE) AS ds, sum(value) AS y FROM events GROUP BY 1, 2",
+    ),
+    Query(
+        "stream_late_rows", "series_key ds:d y:r late:b", _stream_late,
+        with_(USER_DAILY, ARRIVALS, select="SELECT series_key, ds, y, late FROM told"),
+    ),
+    Query(
+        "stream_forecast_errors", "series_key ds:d predicted:r actual:r error:r",
+        lambda t: _plain(_stream_errors(t), "error"),
+        with_(USER_DAILY, PERSISTENCE, select="SELECT *, coalesce(abs((predicted - actual) / nullif(actual, 0)), -1) AS error FROM predictions"),
+    ),
+    Query(
+        "stream_online_forecast", "series_key made:d step:i ds:d yhat:r lo:r hi:r", _stream_forecasts,
+        with_(
+            USER_DAILY, ARRIVALS, ONLINE_PATHS,
+            select="""SELECT series_key, made, step, made + CAST(step AS INT) AS ds, greatest(0, f * sd + mean) AS yhat,
+                        greatest(0, f * sd + mean - sd * 0.5 * (1 + sqrt(step) / sqrt(7))) AS lo, f * sd + mean + sd * 0.5 * (1 + sqrt(step) / sqrt(7)) AS hi
+                      FROM path WHERE step > 0""",
+            recursive=True,
+        ),
     ),
     Query(
         "stream_online_learner", _LEARNER, lambda t: _plain(_stream_learner(t), "sd_error", "drift"),

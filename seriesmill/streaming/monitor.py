@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from seriesmill.functions.metrics import relative_error
 from seriesmill.operators.monitor import COOLDOWN_DAYS, ERROR_LIMIT, MIN_SAMPLES, RECENT
 from seriesmill.operators.series import KEY
 from seriesmill.streaming.learner import relative_drift
@@ -35,6 +36,19 @@ def with_actuals(forecast: DataFrame, actuals: DataFrame) -> DataFrame:
     return actuals.select(KEY, "ds", F.col("y").alias("actual")).join(known, [KEY, "ds"])
 
 
+def stream_errors(forecasts: DataFrame, actuals: DataFrame, delay: str = "7 days") -> DataFrame:
+    """A stream of forecasts ``series_key, ds, yhat`` joined to a stream of actuals ``series_key, ds, y`` by key and day.
+
+    Both carry a watermark on the day, so that each side forgets days that lie further back than ``delay`` behind the newest;
+    whichever comes first waits for the other.  Errors are null where the actual is 0.
+    """
+    left = forecasts.select(F.col(KEY).alias("_k"), F.col("ds").cast("timestamp").alias("_made"), "yhat").withWatermark("_made", delay)
+    right = actuals.select(KEY, F.col("ds").cast("timestamp").alias("_seen"), F.col("y").alias("actual")).withWatermark("_seen", delay)
+    return left.join(right, (F.col("_k") == F.col(KEY)) & (F.col("_made") == F.col("_seen"))).select(
+        KEY, F.col("_seen").cast("date").alias("ds"), F.col("yhat").alias("predicted"), "actual",
+        relative_error(F.col("yhat"), F.col("actual")).alias("error"))
+
+
 def prediction_monitor(
     predictions: DataFrame,
     recent: int = RECENT,

@@ -146,3 +146,87 @@ def test_drained_stream_resumes(spark, make, tmp_path):
     second.coalesce(1).write.parquet(f"{path}/part=1")
     assert run(online_learner(source(), 7), tmp_path).count() == 15
     assert file_stream(spark, str(path), first).isStreaming
+
+
+def arriving(daily):
+    """Days in five parts; some rows come a part too late."""
+    part = (F.datediff("ds", F.lit(START)) / 12).cast("int")
+    behind = (F.datediff("ds", F.lit(START)) % 12 == 5) & (F.col("series_key") == "a")
+    return daily.withColumn("part", F.least(part + behind.cast("int"), F.lit(4)))
+
+
+def test_release_in_order_and_replay(spark, daily, tmp_path):
+    from seriesmill.streaming.reorder import Ordered, late_rows, ordered_rows, release_in_order
+
+    rows = arriving(daily)
+    stream = files(spark, tmp_path / "in", [rows.where(F.col("part") == p).drop("part") for p in range(5)])
+    paths = Ordered.below(str(tmp_path / "ordered"))
+    release_in_order(stream, paths, 2, str(tmp_path / "progress"))
+    late = {(r.series_key, r.ds) for r in late_rows(spark, paths, SERIES).collect()}
+    assert late == {("a", START + dt.timedelta(days=d)) for d in (5, 17, 29, 41)}
+    released = {(r.series_key, r.ds) for r in ordered_rows(spark, paths, SERIES).collect()}
+    assert released | late == {(r.series_key, r.ds) for r in daily.collect()} and not released & late
+    assert ordered_rows(spark, paths, SERIES, flush=False).agg(F.max("ds")).first()[0] == START + dt.timedelta(days=57)
+    # Days of a batch lie behind those of the batches before it.
+    highest = START - dt.timedelta(days=1)
+    for batch in range(5):
+        days = [r.ds for r in spark.read.parquet(f"{paths.released}/batch={batch}").collect()]
+        assert min(days) > highest
+        highest = max(days)
+    # A run that lost its progress repeats all batches and leaves the same tables.
+    release_in_order(files_again(spark, tmp_path / "in", SERIES), paths, 2, str(tmp_path / "progress2"))
+    assert {(r.series_key, r.ds) for r in ordered_rows(spark, paths, SERIES).collect()} == released
+    assert late_rows(spark, paths, SERIES).count() == len(late)
+
+
+def files_again(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option(
+        "recursiveFileLookup", True).parquet(str(path))
+
+
+def test_daily_table_holds_every_day(spark, tmp_path):
+    from seriesmill.streaming.daily import daily_table
+
+    rows = [("a", dt.datetime(2024, 1, 1 + d, h), float(d + h)) for d in range(6) for h in (1, 9, 23)]
+    schema = "k string, ts timestamp, value double"
+    parts = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 4), (4, 10), (10, 18))]
+    totals = daily_totals(files(spark, tmp_path / "in", parts), "k")
+    got = {r.ds: r.y for r in daily_table(totals, str(tmp_path / "out"), str(tmp_path / "progress")).collect()}
+    whole = spark.createDataFrame(rows, schema)
+    assert got == {r.ds: r.y for r in daily_totals_batch(whole, "k").collect()} and len(got) == 6
+
+
+def test_forecasts_and_actuals_of_two_streams(spark, daily, tmp_path):
+    from seriesmill.streaming.monitor import stream_errors
+
+    forecast = daily.select("series_key", "ds", (F.col("y") * 1.5).alias("yhat"))
+    left = files(spark, tmp_path / "f", in_parts(forecast, [10, 30]))
+    right = files(spark, tmp_path / "a", in_parts(daily, [20]))
+    rows = run(stream_errors(left, right, "90 days"), tmp_path).collect()
+    assert len(rows) == daily.count() and all(r.error == pytest.approx(0.5) for r in rows)
+
+
+def test_online_forecasts_equal_the_model_and_expire(spark, daily, tmp_path):
+    from seriesmill.operators.models import LookbackModel
+    from seriesmill.streaming.learner import online_forecasts
+
+    stream = files(spark, tmp_path / "in", in_parts(daily.where("series_key = 'a'"), [20, 40]))
+    got = {(r.made, r.step): r for r in run(online_forecasts(stream, 14, 7, 5), tmp_path).collect()}
+    model = LookbackModel(7)
+    for last in (20, 33, 59):
+        past = daily.where((F.col("series_key") == "a") & (F.col("ds") <= START + dt.timedelta(days=last)) & (F.col("ds") > START + dt.timedelta(days=last - 14)))
+        for w in model.predict(model.fit(past), 5).collect():
+            r = got[START + dt.timedelta(days=last), w.step]
+            assert (r.ds, r.yhat, r.lo, r.hi) == (w.ds, pytest.approx(w.yhat), pytest.approx(w.lo), pytest.approx(w.hi))
+    # "b" falls silent; with a short idle time its window starts anew, without one it goes on.
+    cut = daily.where("series_key = 'a' OR ds < date'2024-01-19' OR ds >= date'2024-02-20'")
+    parts = in_parts(cut, [12, 25, 38, 50])
+    kept = run(online_forecasts(files(spark, tmp_path / "k", parts), 14, 7, 1), tmp_path / "kept").where("series_key = 'b'").count()
+    lost = run(online_forecasts(files(spark, tmp_path / "l", parts), 14, 7, 1, idle="10 days"), tmp_path / "lost").where("series_key = 'b'").count()
+    assert kept == lost + 10 and lost > 0
+
+
+def test_a_value_that_is_missing_poisons_nothing(spark, tmp_path):
+    rows = [("a", START + dt.timedelta(days=d), float("nan") if d == 20 else float(5 + d % 7)) for d in range(60)]
+    got = run(online_learner(files(spark, tmp_path / "in", [spark.createDataFrame(rows, SERIES)]), 14), tmp_path)
+    assert got.where("isnan(predicted) OR isnan(error) OR isnan(mean_error)").count() == 0 and got.where("error IS NOT NULL").count() > 40
