@@ -251,7 +251,6 @@ def _describe(settings: Settings, parts: int):
                 ], ["block", "ids", *_COUNTS, "sha", "offsets", "codes", "links", "links_at", "pairs", "requests"])
                 number += 1
                 del units, stretches, lists, codes, row, code
-                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -308,7 +307,7 @@ def align(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = ", ".join(f"{c} array<long>" for c in _COUNTS)
     blocks = stage(docs.mapInArrow(
-        _describe(settings, parts),
+        W.lean(_describe(settings, parts)),
         f"block long, ids array<{kind}>, {counts}, sha array<string>, offsets array<long>, codes binary, links binary, links_at binary, pairs binary, {C.REQUEST}",
     ), "align")
     asked = blocks.select("block", F.inline("requests"))

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REQUEST = "requests array<struct<chunk: int, keys: binary, counts: binary>>"
 _REQUEST_TYPE = pa.list_(pa.struct([("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
@@ -76,6 +77,12 @@ def bytes_of(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([pc.fill_null(column, "").cast(pa.large_binary())])
 
 
+def chunks_for(texts: DataFrame, text_col: str, chunk_bytes: int) -> int:
+    """As many chunks as hold about ``chunk_bytes`` of text each: as the blocks, they follow the data and not the cluster."""
+    total = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-int(total) // chunk_bytes))
+
+
 def zip_bytes(content: bytes) -> bytes:
     return zstandard.compress(content, 1)
 

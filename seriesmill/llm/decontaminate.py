@@ -109,14 +109,29 @@ def _scan(items: list[tuple[str, str]], window: int):
     return scan
 
 
+def _merged(text_col: str, words: Column) -> Column:
+    """Ranges under the words that any automaton hit."""
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def ranges(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        rows = []
+        for text, places in zip(texts.to_pylist(), hits.to_pylist()):
+            hit = np.zeros(max(places) + 1 if places else 0, bool)
+            hit[places or []] = True
+            rows.append([{"start": a, "end": b} for a, b in (_spans(text, hit) if places else [])])
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return ranges(F.col(text_col), words)
+
+
 def contamination(
     df: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text",
 ) -> DataFrame:
-    """Add ``contamination`` to ``df``: a struct of ``n_words, n_hit, items, spans, contaminated``.
+    """Add ``contamination`` to ``df``: a struct of ``n_words, n_hit, items, spans, contaminated`` (in the place of a column of that name).
 
     ``benchmark`` has ``item, text``.  A text is contaminated when at least one word in twenty lies in an
-    occurrence of a window.  ``spans`` are character ranges of the original text, of each block of items on its
-    own.  A null or empty text has no words; without items nothing is hit.  Nothing is shuffled.
+    occurrence of a window.  ``spans`` are character ranges of the original text under runs of hit words, however the items
+    are dealt over automata.  A null or empty text has no words; without items nothing is hit.  Nothing is shuffled.
     """
     parts = []
     for items in item_blocks(benchmark, settings):
@@ -124,9 +139,10 @@ def contamination(
         df = df.withColumn(name, _scan(items, settings.window)(F.col(text_col)))
         parts.append(name)
     union = lambda field: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.{field}") for p in parts]))))
+    spans = F.col(f"{parts[0]}.spans") if len(parts) == 1 else _merged(text_col, union("words"))
     n_words, n_hit = F.col(f"{parts[0]}.n_words"), F.size(union("words")).cast("long")
     return df.withColumn("contamination", F.struct(
-        n_words.alias("n_words"), n_hit.alias("n_hit"), union("items").alias("items"), union("spans").alias("spans"),
+        n_words.alias("n_words"), n_hit.alias("n_hit"), union("items").alias("items"), spans.alias("spans"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
     )).drop(*parts)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.llm.tables import stage
+from seriesmill.llm.tables import split_by_map, stage
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,12 @@ def dedup_lines(df: DataFrame, settings: Settings = Settings(), id_col: str = "d
     gone = copies.select("id", "th", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("len") - 1)).alias("line")).groupBy("id", "th").agg(
         F.collect_set("line").alias("__gone"))
     gone = stage(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "gone")
-    joined = df.drop("lines_deleted").join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    gone_ids = gone.select("__th")
+    docs = df.drop("lines_deleted")
+    # Texts without a copy stay where they are; only those that may have one are joined.
+    may, untouched = split_by_map(docs, F.xxhash64(text_col), gone_ids)
+    joined = may.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
     deleted = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__gone")))
-    return joined.withColumn(text_col, text).withColumn("lines_deleted", deleted).drop("__id", "__th", "__gone")
+    cut = joined.withColumn(text_col, text).withColumn("lines_deleted", deleted).drop("__id", "__th", "__gone")
+    return cut.unionByName(untouched.withColumn("lines_deleted", F.lit(0).cast("long")))

@@ -142,7 +142,7 @@ def pack(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["id"]
-    pieces = stage(docs.mapInArrow(_cut(settings), f"id {kind}, {_PIECES}"), "pieces")
+    pieces = stage(docs.mapInArrow(W.lean(_cut(settings)), f"id {kind}, {_PIECES}"), "pieces")
     counts = stage(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(histogram, settings.capacity)

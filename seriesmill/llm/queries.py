@@ -141,7 +141,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _WORDS_4 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    # All pairs that share a shingle are counted, and every document reaches its component by walking the links.
+    "op3_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS key FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON r = links.a),
+least_id AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_id USING (doc_id)""",
+    "op9_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM c) GROUP BY 1),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper,
+  len(list_distinct(w)) AS n_distinct FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > n_words AS INT)
+  + 8 * CAST(n_lines >= 4 AND 2 * n_dup_lines > n_lines AS INT) + 16 * CAST(n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words) AS INT)
+  + 32 * CAST(n_words >= 10 AND 2 * n_upper > word_chars AS INT) + 64 * CAST(n_words >= 50 AND n_words < 1000 AND 5 * n_distinct < n_words AS INT) AS bits FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS bits
+FROM b""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS_4} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_4} AS w FROM benchmark),

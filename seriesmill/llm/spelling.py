@@ -77,7 +77,7 @@ def _counter(settings: Settings):
 def word_counts(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``word, n`` of all words that count; a null id stands as nothing in the deletion rule, null texts have no words."""
     docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return docs.mapInArrow(_counter(settings), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.min_count)
+    return docs.mapInArrow(W.lean(_counter(settings)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.min_count)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

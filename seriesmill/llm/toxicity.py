@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import words as W
 from seriesmill.llm.sampling import bounded_sample
+from seriesmill.llm.tables import stage
 
 HASH_BITS = 30
 STEMS = (4, 6)  # a word also counts by its first letters, so that inflected and compound forms share evidence
@@ -133,7 +134,8 @@ def fit(labels: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     there are no weights and every score is the smoothed share of label 1 (a quarter without rows).
     """
     sample = bounded_sample(labels, docs, settings.max_labelled)
-    rows = sample.mapInArrow(_feature_rows, "label int, keys array<int>")
+    # Written first: the one task that learns reads features and makes none.
+    rows = stage(sample.mapInArrow(W.lean(_feature_rows), "label int, keys array<int>"), "features")
 
     def learn(frames):
         seen = [(int(label), np.asarray(keys, dtype=np.int32)) for f in frames for label, keys in zip(f["label"], f["keys"])]
@@ -153,6 +155,7 @@ def fit(labels: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     return Weights(float(learned["value"].iloc[0]), learned["key"].to_numpy()[1:], learned["value"].to_numpy()[1:])
 
 
+@W.lean
 def score_texts(texts: pa.Array, weights: Weights) -> np.ndarray:
     """Probability of label 1 for each text; null counts as empty."""
     if not len(weights.keys):

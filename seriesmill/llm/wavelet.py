@@ -247,7 +247,7 @@ def write_shards(df: DataFrame, folder: str, settings: Settings = Settings(), id
         if ids:
             yield flush()
 
-    return ordered.mapInArrow(write, "task int, number int, base long, n_tokens long")
+    return ordered.mapInArrow(W.lean(write), "task int, number int, base long, n_tokens long")
 
 
 def read_shards(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
@@ -272,7 +272,7 @@ def read_shards(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
                 ], ["id", "task", "start", "n_tokens", "ids_crc32", "last_id", "n_end_ids", "last_end"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", "content")
-    return files.mapInArrow(read, f"id {id_type}, task int, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long, last_end long")
+    return files.mapInArrow(W.lean(read), f"id {id_type}, task int, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long, last_end long")
 
 
 def round_trip(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

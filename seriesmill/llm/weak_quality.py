@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import words as W
 from seriesmill.llm.sampling import bounded_sample
+from seriesmill.llm.tables import stage
 
 # Each heuristic votes good (1), bad (-1) or abstains (0) from the figures of ``_figures``.
 HEURISTICS = {
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> tuple[Rated, pd.Dat
     patterns), and EM runs on those counts.  The scorer learns from a bounded sample.  An empty table
     gives a scorer of 0.5.
     """
-    voted = with_votes(docs).select("id", "votes")
+    voted = stage(with_votes(docs).select("id", "votes"), "votes")  # texts vote once
     counted = voted.groupBy("votes").agg(F.count("*").alias("rows")).toPandas()
     empty = Scorer(0.0, np.zeros(1 << settings.hash_bits, np.float32), settings.hash_bits)
     if counted.empty:
@@ -208,12 +209,15 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> tuple[Rated, pd.Dat
         at = np.flatnonzero(w)
         yield pd.DataFrame({"key": at, "value": w[at]})
 
-    learned = sample.mapInArrow(_rows(settings.hash_bits), "label double, keys array<int>").coalesce(1).mapInPandas(learn, "key long, value double").toPandas()
+    # Written first: the one task that learns reads features and makes none.
+    rows = stage(sample.mapInArrow(W.lean(_rows(settings.hash_bits)), "label double, keys array<int>"), "features")
+    learned = rows.coalesce(1).mapInPandas(learn, "key long, value double").toPandas()
     w = np.zeros((1 << settings.hash_bits) + 1, np.float32)
     w[learned["key"]] = learned["value"]
     return rated, counted, Scorer(float(w[-1]), w[:-1], settings.hash_bits)
 
 
+@W.lean
 def score_texts(texts: pa.Array, scorer: Scorer) -> np.ndarray:
     """Probability of good quality for each text."""
     found = []

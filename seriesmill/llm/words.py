@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +18,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 LETTERS = bytes(LOWER[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,10 @@ class Words:
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of about ``limit`` bytes (one text at least), so that long ones do not meet in memory."""
+    """Runs of texts of about ``limit`` bytes (one text at least), so that long ones do not meet in memory.
+
+    What the caller has dropped by the next run is given back.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < len(texts):
@@ -48,6 +54,33 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+        release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a Python worker outlives its task and stands beside the next stage's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not on every system
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of a task (plain or a generator) that gives its memory back when its own variables are gone."""
+
+    @functools.wraps(run)
+    def stepwise(*args):
+        yield from run(*args)
+        release()
+
+    @functools.wraps(run)
+    def whole(*args):
+        try:
+            return run(*args)
+        finally:
+            release()
+
+    return stepwise if inspect.isgeneratorfunction(run) else whole
 
 
 def translate(texts: pa.Array, table: bytes) -> pa.Array:

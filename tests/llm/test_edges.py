@@ -116,6 +116,23 @@ def test_pages(spark):
     assert df.limit(0).select(tagpath.main_text()).count() == 0
 
 
+def test_packing_stage(spark, nothing, documents):
+    """The last stage packs what is left: nulls and empty texts are one end token, and a table without rows packs nothing."""
+    name, run = corpus_pipeline.STAGES[4]
+    few = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "text", None, "s", 4)], documents.schema)
+    found = run(spark, few, DATA).collect()
+    assert name == "packing" and sorted(r.length for r in found) == [1, 1, 2] and len({r.sequence_id for r in found}) == 1
+    assert run(spark, few.limit(0), DATA).count() == 0
+
+
+def test_run_applies_all_stages(spark, documents):
+    found = corpus_pipeline.run(spark, DATA).collect()
+    kept = {r.doc_id for r in found}
+    assert 0 < len(kept) < documents.count() and kept <= {r.doc_id for r in documents.collect()}
+    whole = sum(r.length for r in found if r.piece == 0 or r.start)
+    assert whole == sum(r.length for r in found) and all(r.offset + r.length <= 4096 for r in found)
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages(spark, nothing, documents, stage):
     """Stages return the columns of documents, with nulls and without rows."""

@@ -75,6 +75,53 @@ def test_near_duplicates_against_all_pairs(spark, size):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), expected[i], expected[i] == i) for i in texts}
 
 
+def test_pairs_at_the_threshold_pass_the_sketch():
+    """Sets that share exactly four fifths: none is told apart by the sketch, and all but one in many thousands share a band."""
+    settings = circulant_minhash.Settings()
+    signer = circulant_minhash.Signer(settings)
+    rng = np.random.default_rng(8)
+    missed, worst, far = 0, 0, []
+    for k in range(1500):
+        size = int(rng.integers(1, 60))
+        parts = [rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) for n in (8 * size, size, size)]
+        both = np.stack([signer.signature(np.concatenate([parts[0], own])) for own in parts[1:]])
+        missed += not (signer.bands(both)[0] == signer.bands(both)[1]).any()
+        sketch = signer.sketch(both).view(np.uint64)
+        worst = max(worst, int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()))
+        if k < 200:
+            other = signer.signature(rng.integers(0, 2**63, 9 * size).astype(np.uint64) * np.uint64(2))
+            left, right = signer.sketch(np.stack([both[0], other])).view(np.uint64)
+            far.append(int(np.bitwise_count(left ^ right).sum()))
+    bound = int(circulant_minhash._SKETCH_SLACK * 64 * circulant_minhash._SKETCH_LONGS)
+    assert missed == 0 and worst <= bound < np.median(far)
+
+
+def test_long_texts_do_not_meet():
+    """Signatures of disjoint sets of half a million shingles agree in no more coordinates than those of small sets."""
+    signer = circulant_minhash.Signer(circulant_minhash.Settings())
+    rng = np.random.default_rng(9)
+    a, b = (signer.signature(np.unique(rng.integers(0, 2**64, 500_000, dtype=np.uint64))) for _ in range(2))
+    assert (a == b).mean() < 0.03 and not (signer.bands(np.stack([a, b]))[0] == signer.bands(np.stack([a, b]))[1]).any()
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text with more and more words of their own: all pairs decide which of them hang together."""
+    random.seed(11)
+    vocabulary = [f"v{k}" for k in range(300)]
+    base = [random.choice(vocabulary) for _ in range(120)]
+    texts = {}
+    for i in range(260):
+        text = list(base)
+        for _ in range(int(30 * (i / 260) ** 2)):
+            text[random.randrange(len(text))] = random.choice(vocabulary)
+        texts[i] = " ".join(text)
+    expected, _ = linked(texts, 2)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for frequent in (4, 32):
+        rows = circulant_minhash.near_duplicates(df, circulant_minhash.Settings(shingle=2, frequent=frequent)).collect()
+        assert {r.id: r.component_id for r in rows} == expected
+
+
 def test_signature_estimates_similarity():
     signer = circulant_minhash.Signer(circulant_minhash.Settings())
     rng = np.random.default_rng(3)
@@ -254,7 +301,7 @@ def test_extraction():
         "Head line", "First & long paragraph, with text. link and more.", "Short.", "One", "Two, three", "Second paragraph is here; it ends."]
 
 
-@pytest.mark.parametrize("name", ["op4_decontamination", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_near_dedup", "op4_decontamination", "op5_line_dedup", "op9_quality_rules"])
 def test_queries_agree_with_sql(spark, name):
     db = duckdb.connect()
     for table in ("documents", "benchmark"):
