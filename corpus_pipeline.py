@@ -17,14 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5; the labels learned from are those outside the held-out fifth."""
+    """Documents scored below 0.5; the labels learned from are those outside the held-out fifth.
+
+    Null and empty texts get the score of the bias.  Without labels all documents score a quarter and stay.
+    """
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     weights = toxicity.fit(labels.where(~held_out("id")), docs.select(F.col("doc_id").alias("id"), "text"))
     return docs.where(toxicity.score(weights) < 0.5)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more go, and ``n_chars`` follows; documents of which nothing is left go too."""
+    """Later copies of line runs of 50 words or more go, and ``n_chars`` follows; documents of which nothing is left go too.
+
+    Null and empty texts stay as they are.
+    """
     cut = line_runs.dedup_lines(docs)
     emptied = (F.col("lines_deleted") > 0) & (F.length("text") == 0)
     return cut.where(~F.coalesce(emptied, F.lit(False))).withColumn(
@@ -35,7 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Rows that repeat an id and a text count once; a row without an id stays.
+    Rows that repeat an id and a text stay or go together; a row without an id, and one without text, stays.
     """
     found = circulant_minhash.near_duplicates(docs)
     gone = found.where("NOT kept").select(F.col("id").alias("doc_id"), "th").distinct()
@@ -44,13 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty comes from a benchmark window of 13 words."""
+    """Documents of which less than one word in twenty comes from a benchmark window of 13 words; those without words stay."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
     return decontaminate.contamination(docs, items).where("NOT contamination.contaminated").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces of at most 4096 tokens in the training sequences."""
+    """The places of all pieces of at most 4096 tokens in the training sequences; a null or empty text is the end token alone."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
