@@ -105,8 +105,8 @@ class DecomposeModel:
         return forecast_rows(params, self.name, self.steps(horizon))
 
     # -- scoring ---------------------------------------------------------------
-    def fit_struct(self) -> Column:
-        return F.struct("profile")
+    def fit_struct(self, of: str = "") -> Column:
+        return F.struct(F.col(of + "profile").alias("profile"))
 
     def rest_fit(self) -> str:
         """The parameters ``one_step`` needs, from the position means of all folds but one."""

@@ -89,9 +89,9 @@ class LookbackModel:
         return forecast_rows(params, self.name, self.steps(horizon))
 
     # -- scoring ---------------------------------------------------------------
-    def fit_struct(self) -> Column:
-        """Fitted values a score needs, out of this model's parameter row."""
-        return F.struct("mean", "sd")
+    def fit_struct(self, of: str = "") -> Column:
+        """Fitted values a score needs, out of this model's parameters below ``of``."""
+        return F.struct(F.col(of + "mean").alias("mean"), F.col(of + "sd").alias("sd"))
 
     def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
         """One-step forecast from columns of previous values (oldest first; the newest fit)."""

@@ -311,8 +311,8 @@ class SsaModel:
         return forecast_rows(params, self.name, F.transform(path, spread))
 
     # -- scoring ---------------------------------------------------------------
-    def fit_struct(self) -> Column:
-        return F.struct("intercept", "weights")
+    def fit_struct(self, of: str = "") -> Column:
+        return F.struct(F.col(of + "intercept").alias("intercept"), F.col(of + "weights").alias("weights"))
 
     def one_step(self, lags: list[str], fit: str, position: str = "i") -> Column:
         terms = [f"{fit}.weights[{j}] * {x}" for j, x in enumerate(lags[-self.look_back:])]

@@ -77,12 +77,13 @@ class WeightedModel:
     # -- scoring ---------------------------------------------------------------
     look_back = MAX_WINDOW
 
-    def fit_struct(self) -> Column:
-        days = "floor((n - p + 6) / 7)"
-        slope = "try_divide(n * sum_iy - n * (n - 1) / 2 * sum_y, n * ((n - 1) * CAST(n AS DOUBLE) * (2 * n - 1) / 6) - pow(n * (n - 1) / 2, 2))"
+    def fit_struct(self, of: str = "") -> Column:
+        n, sums, moments = f"{of}n", f"{of}sum_y", f"{of}sum_iy"
+        days = f"floor(({n} - p + 6) / 7)"
+        slope = f"try_divide({n} * {moments} - {n} * ({n} - 1) / 2 * {sums}, {n} * (({n} - 1) * CAST({n} AS DOUBLE) * (2 * {n} - 1) / 6) - pow({n} * ({n} - 1) / 2, 2))"
         return F.expr(
-            f"struct(coalesce({slope}, 0D) AS slope, span, transform(season_sums, (s, p) -> "
-            f"if(n >= {MIN_SEASON_ROWS}, coalesce(try_divide(s, {days}), 0D) - sum_y / n, 0D)) AS deviations)")
+            f"struct(coalesce({slope}, 0D) AS slope, {of}span AS span, transform({of}season_sums, (s, p) -> "
+            f"if({n} >= {MIN_SEASON_ROWS}, coalesce(try_divide(s, {days}), 0D) - {sums} / {n}, 0D)) AS deviations)")
 
     def rest_fit(self) -> str:
         """The parameters ``one_step`` needs, from the sums of all folds but one."""

@@ -15,7 +15,6 @@ from seriesmill.operators.series import KEY, in_order, recent_n
 from seriesmill.operators.stats import lagged
 
 RECENT = 30
-HISTORY = 1000
 MIN_SAMPLES = 30
 ERROR_LIMIT = 0.2
 COOLDOWN_DAYS = 1
@@ -29,7 +28,7 @@ def tracked(predictions: DataFrame) -> DataFrame:
     ).where(F.col("error").isNotNull())
 
 
-def prediction_history(predictions: DataFrame, keep: int = HISTORY) -> DataFrame:
+def prediction_history(predictions: DataFrame, keep: int) -> DataFrame:
     return recent_n(tracked(predictions), keep)
 
 
@@ -75,7 +74,7 @@ def rolling_performance(predictions: DataFrame, recent: int = RECENT) -> DataFra
     ).drop("_last", "_window")
 
 
-def metric_history(predictions: DataFrame, recent: int = RECENT, keep: int = 30) -> DataFrame:
+def metric_history(predictions: DataFrame, recent: int, keep: int) -> DataFrame:
     """The newest ``keep`` metric rows of each key."""
     return recent_n(rolling_performance(predictions, recent), keep)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -90,8 +91,30 @@ def _with_scaling_fits(folds: DataFrame, models: list) -> DataFrame:
     return centred.withColumns(rest).select(*folds.columns, *fits)
 
 
+def _with_fits(folds: DataFrame, models: list) -> DataFrame:
+    """Fold rows with ``_fit0, _fit1, …`` of models of any kinds; an ensemble's fit holds those of its members."""
+    single = [m for model in models for m in getattr(model, "members", [model])]
+    if any(isinstance(m, SsaModel) and m.method != "last" for m in single):
+        raise ValueError("folds are scored with the last-value rule")
+    kinds = [
+        (_with_ssa_fits, lambda m: isinstance(m, SsaModel)), (_with_position_fits, lambda m: hasattr(m, "rest_fit")),
+        (_with_scaling_fits, lambda m: not isinstance(m, SsaModel) and not hasattr(m, "rest_fit"))]
+    found = folds
+    for make, of_kind in kinds:
+        chosen = [k for k, m in enumerate(single) if of_kind(m)]
+        if chosen:
+            found = make(found, [single[k] for k in chosen]).withColumnsRenamed({f"_fit{g}": f"_own{k}" for g, k in enumerate(chosen)})
+    fits, at = {}, 0
+    for g, model in enumerate(models):
+        own = [F.col(f"_own{at + k}") for k in range(len(getattr(model, "members", [model])))]
+        at += len(own)
+        every = reduce(lambda a, b: a & b, [c.isNotNull() for c in own])
+        fits[f"_fit{g}"] = F.when(every, F.struct(*[c.alias(f"m{k}") for k, c in enumerate(own)])) if hasattr(model, "members") else own[0]
+    return found.select(*folds.columns, *[c.alias(n) for n, c in fits.items()])
+
+
 def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = False, seed: int = 42) -> DataFrame:
-    """Rows ``key, grid_id, fold, mape`` for models of one kind.
+    """Rows ``key, grid_id, fold, mape`` for models of any kinds.
 
     The parameters without a fold come from sums over the others; no row is copied.  Validation rows are windowed once for the longest look-back; each model is
     one more aggregate column, so rows are not multiplied by the grid.
@@ -101,14 +124,7 @@ def grid_scores(series: DataFrame, models: list, k: int = 5, shuffle: bool = Fal
         KEY, "ds", "y", "n", "o", "fold", "fold_start", "fold_size"
     )
     longest = max(m.look_back for m in models)
-    if isinstance(models[0], SsaModel):
-        if any(m.method != "last" for m in models):
-            raise ValueError("folds are scored with the last-value rule")
-        fitted = _with_ssa_fits(folds, models)
-    elif hasattr(models[0], "rest_fit"):
-        fitted = _with_position_fits(folds, models)
-    else:
-        fitted = _with_scaling_fits(folds, models)
+    fitted = _with_fits(folds, models)
     fits = [f"_fit{g}" for g in range(len(models))]
     windows = fitted.select(
         KEY, "fold", "o", "y", (F.col("o") - F.col("fold_start")).alias("_at"), *fits, *lagged(longest, "o", BY_FOLD)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.operators import evaluate, recover, tune
-from seriesmill.operators.models import DecomposeModel, LookbackModel, SsaModel, WeightedModel, performance_weights
+from seriesmill.operators.models import DecomposeModel, EnsembleModel, LookbackModel, SsaModel, WeightedModel, performance_weights
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.ssa_sql import moment_tables, projection_tables, rule_table
 from seriesmill.plans.tables import BRAND, FILLED, SUPPLIER_YEARS, Tables
@@ -90,6 +90,18 @@ scores AS (SELECT 0 AS grid_id, v.series_key, v.fold, avg(abs((greatest(0,
     JOIN rest r ON v.series_key = r.series_key AND v.fold = r.fold JOIN days d ON v.series_key = d.series_key AND v.fold = d.fold AND v.i % 7 = q
   WHERE pos >= 30 GROUP BY ALL)"""
 
+ENSEMBLE_SCORES = """
+rest AS (SELECT series_key, fold, regr_slope(y, p) AS slope, avg(y) AS level, greatest(2, least(30, max(n) // 4)) AS span FROM trained GROUP BY ALL),
+days AS (SELECT series_key, fold, p % 7 AS q, avg(y) AS m FROM trained GROUP BY ALL),
+windows AS (SELECT *, row_number() OVER (PARTITION BY series_key, fold ORDER BY i) - 1 AS pos,
+  list(y) OVER (PARTITION BY series_key, fold ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS w FROM folded),
+both_models AS (SELECT v.series_key, v.fold, y,
+    greatest(0, 2 * list_avg(w[len(w) - 3:]) - list_avg(w[len(w) - 4:]) + s) AS a,
+    greatest(0, list_sum(list_transform(w[len(w) - span + 1:], lambda x, j: x * (span - j + 1))) / (span * (span + 1) / 2) + slope + m - level) AS b
+  FROM windows v JOIN rest r ON v.series_key = r.series_key AND v.fold = r.fold JOIN days d ON v.series_key = d.series_key AND v.fold = d.fold AND v.i % 7 = d.q
+    JOIN profiles f ON v.series_key = f.series_key AND v.fold = f.fold AND v.i % 7 = f.q WHERE pos >= 30),
+scores AS (SELECT 0 AS grid_id, series_key, fold, avg(abs(((3 * a + b) / 4 - y) / y)) FILTER (y > 0) AS mape FROM both_models GROUP BY ALL)"""
+
 SUMMARY = """
 summary AS (SELECT series_key, grid_id, avg(mape) AS mean_mape, coalesce(stddev_samp(mape), 0) AS sd_mape, count(mape) AS num_folds,
   array_to_string(list(CAST(CAST(round(mape * 1000) AS BIGINT) AS VARCHAR) ORDER BY fold) FILTER (mape IS NOT NULL), ',') AS fold_results
@@ -193,6 +205,11 @@ QUERIES = [
         lambda t: evaluate.cross_validate(t.brand_filled(), WeightedModel(), FOLDS),
         with_(BRAND, FILLED, fold_sql(), TRAINED, WEIGHTED_SCORES, SUMMARY, select="SELECT * FROM summary"),
     ),
+    Query(
+        "ensemble_cross_validate", "series_key mean_mape:r sd_mape:r num_folds:i",
+        lambda t: evaluate.cross_validate(t.brand_filled(), EnsembleModel([DecomposeModel(), WeightedModel()], {"decompose": 3.0}), FOLDS),
+        with_(BRAND, FILLED, fold_sql(), TRAINED, PROFILES, ENSEMBLE_SCORES, SUMMARY, select="SELECT * FROM summary"),
+    ),
     Query("ensemble_weights", "series_key model mape:r weight:r", _weights, _weights_sql()),
     Query("cv_folds", _FOLD_COLUMNS, lambda t: evaluate.cv_folds(t.brand_filled(), FOLDS), _folds_sql("i")),
     Query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators import inventory
 from seriesmill.operators.evaluate import error_summary
 from seriesmill.operators.forecast_run import forecast_by_method, forecast_outcomes, forecast_run
-from seriesmill.operators.models import DecomposeModel, LookbackModel, SsaModel, WeightedModel, ensemble_forecast
+from seriesmill.operators.models import DecomposeModel, EnsembleModel, LookbackModel, SsaModel, WeightedModel, ensemble_forecast
 from seriesmill.operators.models.base import UserModel
 from seriesmill.operators.models.ensemble import ensemble_evaluate
 from seriesmill.operators.models.lookback import one_step_predictions
@@ -17,6 +17,8 @@ from seriesmill.operators.series import fill_gaps, forecast_errors
 from seriesmill.plans.base import Query, with_
 from seriesmill.plans.series import DECOMPOSE_FORECAST, DECOMPOSED
 from seriesmill.plans.ssa_sql import forecast_tables, moment_tables, projection_tables, recurrent_tables, rule_tables
+from seriesmill.session import scratch_path
+from seriesmill.sources import registry
 from seriesmill.plans.tables import BRAND, FILLED, HOLEY, SUPPLIER, SUPPLIER_YEARS, TYPES, Tables
 
 HORIZON = 14
@@ -130,6 +132,14 @@ def _members():
     return [DecomposeModel(), WeightedModel(), LookbackModel()]
 
 
+def _registry_ensemble(t: Tables):
+    """An ensemble's parameters saved and read back; the forecast is that of its members' weighted mean."""
+    path = scratch_path(t.spark, "models")
+    model = EnsembleModel([DecomposeModel(), WeightedModel(), LookbackModel()])
+    registry.save_model(model.fit(t.brand_filled()), path, model.name, "1.0", parameters=model.parameters())
+    return model.predict(registry.load_model(t.spark, path, model.name, "1.0"), 14)
+
+
 def _detail(t: Tables):
     filled = t.brand_filled()
     model = DecomposeModel()
@@ -193,6 +203,16 @@ QUERIES = [
             recursive=True,
         ),
     ),
+    Query(
+        "registry_ensemble", FORECAST_COLUMNS, _registry_ensemble,
+        with_(
+            BRAND, FILLED, DECOMPOSED, DECOMPOSE_FORECAST, WMA, fit_sql("fit"), lookback_sql("fit"),
+            "stacked AS (SELECT * FROM forecast UNION ALL SELECT * FROM wma_forecast UNION ALL SELECT * FROM look_forecast)",
+            select="""SELECT series_key, 'ensemble' AS model, step, min(ds) AS ds, avg(yhat) AS yhat, avg(lo) AS lo, avg(hi) AS hi
+                      FROM stacked GROUP BY series_key, step""",
+            recursive=True,
+        ),
+    ),
     Query(
         "forecast_run", FORECAST_COLUMNS, lambda t: forecast_run(t.brand_filled(), "lookback", HORIZON),
         with_(

@@ -68,14 +68,17 @@ def sales_text(t: Tables):
 
 
 def _split(t: Tables):
-    """Comma lines of three or four fields; those with three are dropped."""
+    """Comma lines of three or four fields: the rows of those with four and a date, and all others with the reason."""
     raw = raw_text(t)
     line = F.concat_ws(",", F.col("id").cast("string"), "Date", "Sales", F.when(F.col("id") % 6 != 0, F.col("StateHoliday")))
-    parts = csv.parse_split_lines(raw.select(line.alias("value")), ["id", "d", "s", "h"], 4)
-    return parts.select(
-        p.parse_int(F.col("id")).alias("id"), p.parse_date(F.col("d")).alias("ds"),
+    rows, short = csv.split_lines(raw.select(line.alias("value")), ["id", "d", "s", "h"], 4)
+    typed = rows.withColumn("ds", p.parse_date(F.col("d")))
+    none = {"id": F.lit(-1), "ds": F.lit("1970-01-01").cast("date"), "sales": F.lit(-1.0)}
+    bad = short.unionByName(typed.where("ds IS NULL").select("line", F.lit("bad_date").alias("reason"))).withColumns(none)
+    return typed.where("ds IS NOT NULL").select(
+        F.lit("").alias("line"), F.lit("").alias("reason"), p.parse_int(F.col("id")).alias("id"), "ds",
         F.coalesce(p.parse_double(F.col("s")), F.lit(-1.0)).alias("sales"),
-    ).where(F.col("ds").isNotNull())
+    ).unionByName(bad)
 
 
 def _split_sales(t: Tables):
@@ -132,7 +135,7 @@ def _archived(t: Tables):
     good, _ = csv.parse_demand(raw_text(t))
     for stamp in ("2024-01-01T000000", "2024-01-02T000000"):
         csv.archive_import(good, path, stamp)
-    return t.spark.read.parquet(path).groupBy("imported_at").agg(F.count(F.lit(1)).alias("rows"), F.sum("sales").alias("sales"))
+    return t.spark.read.parquet(path).select("imported_at", "ds", "sales")
 
 
 def _csv_round_trip(t: Tables):
@@ -140,7 +143,7 @@ def _csv_round_trip(t: Tables):
     table = t.supplier().select(F.col("series_key").alias("Store"), F.col("ds").alias("DATE"), F.col("y").alias("sales"))
     csv.export_csv(table, path)
     good, _ = csv.parse_demand(csv.read_text_table(t.spark, path))
-    return good.groupBy("ds").agg(F.count(F.lit(1)).alias("rows"), F.sum("sales").alias("sales"))
+    return good.select("ds", "sales")
 
 
 def _registry_round_trip(t: Tables):
@@ -209,8 +212,13 @@ QUERIES = [
         ),
     ),
     Query(
-        "split_scan", "id:i ds:d sales:r", _split,
-        with_(RAW, select="SELECT id, ds, coalesce(sales, -1) AS sales FROM typed WHERE id % 6 <> 0 AND ds IS NOT NULL"),
+        "split_scan", "id:i ds:d sales:r line reason", _split,
+        with_(
+            RAW,
+            select="""SELECT id, ds, coalesce(sales, -1) AS sales, '' AS line, '' AS reason FROM typed WHERE id % 6 <> 0 AND ds IS NOT NULL
+                      UNION ALL SELECT -1, DATE '1970-01-01', -1, id || ',' || d || ',' || s || CASE WHEN id % 6 <> 0 THEN ',' || h ELSE '' END,
+                        CASE WHEN id % 6 = 0 THEN 'few_fields' ELSE 'bad_date' END FROM typed WHERE id % 6 = 0 OR ds IS NULL""",
+        ),
     ),
     Query(
         "store_scan", "store_id:i store_type assortment competition_distance:i promo2:i promo2_since_week:i promo_interval",
@@ -237,12 +245,12 @@ QUERIES = [
         _split_sales, with_(SALES, select="SELECT * FROM sales"),
     ),
     Query(
-        "import_archive", "imported_at rows:i sales:r", _archived,
+        "import_archive", "imported_at ds:d sales:r", _archived,
         with_(
             RAW,
-            select="""SELECT imported_at, count(*) AS "rows", sum(sales) AS sales FROM typed
+            select="""SELECT imported_at, ds, sales FROM typed
                       CROSS JOIN (VALUES ('2024-01-01T000000'), ('2024-01-02T000000')) v(imported_at)
-                      WHERE ds IS NOT NULL AND sales IS NOT NULL GROUP BY 1""",
+                      WHERE ds IS NOT NULL AND sales IS NOT NULL""",
         ),
     ),
     Query(
@@ -302,8 +310,7 @@ QUERIES = [
         with_(BRAND, select='SELECT DISTINCT series_key, 1 AS "rows", 7 AS window_size FROM series'),
     ),
     Query(
-        "csv_round_trip", "ds:d rows:i sales:r", _csv_round_trip,
-        with_(SUPPLIER, select='SELECT ds, count(*) AS "rows", sum(y) AS sales FROM series GROUP BY 1'),
+        "csv_round_trip", "ds:d sales:r", _csv_round_trip, with_(SUPPLIER, select="SELECT ds, y AS sales FROM series"),
     ),
     Query(
         "registry_round_trip", "series_key model step:i ds:d yhat:r lo:r hi:r", _registry_round_trip,

@@ -175,6 +175,14 @@ def parse_split_lines(lines: DataFrame, names: list[str], min_fields: int, value
     )
 
 
+def split_lines(lines: DataFrame, names: list[str], min_fields: int, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows of the fields, rejected ``line, reason``) of a plain comma split."""
+    parts = F.split(F.col(value), ",")
+    short = lines.where(F.size(parts) < min_fields).select(F.col(value).alias("line"), F.lit("few_fields").alias("reason"))
+    rows = lines.where(F.size(parts) >= min_fields).select(F.col(value).alias("line"), *[F.get(parts, at).alias(name) for at, name in enumerate(names)])
+    return rows, short
+
+
 # Columns of the plain files in order, by kind; all must be present.
 SPLIT_LAYOUTS = {
     "store": (
