@@ -44,9 +44,22 @@ def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Colum
     )
 
 
-def fill_gaps(series: DataFrame, fill: float = 0.0) -> DataFrame:
+# A century: no series that is filled day by day gets longer arrays from one gap.
+MAX_GAP_DAYS = 36_525
+
+
+def far_gaps(series: DataFrame, limit: int = MAX_GAP_DAYS) -> DataFrame:
+    """The gaps that ``fill_gaps`` would not fill: ``series_key, previous_ds, ds, days``."""
+    gaps = series.select(KEY, F.lag("ds").over(in_order()).alias("previous_ds"), "ds").withColumn("days", F.datediff("ds", "previous_ds"))
+    return gaps.where(F.col("days") > limit)
+
+
+def fill_gaps(series: DataFrame, fill: float = 0.0, limit: int = MAX_GAP_DAYS) -> DataFrame:
     """Every day from first to last of the key; days that are missing or have no value get ``fill``.
 
+    A gap of more than ``limit`` days, most likely a wrong date, is an error that names the key and the day; ``far_gaps``
+    lists them all, so that they can be mended first.
+
     Adds the position ``i`` (0-based) and the length ``n``.  Each observed day
     emits itself and the empty days up to the next one, so no calendar is
     joined and the only shuffle is the one by key.
@@ -58,7 +71,9 @@ def fill_gaps(series: DataFrame, fill: float = 0.0) -> DataFrame:
         F.min("ds").over(whole).alias("_first"),
         F.max("ds").over(whole).alias("_last"),
     )
-    day_before_next = F.coalesce(F.date_sub("_next", 1), F.col("ds"))
+    text = F.format_string("more than %d days without a row after %s of %s", F.lit(limit), F.col("ds").cast("string"), F.col(KEY))
+    far = F.datediff("_next", "ds") > limit
+    day_before_next = F.when(far, F.raise_error(text).cast("date")).otherwise(F.coalesce(F.date_sub("_next", 1), F.col("ds")))
     return spread.select(
         KEY, "y", "_first", "_last", F.col("ds").alias("_seen"),
         F.explode(F.sequence(F.col("ds"), day_before_next)).alias("ds"),

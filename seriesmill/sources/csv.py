@@ -36,7 +36,7 @@ def read_text_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_mixed_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """As ``read_text_table`` for files that differ in their columns: each is read by its own header.
+    """As ``read_text_table`` for files that differ in their columns: each line is read by the header of its file.
 
     The header is the first line of a file.  Columns are matched by name, ignoring case; a file without one has nulls
     there.  Fields must not hold line breaks.  More than ``MAX_HEADERS`` different headers are an error.
@@ -49,15 +49,24 @@ def read_mixed_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     headers = [r[0] for r in first.select("_header").distinct().limit(MAX_HEADERS + 1).collect()]
     if len(headers) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers below {path}")
+    if not headers:
+        raise ValueError(f"no header below {path}")
+    layouts = [[name.strip().strip('"').lower() for name in header.split(",")] for header in headers]
+    # All files are read in one pass: a line's fields by place, and the place of each column by the line's header.
+    width = max(map(len, layouts))
+    options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
+    fields = F.from_csv("value", ", ".join(f"_c{k} string" for k in range(width)), options)
     named = lines.join(first, "_file").where("value <> _header AND trim(value) <> ''")
-    parts = None
-    for header in headers:
-        names = [name.strip().strip('"').lower() for name in header.split(",")]
-        schema = ", ".join(f"`{name}` string" for name in names)
-        options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
-        part = named.where(F.col("_header") == header).select(F.from_csv("value", schema, options).alias("row")).select("row.*")
-        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
-    return parts
+    rows = named.select("_header", fields.alias("row")).select("_header", F.array(*[F.col(f"row._c{k}") for k in range(width)]).alias("row"))
+
+    def field(name: str) -> Column:
+        place = F.lit(None).cast("int")
+        for header, names in zip(headers, layouts):
+            if name in names:
+                place = F.when(F.col("_header") == header, names.index(name)).otherwise(place)
+        return F.get("row", place)
+
+    return rows.select(*[field(name).alias(name) for name in dict.fromkeys(n for names in layouts for n in names)])
 
 
 def require_paths(spark: SparkSession, *paths: str) -> None:

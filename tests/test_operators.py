@@ -69,6 +69,17 @@ def test_date_range_takes_whole_days(make, spark):
     assert series.between_dates(times, "1996-12-01", "1996-12-31").count() == 1
 
 
+def test_far_gap_is_an_error_that_names_the_key(spark):
+    import datetime as dt
+
+    rows = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1.0), ("a", dt.date(2024, 1, 4), 2.0), ("b", dt.date(2024, 1, 1), 1.0), ("b", dt.date(9999, 12, 31), 1.0)],
+                                 "series_key string, ds date, y double")
+    assert [(r.series_key, r.ds, r.days) for r in series.far_gaps(rows).collect()] == [("b", dt.date(9999, 12, 31), (dt.date(9999, 12, 31) - dt.date(2024, 1, 1)).days)]
+    with pytest.raises(Exception, match="after 2024-01-01 of b"):
+        series.fill_gaps(rows).collect()
+    assert series.fill_gaps(rows.where("series_key = 'a'"), limit=3).count() == 4
+
+
 def test_sortedness(make):
     arrived = make({"k": [1, 2, 3, 4]}).withColumn("arrival", F.expr("array(2, 1, 3, 4)[datediff(ds, date'2024-01-01')]"))
     row = series.sortedness(arrived, "arrival").first()
