@@ -105,6 +105,8 @@ def _scan(items: list[tuple[str, str]], window: int):
             yield pa.array(rows, pa.struct([
                 ("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())),
                 ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+        del automaton
+        W.release()
 
     return scan
 

@@ -18,7 +18,7 @@ from seriesmill.llm import words as W
 
 END_ID = 1
 # Encodings are kept in the Python worker for its later tasks.  Beyond so many units those met in one block only are forgotten.
-_KEPT_UNITS = 400_000
+_KEPT_UNITS = 200_000
 _JOINED = 512  # words of letters encoded as one text
 _SPECIAL = "<|"
 _WORD_END = "</w>"
