@@ -139,11 +139,13 @@ def _archived(t: Tables):
 
 
 def _csv_round_trip(t: Tables):
+    """Each row read back, with the number of rows and the total of its day."""
     path = scratch_path(t.spark, "demand-csv")
     table = t.supplier().select(F.col("series_key").alias("Store"), F.col("ds").alias("DATE"), F.col("y").alias("sales"))
     csv.export_csv(table, path)
     good, _ = csv.parse_demand(csv.read_text_table(t.spark, path))
-    return good.select("ds", "sales")
+    days = good.groupBy("ds").agg(F.count(F.lit(1)).alias("rows"), F.sum("sales").alias("day_sales"))
+    return good.join(days, "ds").select("ds", "sales", "rows", "day_sales")
 
 
 def _registry_round_trip(t: Tables):
@@ -310,7 +312,11 @@ QUERIES = [
         with_(BRAND, select='SELECT DISTINCT series_key, 1 AS "rows", 7 AS window_size FROM series'),
     ),
     Query(
-        "csv_round_trip", "ds:d sales:r", _csv_round_trip, with_(SUPPLIER, select="SELECT ds, y AS sales FROM series"),
+        "csv_round_trip", "ds:d sales:r rows:i day_sales:r", _csv_round_trip,
+        with_(
+            SUPPLIER, 'days AS (SELECT ds, count(*) AS "rows", sum(y) AS day_sales FROM series GROUP BY 1)',
+            select='SELECT ds, y AS sales, "rows", day_sales FROM series JOIN days USING (ds)',
+        ),
     ),
     Query(
         "registry_round_trip", "series_key model step:i ds:d yhat:r lo:r hi:r", _registry_round_trip,

@@ -57,3 +57,14 @@ def test_two_shuffles_after_the_part_lookup(spark, name):
     plan = plan_of(spark, name)
     assert plan.count("Exchange hashpartitioning") == 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_round_trip_gives_rows_and_the_totals_of_their_days(spark, db):
+    """Both what single rows hold and what the daily sums do."""
+    test_query_agrees_with_sql(spark, db, "csv_round_trip")
+    rows = entry_point.queries()["csv_round_trip"](spark, DATA).collect()
+    days = {}
+    for r in rows:
+        days.setdefault(r.ds, []).append(r.sales)
+    assert all((r.rows, r.day_sales) == (len(days[r.ds]), sum(days[r.ds])) for r in rows)
+    assert len(rows) > len(days)
