@@ -44,6 +44,19 @@ def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Colum
     )
 
 
+# Rows of a partition that is dealt by key: with gaps filled, some 60 MB of sorted rows.
+PARTITION_ROWS = 150_000
+
+
+def deal_by_key(series: DataFrame, rows: int, size: int = PARTITION_ROWS) -> DataFrame:
+    """The keys dealt over one partition for each ``size`` of ``rows``, an upper bound of the rows of ``series``.
+
+    Windows, aggregates and models by key take this distribution as it is.  Daily rows compress so well that adaptive
+    execution, which goes by bytes, would give millions of them to one task; a number of partitions stays as it is given.
+    """
+    return series.repartition(max(1, -(-rows // size)), KEY)
+
+
 # A century: no series that is filled day by day gets longer arrays from one gap.
 MAX_GAP_DAYS = 36_525
 

@@ -52,7 +52,7 @@ def _guard_sql(share: float) -> str:
 
 QUERIES = [
     Query(
-        "quality_report", _REPORT_COLUMNS, lambda t: _report(t.supplier()),
+        "quality_report", _REPORT_COLUMNS, lambda t: _report(t.supplier_by_key()),
         with_(SUPPLIER, STATS, select=f"SELECT *, issues = '' AS is_valid FROM ({REPORT})"),
     ),
     Query(
@@ -68,11 +68,11 @@ QUERIES = [
         ),
     ),
     Query(
-        "date_gaps", "series_key date_gaps:i", lambda t: q.date_gaps(t.supplier()),
+        "date_gaps", "series_key date_gaps:i", lambda t: q.date_gaps(t.supplier_by_key()),
         with_(SUPPLIER, STATS, select="SELECT * FROM gaps"),
     ),
     Query(
-        "date_gap_rows", "series_key previous_ds:d ds:d missing_days:i", lambda t: q.gap_rows(t.supplier()),
+        "date_gap_rows", "series_key previous_ds:d ds:d missing_days:i", lambda t: q.gap_rows(t.supplier_by_key()),
         with_(
             SUPPLIER, STATS,
             select="SELECT *, date_diff('day', previous_ds, ds) - 1 AS missing_days FROM jumps WHERE date_diff('day', previous_ds, ds) <> 1",

@@ -17,7 +17,7 @@ def _sorted(t: Tables):
     arrival = lines.groupBy(
         F.col("l_suppkey").cast("string").alias("series_key"), F.col("l_shipdate").cast("date").alias("ds")
     ).agg(F.min("l_orderkey").alias("_first"))
-    return s.sortedness(arrival.withColumn("arrival", F.struct("_first", "ds")), "arrival")
+    return s.sortedness(t.by_key(arrival.withColumn("arrival", F.struct("_first", "ds"))), "arrival")
 
 
 def _date_range(t: Tables):
@@ -27,7 +27,7 @@ def _date_range(t: Tables):
 
 
 def _padded(t: Tables):
-    marked = s.train_test_split(t.supplier())
+    marked = s.train_test_split(t.supplier_by_key())
     recent = s.head(marked.where(F.col("part") == "recent"), 5)
     return s.pad_with_history(recent, marked.where(F.col("part") == "train"), 14)
 
@@ -75,11 +75,11 @@ QUERIES = [
         with_(SUPPLIER, select="SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY ds) <= 10"),
     ),
     Query(
-        "series_skip", "series_key ds:d y:r", lambda t: s.skip(t.supplier(), 500),
+        "series_skip", "series_key ds:d y:r", lambda t: s.skip(t.supplier_by_key(), 500),
         with_(SUPPLIER, select="SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY ds) > 500"),
     ),
     Query(
-        "train_test_split", "series_key ds:d y:r part", lambda t: s.train_test_split(t.supplier()),
+        "train_test_split", "series_key ds:d y:r part", lambda t: s.train_test_split(t.supplier_by_key()),
         with_(SUPPLIER, PLACED, select="SELECT *, CASE WHEN i < floor(n * 0.8) THEN 'train' ELSE 'recent' END AS part FROM placed"),
     ),
     Query(
@@ -94,7 +94,7 @@ QUERIES = [
         with_(SUPPLIER, select="SELECT * FROM series WHERE ds BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"),
     ),
     Query(
-        "short_series", "series_key n:i reason", lambda t: s.split_by_length(t.supplier(), 540)[1],
+        "short_series", "series_key n:i reason", lambda t: s.split_by_length(t.supplier_by_key(), 540)[1],
         with_(SUPPLIER, select="SELECT series_key, count(*) AS n, 'too_short' AS reason FROM series GROUP BY 1 HAVING count(*) < 540"),
     ),
     Query(

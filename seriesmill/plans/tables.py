@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.operators.series import fill_gaps, in_order, to_series
+from seriesmill.operators.series import deal_by_key, fill_gaps, in_order, to_series
 from seriesmill.streaming.daily import daily_totals_batch
 
 
@@ -30,11 +30,18 @@ class Tables:
     def supplier(self) -> DataFrame:
         return to_series(self.table("lineitem"), "l_suppkey", "l_shipdate", "l_quantity")
 
+    def by_key(self, series: DataFrame) -> DataFrame:
+        """A series of lines, of which there are many keys, dealt by key for windows and models; the lines are counted in the files' footers."""
+        return deal_by_key(series, self.table("lineitem").count())
+
+    def supplier_by_key(self) -> DataFrame:
+        return self.by_key(self.supplier())
+
     def brand_filled(self) -> DataFrame:
         return fill_gaps(self.brand())
 
     def supplier_filled(self) -> DataFrame:
-        return fill_gaps(self.supplier())
+        return fill_gaps(self.supplier_by_key())
 
     def signed(self) -> DataFrame:
         """Daily quantity per brand with heavily taxed returns counted negative."""
@@ -48,8 +55,8 @@ class Tables:
         """Daily quantity per supplier and year, few lines counted negative: some keys are short, some have bad values."""
         back = (F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & (F.col("l_linenumber") == 7)
         key = F.concat_ws("-", F.col("l_suppkey").cast("string"), F.year("l_shipdate").cast("string"))
-        return to_series(
-            self.table("lineitem"), key, "l_shipdate", F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")))
+        return self.by_key(to_series(
+            self.table("lineitem"), key, "l_shipdate", F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity"))))
 
     def holey(self) -> DataFrame:
         """Daily quantity per brand where the lines of some days, and one brand's all, have no value."""

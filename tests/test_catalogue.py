@@ -68,3 +68,20 @@ def test_round_trip_gives_rows_and_the_totals_of_their_days(spark, db):
         days.setdefault(r.ds, []).append(r.sales)
     assert all((r.rows, r.day_sales) == (len(days[r.ds]), sum(days[r.ds])) for r in rows)
     assert len(rows) > len(days)
+
+
+@pytest.mark.parametrize("name", [
+    "padded_window", "centered_moving_average", "user_model", "date_gaps", "date_gap_rows", "quality_report", "series_skip", "train_test_split",
+    "short_series", "sortedness", "linear_trend", "recover_failed",
+])
+def test_many_keys_are_dealt_by_their_rows(spark, name):
+    """Windows over the series of suppliers take partitions whose number follows the lines, which adaptive execution does not join."""
+    assert "REPARTITION_BY_NUM" in plan_of(spark, name)
+
+
+def test_partitions_follow_the_rows(spark, make):
+    from seriesmill.operators import series, stats
+
+    rows = make({str(k): [1.0] * 20 for k in range(50)})
+    filled = series.fill_gaps(series.deal_by_key(rows, 1000, 100)).withColumn("trend", stats.moving_average(7))
+    assert filled.rdd.getNumPartitions() == 10 and filled.count() == 1000
