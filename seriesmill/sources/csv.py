@@ -44,19 +44,22 @@ def read_mixed_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"))
-    # Within a file the first line has the lowest block and, in it, the lowest id.
-    first = lines.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_at")).alias("_header"))
-    headers = [r[0] for r in first.select("_header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(headers) > MAX_HEADERS:
+    # A file's first line is in its first block and has the lowest id there.
+    first = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "_at").alias("_header"))
+    found = first.groupBy("_header").agg(F.collect_list("_file").alias("files")).limit(MAX_HEADERS + 1).collect()
+    if len(found) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers below {path}")
-    if not headers:
+    if not found:
         raise ValueError(f"no header below {path}")
+    headers = [r["_header"] for r in found]
+    # The names of the files are a small table, which lines are looked up in where they are.
+    files = spark.createDataFrame([(file, r["_header"]) for r in found for file in r["files"]], "_file string, _header string")
     layouts = [[name.strip().strip('"').lower() for name in header.split(",")] for header in headers]
     # All files are read in one pass: a line's fields by place, and the place of each column by the line's header.
     width = max(map(len, layouts))
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
     fields = F.from_csv("value", ", ".join(f"_c{k} string" for k in range(width)), options)
-    named = lines.join(first, "_file").where("value <> _header AND trim(value) <> ''")
+    named = lines.join(F.broadcast(files), "_file").where("value <> _header AND trim(value) <> ''")
     rows = named.select("_header", fields.alias("row")).select("_header", F.array(*[F.col(f"row._c{k}") for k in range(width)]).alias("row"))
 
     def field(name: str) -> Column:

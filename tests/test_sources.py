@@ -164,3 +164,13 @@ def test_shared_folder(spark):
     from seriesmill.session import is_local
 
     assert [is_local(m) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1024]", "yarn", "spark://h:7077")] == [True, True, True, False, False, False]
+
+
+def test_lines_of_mixed_files_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Sales\n2024-01-01,1\n")
+    (tmp_path / "b.csv").write_text("\n")
+    (tmp_path / "c.csv").write_text("Sales,Date\n" + "3,2024-01-03\n" * 500)
+    rows = csv.read_mixed_tables(spark, str(tmp_path))
+    assert rows.count() == 501
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
