@@ -37,7 +37,7 @@ class Settings:
     """``rounds`` exchange counts between restaurants and parent; each after the first ``burn`` gives one sample.
 
     A block holds about ``block_bytes`` of text; words and pairs are dealt over a chunk for each ``chunk_bytes`` (or over
-    ``chunks``).  A round has ``sweeps``, in each of which up to ``moves`` customers of every dish change seats.  Discounts are
+    ``chunks``).  A round has ``sweeps``, in each of which all customers of every dish (or ``moves`` of them) take their seats anew.  Discounts are
     estimated from the numbers of pairs (and of words by contexts) met once and twice.  The dishes of a word with more than
     ``shard_tokens`` successors are dealt over several chunks.
     """
@@ -48,7 +48,7 @@ class Settings:
     rounds: int = 3
     burn: int = 1
     sweeps: int = 3
-    moves: int = 6
+    moves: int | None = None
     strength: float = 1.0
     shard_tokens: int = 500_000
     seed: int = 29
@@ -245,23 +245,49 @@ class Seating:
             out[C.ragged(starts[rows], self.tables[rows])] = held[taken]
         return out
 
-    def sweep(self, discount: float, weight: np.ndarray, moves: int, random: np.random.Generator) -> None:
-        """``weight`` is that of a new table for each dish; an old one of ``n`` customers weighs ``n - discount``."""
+    def sweep(self, discount: float, weight: np.ndarray, moves: int | None, random: np.random.Generator) -> None:
+        """``weight`` is that of a new table for each dish; an old one of ``n`` customers weighs ``n - discount``.
+
+        Every customer of a dish leaves and sits down again, or ``moves`` of them.  Steps from the largest table back to it change
+        nothing, so their number before the next other step is drawn at once (it is geometric).
+        """
         for k, (rows, held) in enumerate(self.groups):
-            for move in range(moves):
-                live = np.flatnonzero(self.counts[rows] > move + 1) if move else np.arange(len(rows))
-                if not len(live):
+            left = self.counts[rows] if moves is None else np.minimum(self.counts[rows], moves)
+            left = left.astype(np.float64)
+            while True:
+                every = np.flatnonzero(left > 0)
+                if not len(every):
                     break
-                part, dish = held[live], rows[live]
-                line = np.arange(len(live))
-                # One customer leaves.
-                seat = random.random(len(live)) * self.counts[dish]
-                table = (np.cumsum(part, axis=1) <= seat[:, None]).sum(axis=1)
+                part, dish = held[every], rows[every]
+                line = np.arange(len(every))
+                count, tables = self.counts[dish], (part > 0).sum(axis=1)
+                big = part.argmax(axis=1)
+                size = part[line, big]
+                others = np.where(size > 1, size - 1 - discount, 0.0)  # a table of one is gone when its customer leaves
+                back = others / (count - 1 - discount * (tables - (size == 1)) + weight[dish])
+                stay = size / count * back
+                with np.errstate(divide="ignore"):
+                    skipped = np.where(stay > 0, np.floor(np.log(1 - random.random(len(every))) / np.log(stay)), 0)
+                left[every] -= skipped + 1
+                on = np.flatnonzero(left[every] >= 0)
+                if not len(on):
+                    continue
+                live, part, dish, big, size, back, count = every[on], part[on], dish[on], big[on], size[on], back[on], count[on]
+                line = np.arange(len(on))
+                # One customer leaves: of the largest table, for another one, or of any other table.
+                away = size * (1 - back)
+                from_big = random.random(len(on)) * (away + count - size) < away
+                rest = part.copy()
+                rest[line, big] = 0
+                seat = random.random(len(on)) * (count - size)
+                table = (np.cumsum(rest, axis=1) <= seat[:, None]).sum(axis=1)
+                table = np.where(from_big, big, np.minimum(table, part.shape[1] - 1))
                 part[line, table] -= 1
                 # And sits down again.
                 old = np.where(part > 0, part - discount, 0.0)
+                old[line[from_big], big[from_big]] = 0.0
                 steps = np.cumsum(old, axis=1)
-                draw = random.random(len(live)) * (steps[:, -1] + weight[dish]) - weight[dish]
+                draw = random.random(len(on)) * (steps[:, -1] + weight[dish]) - weight[dish]
                 fresh = draw < 0
                 if (part[fresh] > 0).all(axis=1).any():  # no empty table is left in the matrix
                     held = np.pad(held, ((0, 0), (0, held.shape[1])))

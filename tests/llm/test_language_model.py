@@ -93,3 +93,20 @@ def test_edges(odd, nothing):
     assert P.score(nothing).count() == 0
     untrained = P.score(odd, train=F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.base_score == 0 and abs(r.score) < 1e-9 for r in untrained)
+
+
+def test_a_sweep_seats_every_customer():
+    """Large dishes from one table only: the sweeps bring the mean number of tables to that of the exact distribution."""
+    d, a, c, n = 0.6, 2.0, 60, 4000
+    stirling = np.zeros(c + 1)  # of partitions of so many customers into tables, by the tables
+    stirling[1] = 1.0
+    for customers in range(1, c):
+        k = np.arange(c + 1)
+        stirling = (customers - d * k) * stirling + np.concatenate([[0.0], stirling[:-1]])
+    shares = stirling * a ** np.arange(c + 1)
+    mean = (shares * np.arange(c + 1)).sum() / shares.sum()
+    seats = P.Seating(np.full(n, c), np.ones(n, np.int64))
+    random = np.random.default_rng(4)
+    for _ in range(80):
+        seats.sweep(d, np.full(n, a), P.Settings().moves, random)
+    assert abs(seats.tables.mean() - mean) < 0.1
