@@ -2,8 +2,8 @@
 
 Every word is a restaurant of the words that follow it; all these restaurants share one parent, whose customers are
 their tables, and the parent's base is uniform over the vocabulary and one unknown word.  Seating is sampled by Gibbs steps:
-a customer leaves and takes a seat again by the restaurant's rule.  Restaurants are seated in parallel, each given the
-parent's probabilities and table counts of the last round, as in distributed samplers of topic models.
+all customers of a dish (or one at a time) leave and take their seats again by the restaurant's rule.  Restaurants are seated in
+parallel, each given the parent's probabilities and table counts of the last round, as in distributed samplers of topic models.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ LETTER = "sender long, receiver long, body array<binary>, sums array<double>"
 _STATE = -1  # receiver of what a task keeps for itself
 _SEATS = -3  # receiver of the seating a chunk of restaurants keeps
 _SLICE = 1 << 20  # tokens scored at a time
+_LISTED = 1024  # customers up to which a dish's tables are drawn from a list of Stirling numbers
+_NODES = 48  # of the contour integral for dishes with more
 _END = ""    # the token after each text, and the context of its first word
 
 
@@ -37,7 +40,7 @@ class Settings:
     """``rounds`` exchange counts between restaurants and parent; each after the first ``burn`` gives one sample.
 
     A block holds about ``block_bytes`` of text; words and pairs are dealt over a chunk for each ``chunk_bytes`` (or over
-    ``chunks``).  A round has ``sweeps``, in each of which all customers of every dish (or ``moves`` of them) take their seats anew.  Discounts are
+    ``chunks``).  A round has ``sweeps``, in each of which all customers of every dish take their seats anew at once (or ``moves`` of them, one by one).  Discounts are
     estimated from the numbers of pairs (and of words by contexts) met once and twice.  The dishes of a word with more than
     ``shard_tokens`` successors are dealt over several chunks.
     """
@@ -214,17 +217,98 @@ def _ask(corpus: Corpus):
 
 # Restaurants
 
+def _log_stirling(discount: float, counts: np.ndarray) -> dict[int, np.ndarray]:
+    """For each of ``counts`` the logarithms of the weights of its seatings with 1, 2, ... tables, the tables' own weight apart."""
+    wanted, rows, row = set(counts.tolist()), {}, np.zeros(1)
+    for c in range(1, max(wanted, default=0) + 1):
+        if c > 1:  # the last customer sits down at one of the tables, or alone
+            row = np.logaddexp(np.append(row + np.log(c - 1 - discount * np.arange(1, c)), -np.inf), np.append(-np.inf, row))
+        if c in wanted:
+            rows[c] = row
+    return rows
+
+
+def _boltzmann(counts: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
+    """``y = 1 - z`` where Poisson tables, those of ``n`` customers tilted by ``z**n``, have ``counts`` customers on average."""
+    low, high = np.full(len(counts), -700.0), np.zeros(len(counts))
+    for _ in range(60):
+        middle = (low + high) / 2
+        more = weight * -np.expm1(middle) * np.exp((discount - 1) * middle) > counts
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return np.exp((low + high) / 2)
+
+
+def _table_moments(weight: np.ndarray, discount: float, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of those tables: mean number; sum of the customers' means; sum of the means of their squares."""
+    slope = (1 - y) * y ** (discount - 1)
+    return weight * (1 - y**discount) / discount, weight * slope, weight * (slope + (1 - y) ** 2 * (1 - discount) * y ** (discount - 2))
+
+
+def table_shares(count: int, weight: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables that a dish of many customers can have, and their probabilities (to about 1e-8), at a cost that hardly grows with ``count``.
+
+    The seatings with ``t`` tables weigh ``weight**t / t!`` times the ``count``-th coefficient of ``((1 - (1 - z)**d) / d)**t``, a contour
+    integral: along a parabola in ``log z`` around the cut from ``z = 1``, or a whole circle where most tables have one customer.
+    Numbers further than nine deviations from the mean are left out; their share is below rounding.
+    """
+    d, own = discount, _boltzmann(np.array([count]), np.array([weight]), discount)[0]
+    mean, first, second = _table_moments(weight, d, own)
+    reach = 9 * math.sqrt(max(mean - first * first / second, 0)) + 24
+    t = np.arange(max(1, math.floor(mean - reach)), min(count, math.ceil(mean + reach)) + 1)
+    y = min(max(own, 5 / count), 1 - 1e-12)
+    mean, first, second = _table_moments(weight, d, y)
+    vertex, spread = -math.log1p(-y), math.sqrt(max(second - first * first / mean, 0))
+    if y > 0.05 and spread < 60:
+        nodes = int(12 * spread) + _NODES
+        s, lead = vertex + 1j * np.pi * (np.arange(nodes) + 0.5) / nodes, 0.0
+    else:
+        reach = max(6 / math.sqrt(count * vertex), 4 / math.sqrt(count * vertex * (1 - d)), 5 / (vertex * spread) if y > 0.05 else 0)
+        bow = 1 + 1j * (np.arange(_NODES) + 0.5) * reach / _NODES
+        s, lead = vertex * bow**2, np.log(bow)
+    each = np.log(-np.expm1(d * np.log(-np.expm1(-s))) / d)
+    logs = np.cumsum(np.log(weight / t))[:, None] + (t - t[0])[:, None] * each + (count * s + t[0] * each + lead)
+    shares = np.maximum(np.exp(logs - logs.real.max()).real.sum(axis=1), 0)
+    return t, shares / shares.sum()
+
+
+def draw_tables(counts: np.ndarray, discount: float, weight: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes all of whose customers take seats anew, from their exact distribution given ``weight``, that of a new table."""
+    out = np.ones(len(counts), np.int64)
+    order = np.argsort(counts, kind="stable")
+    found, starts = np.unique(counts[order], return_index=True)
+    listed = _log_stirling(discount, found[found <= _LISTED])
+    for count, rows in zip(found.tolist(), np.split(order, starts[1:])):
+        if count in listed:
+            for at in np.array_split(rows, max(1, len(rows) * count >> 19)):
+                steps = listed[count] + np.log(weight[at])[:, None] * np.arange(1, count + 1)
+                steps = np.cumsum(np.exp(steps - steps.max(axis=1, keepdims=True)), axis=1)
+                seen = (steps <= (random.random(len(at)) * steps[:, -1])[:, None]).sum(axis=1)
+                out[at] = np.minimum(seen + 1, count)
+        else:
+            for at in rows.tolist():
+                t, shares = table_shares(count, float(weight[at]), discount)
+                steps = np.cumsum(shares)
+                out[at] = t[min(int(np.searchsorted(steps, random.random() * steps[-1], "right")), len(t) - 1)]
+    return out
+
+
 class Seating:
-    """Sizes of the tables of many dishes, and Gibbs steps on all of them at a time.
+    """Tables of many dishes, and Gibbs steps on all of them at a time.
 
-    Dishes are held in matrices by the room they need.  A dish served once has one table and is not held.
+    For steps of single customers the sizes of the tables are held in matrices, dishes together by the room they need.
+    A dish served once has one table and is not held.
     """
 
     def __init__(self, counts: np.ndarray, tables: np.ndarray, sizes: np.ndarray | None = None):
-        self.counts, self.tables = counts, tables.copy()
+        self.counts, self.tables, self._sizes = counts, tables.copy(), sizes
+
+    @cached_property
+    def groups(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Dishes and the sizes of their tables."""
+        counts, tables, sizes = self.counts, self.tables, self._sizes
         room = np.minimum(counts, 1 << np.ceil(np.log2(2 * tables + 4)).astype(np.int64)) if len(counts) else counts
         starts = np.cumsum(tables) - tables
-        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
+        groups = []
         for width in np.unique(room):
             rows = np.flatnonzero(room == width)
             held = np.zeros((len(rows), int(width)), np.int32)
@@ -234,10 +318,11 @@ class Seating:
                 held[:, 0] = counts[rows] - tables[rows] + 1
             else:
                 held[taken] = sizes[C.ragged(starts[rows], tables[rows])]
-            self.groups.append((rows, held))
+            groups.append((rows, held))
+        return groups
 
     def sizes(self) -> np.ndarray:
-        """Sizes of all tables, dish after dish."""
+        """Sizes of all tables, dish after dish; after a sweep of all customers at once, which draws none, those of an opening."""
         out = np.zeros(int(self.tables.sum()), np.int32)
         starts = np.cumsum(self.tables) - self.tables
         for rows, held in self.groups:
@@ -248,12 +333,16 @@ class Seating:
     def sweep(self, discount: float, weight: np.ndarray, moves: int | None, random: np.random.Generator) -> None:
         """``weight`` is that of a new table for each dish; an old one of ``n`` customers weighs ``n - discount``.
 
-        Every customer of a dish leaves and sits down again, or ``moves`` of them.  Steps from the largest table back to it change
-        nothing, so their number before the next other step is drawn at once (it is geometric).
+        All customers of a dish leave and sit down again at once, which draws its tables whatever they were; or ``moves`` of them do so
+        one by one.  Single steps from the largest table back to it change nothing, so their number before the next other step is
+        drawn at once (it is geometric).
         """
+        if moves is None:
+            self.tables, self._sizes = draw_tables(self.counts, discount, weight, random), None
+            self.__dict__.pop("groups", None)
+            return
         for k, (rows, held) in enumerate(self.groups):
-            left = self.counts[rows] if moves is None else np.minimum(self.counts[rows], moves)
-            left = left.astype(np.float64)
+            left = np.minimum(self.counts[rows], moves).astype(np.float64)
             while True:
                 every = np.flatnonzero(left > 0)
                 if not len(every):
@@ -375,7 +464,7 @@ def _parent(corpus: Corpus, discount: float, tables: float, round_: int):
         weight = (corpus.settings.strength + discount * tables) / (corpus.words + 1)
         many = np.flatnonzero(customers > 1)
         seats = Seating(customers[many], _expected_tables(customers[many], np.full(len(many), weight)))
-        for _ in range(corpus.settings.sweeps):
+        for _ in range(corpus.settings.sweeps if corpus.settings.moves else 1):  # the weight stays, and all at once depend on it alone
             seats.sweep(discount, np.full(len(many), weight), corpus.settings.moves, random)
         at_table = np.minimum(customers, 1)
         at_table[many] = seats.tables
@@ -403,7 +492,7 @@ class Parent:
 
 
 def _seat(corpus: Corpus, discount: float, parent: Parent, round_: int):
-    """Sweeps over the dishes of one chunk that are served more than once; keeps sizes and the sum of all samples' tables."""
+    """Sweeps over the dishes of one chunk that are served more than once; keeps tables and the sum of all samples' tables."""
 
     def run(key: tuple, kept: pa.Table, letters: pa.Table) -> pa.Table:
         if not kept.num_rows:
@@ -425,7 +514,8 @@ def _seat(corpus: Corpus, discount: float, parent: Parent, round_: int):
         weight = lambda: (settings.strength + discount * np.maximum(opened, 1)[context]) * base
         if _SEATS in body:
             old = C.unpack(body[_SEATS][0], "<i8")
-            seats, total = Seating(counts, old, C.unpack(body[_SEATS][1], "<i4")), C.unpack(body[_SEATS][2], "<i8")
+            sizes = C.unpack(body[_SEATS][1], "<i4")
+            seats, total = Seating(counts, old, sizes if settings.moves else None), C.unpack(body[_SEATS][2], "<i8")
         else:
             seats, total = Seating(counts, _expected_tables(counts, weight())), np.zeros(len(counts), np.int64)
             old = np.ones(len(counts), np.int64)
@@ -436,7 +526,8 @@ def _seat(corpus: Corpus, discount: float, parent: Parent, round_: int):
             seats.sweep(discount, weight(), settings.moves, random)
         if round_ > settings.burn:
             total = total + seats.tables
-        rows = [_letter(bucket, _SEATS, C.pack(seats.tables.astype("<i8")), C.pack(seats.sizes()), C.pack(total.astype("<i8")))]
+        sizes = seats.sizes() if settings.moves else np.zeros(0, np.int32)  # single steps go on from them
+        rows = [_letter(bucket, _SEATS, C.pack(seats.tables.astype("<i8")), C.pack(sizes), C.pack(total.astype("<i8")))]
         return _letters(rows + _gather(corpus, bucket, u, w, [seats.tables]))
 
     return run

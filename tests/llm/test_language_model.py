@@ -110,3 +110,28 @@ def test_a_sweep_seats_every_customer():
     for _ in range(80):
         seats.sweep(d, np.full(n, a), P.Settings().moves, random)
     assert abs(seats.tables.mean() - mean) < 0.1
+
+
+def test_tables_of_large_dishes_by_contour():
+    """The shares of table numbers, by the recursion over customers and by the contour integral, over weights from tiny to large."""
+    for d in (0.05, 0.5, 0.95):
+        rows = P._log_stirling(d, np.array([1100, 2500]))
+        for count, row in rows.items():
+            for weight in (1e-6, 0.5, 30.0, 1000.0, 4000.0, 1e6):
+                exact = row + np.log(weight) * np.arange(1, count + 1)
+                exact = np.exp(exact - exact.max())
+                found = np.zeros(count)
+                t, shares = P.table_shares(count, weight, d)
+                found[t - 1] = shares
+                assert np.abs(found - exact / exact.sum()).sum() < 1e-6, (d, count, weight)
+
+
+def test_a_sweep_costs_the_same_for_a_dish_of_many_customers():
+    """A dish of fifty million customers was seated step by step in one task; its tables are drawn as those of a small one."""
+    d, a, n = 0.6, 40.0, 50_000_000
+    drawn = P.draw_tables(np.full(200, n), d, np.full(200, a), np.random.default_rng(5))
+    # Few tables for so many customers: their number but one is nearly that of a Poisson variable.
+    assert abs(drawn.mean() - 1 - a / d) < 3
+    seats = P.Seating(np.array([n, 2, 700]), np.array([1, 1, 1]))
+    seats.sweep(d, np.array([a, 0.5, 3.0]), None, np.random.default_rng(6))
+    assert (seats.tables >= 1).all() and (seats.tables <= seats.counts).all() and seats.sizes().sum() == seats.counts.sum()
