@@ -40,11 +40,14 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-_KINDS = _kinds()
+_KINDS = _kinds().tobytes()
+_BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 # Between these kinds a word always ends; an apostrophe may open a contraction, so nothing is cut after it but a digit.
 _CUT = np.zeros((6, 6), bool)
 _CUT[_LETTER, [_DIGIT, _QUOTE, _MARK]] = _CUT[_DIGIT, [_LETTER, _DIGIT, _QUOTE, _MARK]] = True
 _CUT[_MARK, [_LETTER, _DIGIT]] = _CUT[_QUOTE, _DIGIT] = True
+_CUT[_SPACE] = True
+_OPENS = _CUT.ravel()  # by six times the kind before and the kind
 
 
 def default_tokenizer() -> str:
@@ -59,23 +62,26 @@ def split_units(texts: pa.Array, table: bytes) -> W.Words:
     plain = W.translate(texts, table).cast(pa.large_binary())
     _, offsets, buffer = plain.buffers()
     offsets = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1]
-    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    kinds = _KINDS[data]
+    content = bytes(memoryview(buffer)[offsets[0] : offsets[-1]]) if buffer else b""
+    data, offsets = np.frombuffer(content, np.uint8), offsets - offsets[0]
+    kinds = np.frombuffer(bytearray(content.translate(_KINDS)), np.uint8)
     # The second byte of U+00C0 to U+00FF stands for a letter, but for the two signs among them.
     latin = np.flatnonzero(data[:-1] == 0xC3) + 1
     kinds[latin[(data[latin] != 0x97) & (data[latin] != 0xB7)]] = _LETTER
-    before = np.concatenate([[_SPACE], kinds[:-1]]).astype(np.uint8)
+    before = np.full(len(kinds), _SPACE, np.uint8)
+    before[1:] = kinds[:-1]
     # The lead of such a letter begins a word after a mark or a digit, as a letter does.
     kinds[latin - 1] = np.where((data[latin] != 0x97) & (data[latin] != 0xB7), _LETTER, _ELSE)
-    inside = np.zeros(len(data), bool)
-    inside[latin] = True
-    opens = (_CUT[before, kinds] | (before == _SPACE)) & ~inside
+    before *= 6
+    before += kinds
+    opens = _OPENS[before]
+    opens[latin] = False
     opens[offsets[:-1][offsets[:-1] < len(data)]] = True
     kept = kinds != _SPACE
     opens &= kept
-    packed = data[kept]
-    place = np.concatenate([[0], np.cumsum(kept)])
+    packed = content.translate(None, _BLANKS)
+    place = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kept, out=place[1:])
     starts = place[np.flatnonzero(opens)]
     bounds = np.append(starts, len(packed)).astype(np.int64)
     units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
@@ -122,7 +128,8 @@ class Encoder:
             return self._each(units)
         return [ids, np.diff(ends, prepend=-1)]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Encode new units; their places."""
         match = _PLAIN.fullmatch if self.cuts else lambda u: None
         plain, rest = [], []
         for u in units:
@@ -133,6 +140,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
         self.lengths = np.concatenate([self.lengths, *(p[1] for p in parts)])
         self.met = np.concatenate([self.met, np.zeros(len(units), np.int32)])
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the place where each text starts (one more entry).
@@ -142,13 +150,13 @@ class Encoder:
         """
         special = pc.any(pc.match_substring(texts, _SPECIAL)).as_py()
         words = split_units(texts, W.LOWER) if self.cuts and not special else W.split_words(texts, bytes(range(256)) if special else W.LOWER)
-        distinct = words.vocabulary.to_pylist()
+        distinct = words.vocabulary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
         if len(self.place) > _KEPT_UNITS:
             self._forget()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        place = np.array([self.place.get(w, -1) for w in distinct], np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = self._learn([distinct[k] for k in missing.tolist()])
         self.met[place] += 1
         starts_of = np.cumsum(self.lengths) - self.lengths
         each = place[words.codes]

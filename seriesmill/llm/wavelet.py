@@ -47,14 +47,14 @@ def build(ids: np.ndarray, ends: np.ndarray, names: pa.Array, base: int = 0, tas
     bits = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
     order, zeros, parts, directory = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], []
     for shift in range(bits - 1, -1, -1):
-        flags = (order >> order.dtype.type(shift) & order.dtype.type(1)).astype(bool)
-        low = order[~flags]
+        flags = (order & order.dtype.type(1 << shift)) != 0
+        low = order.compress(~flags)  # a mask as index takes several times as long
         zeros.append(len(low))
         plane = np.packbits(flags)
         pieces = [plane[k : k + _PIECE] for k in range(0, len(plane), _PIECE)]
         directory.append(np.cumsum([0, *(int(np.bitwise_count(p).sum()) for p in pieces)])[:-1])
         parts += [p.tobytes() for p in pieces]
-        order = np.concatenate([low, order[flags]])  # zeros first, each side in its old order
+        order = np.concatenate([low, order.compress(flags)])  # zeros first, each side in its old order
     parts.append(ends.astype("<i8").tobytes())
     table = pa.RecordBatch.from_arrays([names], ["id"])
     sink = pa.BufferOutputStream()
@@ -91,6 +91,7 @@ class Shard:
         self._inflate = zstandard.ZstdDecompressor()
         self._pieces: dict[tuple[int, int], np.ndarray] = {}
         self._ranks: dict[tuple[int, int], np.ndarray] = {}
+        self._padded: dict[tuple[int, int], np.ndarray] = {}
 
     def _part(self, k: int) -> bytes:
         return self._inflate.decompress(self._content[self._starts[k] : self._starts[k + 1]])
@@ -114,6 +115,7 @@ class Shard:
     def _ones_before(self, level: int, k: int) -> np.ndarray:
         """Ones of the plane before each byte of a piece."""
         if (level, k) not in self._ranks:
+            self._padded[level, k] = np.append(self.piece(level, k), np.uint8(0))
             counts = np.bitwise_count(self.piece(level, k))
             self._ranks[level, k] = self.directory[level, k] + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         return self._ranks[level, k]
@@ -122,11 +124,12 @@ class Shard:
         """Ones of a plane before each place, and the bit there (0 behind the end)."""
         ones, bit = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         which = np.minimum(at >> 3, max((self.n + 7) // 8 - 1, 0)) // _PIECE
-        for k in np.unique(which) if self.pieces else ():
-            rows = np.flatnonzero(which == k)
-            place = at[rows] - (int(k) * _PIECE << 3)
-            piece, before = self.piece(level, int(k)), self._ones_before(level, int(k))
-            byte = np.append(piece, 0)[place >> 3].astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        met, starts = np.unique(which[order], return_index=True)
+        for k, rows in zip(met.tolist(), np.split(order, starts[1:])) if self.pieces else ():
+            place = at[rows] - (k * _PIECE << 3)
+            before = self._ones_before(level, k)
+            byte = self._padded[level, k][place >> 3].astype(np.int64)
             ones[rows] = before[place >> 3] + np.bitwise_count(byte >> (8 - (place & 7)))
             bit[rows] = byte >> (7 - (place & 7)) & 1
         return ones, bit
@@ -156,14 +159,22 @@ class Shard:
         return found if np.ndim(token) or np.ndim(low) or np.ndim(high) else int(found[0])
 
     def _select_bit(self, level: int, bit: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the ``k``-th bit of a kind, by halving on the ranks."""
-        low, high = np.zeros(len(k), np.int64), np.full(len(k), self.n, np.int64)
-        while np.any(low < high):
-            middle = (low + high) // 2
-            ones, own = self._by_piece(level, middle)
-            seen = np.where(bit == 1, ones + own, middle + 1 - ones - own)
-            high, low = np.where(seen > k, middle, high), np.where(seen > k, low, np.minimum(middle + 1, high))
-        return low
+        """Place of the ``k``-th bit of a kind: its piece by the directory, its byte by the ranks there, its place in the byte."""
+        out, first = np.zeros(len(k), np.int64), np.arange(self.pieces) * (_PIECE << 3)
+        for kind in (0, 1):
+            rows = np.flatnonzero(bit == kind)
+            ahead = self.directory[level] if kind else first - self.directory[level]
+            which = np.searchsorted(ahead, k[rows], "right") - 1
+            for piece in np.unique(which).tolist():
+                at = rows[which == piece]
+                before = self._ones_before(level, piece)
+                if not kind:
+                    before = first[piece] + 8 * np.arange(len(before)) - before
+                byte = np.searchsorted(before, k[at], "right") - 1
+                flags = np.unpackbits(self._padded[level, piece][byte][:, None], axis=1) == kind
+                inside = (np.cumsum(flags, axis=1) > (k[at] - before[byte])[:, None]).argmax(axis=1)
+                out[at] = first[piece] + 8 * byte + inside
+        return out
 
     def select(self, token, k):
         """Place of the ``k``-th occurrence (from 0)."""
@@ -187,8 +198,8 @@ class Shard:
             plane = np.concatenate([self.piece(level, k) for k in range(self.pieces)]) if self.pieces else np.zeros(0, np.uint8)
             flags = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty(self.n, kind)
-            above[~flags] = values[: self.zeros[level]]
-            above[flags] = values[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~flags)] = values[: self.zeros[level]]
+            above[np.flatnonzero(flags)] = values[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             values = above
         return values.astype(np.uint32)
 

@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -242,6 +243,33 @@ def test_ids_by_word_are_those_of_the_whole_text(documents):
         assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == encoded(part)
 
 
+def test_units_are_looked_up_once_a_block():
+    """Each distinct unit of a block is asked for once, not once to see whether it is known and once more for its place."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    text = " ".join("".join(x) for x in itertools.product("bcd", "aeiou", "lmn", "aeiou"))
+    encoder.place = Counted()
+    first, _ = encoder.encode(pa.array([text]))
+    Counted.asked = 0
+    again, _ = encoder.encode(pa.array([text]))
+    assert first.tolist() == again.tolist() and Counted.asked == len(text.split())
+
+
 def test_packing_and_files_hold_every_id(spark, documents):
     rows = {r.doc_id: r.text for r in documents.collect()} | {10_000 + k: t for k, t in enumerate(ODD_TEXTS)}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
