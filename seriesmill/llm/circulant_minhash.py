@@ -108,7 +108,7 @@ def _signed(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(settings)
         for batch in batches:
-            for start, texts in W.blocks(batch.column("text")):
+            for start, texts in W.blocks(batch.column("text"), W.BLOCK_BYTES // 2):
                 sets = shingle_sets(texts, settings.shingle)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 signatures = np.stack([signer.signature(sets[k]) for k in full]) if full else np.zeros((0, settings.coordinates), np.uint32)

@@ -107,7 +107,7 @@ def _cut(settings: Settings):
         encoder = T.encoder(settings.tokenizer or T.default_tokenizer())
         task, seen = TaskContext.get().partitionId(), np.zeros(settings.capacity + 1, np.int64)
         for batch in batches:
-            for begin, texts in W.blocks(batch.column("text"), W.BLOCK_BYTES // 2):
+            for begin, texts in W.blocks(batch.column("text"), W.BLOCK_BYTES // 4):
                 ids, starts = encoder.encode(texts)
                 whole = np.diff(starts)
                 pieces = -(-whole // settings.capacity)

@@ -20,6 +20,7 @@ HASH_BITS = 30
 STEMS = (4, 6)  # a word also counts by its first letters, so that inflected and compound forms share evidence
 STEPS = ((1,), (2,))  # neighbouring words, and words with one word between them
 _FILTER_BITS = 22
+_BLOCK_BYTES = 1 << 20  # of text whose word pairs meet in memory; they take some fifty times as much
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, texts in W.blocks(batch.column("text")):
+        for start, texts in W.blocks(batch.column("text"), _BLOCK_BYTES):
             owners, keys = features(texts)
             ends = np.searchsorted(owners, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +174,7 @@ def score_texts(texts: pa.Array, weights: Weights) -> np.ndarray:
         return found
 
     scores = []
-    for _, block in W.blocks(texts):
+    for _, block in W.blocks(texts, _BLOCK_BYTES):
         words = _split(block)
         owners, hits = words.owners(), []
         for kind in _word_kinds(words):

@@ -125,3 +125,12 @@ def test_naive_bayes_gram_by_gram(spark):
             continue
         share = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
         assert lang == best and score == pytest.approx(share, rel=1e-4)
+
+
+def test_features_of_a_batch_are_made_in_small_blocks():
+    """Word pairs take some fifty times their text, and two workers stand beside an executor's heap: no more than a megabyte of text at a time."""
+    texts = pa.array([f"word{k} other{k % 7} " * 6000 for k in range(30)])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 30, pa.int32()), texts], ["label", "text"])
+    parts = list(toxicity._feature_rows(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 30
+    assert all(p.num_rows * len(texts[-1].as_py()) <= 1.1 * (1 << 20) for p in parts)
