@@ -29,32 +29,40 @@ def all_rows(order: str = "ds") -> Window:
     return in_order(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Column, agg=F.sum) -> DataFrame:
-    """One row per key and day; partial sums are combined on the map side.  NaN counts as missing."""
+def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Column, agg=F.sum, rows: int | None = None) -> DataFrame:
+    """One row per key and day; partial sums are combined on the map side.  NaN counts as missing.
+
+    Where nearly every row has a key and day of its own, partial sums only fill the memory of the task that reads a split: with
+    ``rows``, an upper bound of the rows of ``df``, they are dealt by key and day first (see ``deal_rows``).
+    """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     value = as_col(y).cast("double")
-    return (
-        df.select(
-            as_col(key).cast("string").alias(KEY),
-            as_col(ds).cast("date").alias("ds"),
-            nan_to_null(value).alias("y"),
-        )
-        .groupBy(KEY, "ds")
-        .agg(agg("y").alias("y"))
+    values = df.select(
+        as_col(key).cast("string").alias(KEY),
+        as_col(ds).cast("date").alias("ds"),
+        nan_to_null(value).alias("y"),
     )
+    if rows is not None:
+        values = deal_rows(values, rows, KEY, "ds")
+    return values.groupBy(KEY, "ds").agg(agg("y").alias("y"))
 
 
 # Rows of a partition that is dealt by key: with gaps filled, some 60 MB of sorted rows.
 PARTITION_ROWS = 150_000
 
 
-def deal_by_key(series: DataFrame, rows: int, size: int = PARTITION_ROWS) -> DataFrame:
-    """The keys dealt over one partition for each ``size`` of ``rows``, an upper bound of the rows of ``series``.
+def deal_rows(df: DataFrame, rows: int, *columns: str, size: int = PARTITION_ROWS) -> DataFrame:
+    """Rows dealt by ``columns`` over one partition (two at least) for each ``size`` of ``rows``, an upper bound of the rows of ``df``.
 
-    Windows, aggregates and models by key take this distribution as it is.  Daily rows compress so well that adaptive
+    Aggregates and windows by these columns take this distribution as it is.  Daily rows compress so well that adaptive
     execution, which goes by bytes, would give millions of them to one task; a number of partitions stays as it is given.
     """
-    return series.repartition(max(1, -(-rows // size)), KEY)
+    return df.repartition(max(2, -(-rows // size)), *columns)
+
+
+def deal_by_key(series: DataFrame, rows: int, size: int = PARTITION_ROWS) -> DataFrame:
+    """The keys of ``series`` dealt by ``deal_rows`` for windows and models."""
+    return deal_rows(series, rows, KEY, size=size)
 
 
 # A century: no series that is filled day by day gets longer arrays from one gap.

@@ -13,17 +13,16 @@ from seriesmill.plans.tables import BRAND, FILLED, PLACED, SUPPLIER, Tables
 
 
 def _sorted(t: Tables):
-    lines = t.table("lineitem")
-    arrival = lines.groupBy(
-        F.col("l_suppkey").cast("string").alias("series_key"), F.col("l_shipdate").cast("date").alias("ds")
-    ).agg(F.min("l_orderkey").alias("_first"))
+    lines = t.table("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("series_key"), F.col("l_shipdate").cast("date").alias("ds"), "l_orderkey")
+    arrival = s.deal_rows(lines, t.lines, "series_key", "ds").groupBy("series_key", "ds").agg(F.min("l_orderkey").alias("_first"))
     return s.sortedness(t.by_key(arrival.withColumn("arrival", F.struct("_first", "ds"))), "arrival")
 
 
 def _date_range(t: Tables):
     # The range test sits on the bare scan column and reaches the Parquet reader.
     lines = s.between_dates(t.table("lineitem"), "1996-01-01", "1996-12-31", "l_shipdate")
-    return s.to_series(lines, "l_suppkey", "l_shipdate", "l_quantity")
+    return s.to_series(lines, "l_suppkey", "l_shipdate", "l_quantity", rows=t.lines)
 
 
 def _padded(t: Tables):

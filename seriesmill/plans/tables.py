@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,18 @@ class Tables:
     def types(self) -> DataFrame:
         return to_series(self.with_part(), "p_type", "l_shipdate", "l_quantity")
 
+    @cached_property
+    def lines(self) -> int:
+        """The number of lines, from the files' footers."""
+        return self.table("lineitem").count()
+
     def supplier(self) -> DataFrame:
-        return to_series(self.table("lineitem"), "l_suppkey", "l_shipdate", "l_quantity")
+        """There are nearly as many suppliers' days as lines."""
+        return to_series(self.table("lineitem"), "l_suppkey", "l_shipdate", "l_quantity", rows=self.lines)
 
     def by_key(self, series: DataFrame) -> DataFrame:
-        """A series of lines, of which there are many keys, dealt by key for windows and models; the lines are counted in the files' footers."""
-        return deal_by_key(series, self.table("lineitem").count())
+        """A series of lines, of which there are many keys, dealt by key for windows and models."""
+        return deal_by_key(series, self.lines)
 
     def supplier_by_key(self) -> DataFrame:
         return self.by_key(self.supplier())
@@ -56,7 +64,7 @@ class Tables:
         back = (F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & (F.col("l_linenumber") == 7)
         key = F.concat_ws("-", F.col("l_suppkey").cast("string"), F.year("l_shipdate").cast("string"))
         return self.by_key(to_series(
-            self.table("lineitem"), key, "l_shipdate", F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity"))))
+            self.table("lineitem"), key, "l_shipdate", F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")), rows=self.lines))
 
     def holey(self) -> DataFrame:
         """Daily quantity per brand where the lines of some days, and one brand's all, have no value."""

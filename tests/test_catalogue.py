@@ -85,3 +85,19 @@ def test_partitions_follow_the_rows(spark, make):
     rows = make({str(k): [1.0] * 20 for k in range(50)})
     filled = series.fill_gaps(series.deal_by_key(rows, 1000, 100)).withColumn("trend", stats.moving_average(7))
     assert filled.rdd.getNumPartitions() == 10 and filled.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["centered_moving_average", "padded_window", "date_gaps", "sortedness"])
+def test_lines_are_dealt_before_they_are_summed(spark, name):
+    """Nearly every line has a supplier and day of its own: sums beside the scan hold a whole split in memory and combine nothing."""
+    scanned = plan_of(spark, name).rsplit("Exchange", 1)[1]
+    assert "REPARTITION_BY_NUM" in scanned.splitlines()[0] and "ds" in scanned.splitlines()[0] and "Aggregate" not in scanned
+
+
+def test_dealt_rows_give_the_same_series(spark):
+    from seriesmill.operators import series
+
+    lines = spark.sql("SELECT id % 7 AS k, date_add(DATE '2020-02-01', int(id % 11)) AS d, if(id % 13 = 0, double('NaN'), id / 2) AS v FROM range(500)")
+    rows = lambda **more: sorted((r.series_key, r.ds, r.y) for r in series.to_series(lines, "k", "d", "v", **more).collect())
+    assert rows(rows=500) == rows() and len(rows()) == 77
+    assert series.to_series(lines.limit(0), "k", "d", "v", rows=0).count() == 0
