@@ -87,7 +87,7 @@ def test_partitions_follow_the_rows(spark, make):
     assert filled.rdd.getNumPartitions() == 10 and filled.count() == 1000
 
 
-@pytest.mark.parametrize("name", ["centered_moving_average", "padded_window", "date_gaps", "sortedness"])
+@pytest.mark.parametrize("name", ["centered_moving_average", "user_model", "padded_window", "date_gaps", "sortedness"])
 def test_lines_are_dealt_before_they_are_summed(spark, name):
     """Nearly every line has a supplier and day of its own: sums beside the scan hold a whole split in memory and combine nothing."""
     scanned = plan_of(spark, name).rsplit("Exchange", 1)[1]
