@@ -33,14 +33,16 @@ def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Colum
     """One row per key and day; partial sums are combined on the map side.  NaN counts as missing.
 
     Where nearly every row has a key and day of its own, partial sums only fill the memory of the task that reads a split: with
-    ``rows``, an upper bound of the rows of ``df``, they are dealt by key and day first (see ``deal_rows``).
+    ``rows``, an upper bound of the rows of ``df``, they are dealt by key and day first (see ``spread_rows``, ``deal_rows``).
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    value = as_col(y).cast("double")
-    values = df.select(
-        as_col(key).cast("string").alias(KEY),
-        as_col(ds).cast("date").alias("ds"),
-        nan_to_null(value).alias("y"),
+    raw = df.select(as_col(key).alias(KEY), as_col(ds).alias("ds"), as_col(y).alias("y"))
+    if rows is not None:
+        raw = spread_rows(raw, rows, KEY, "ds")
+    values = raw.select(
+        F.col(KEY).cast("string").alias(KEY),
+        F.col("ds").cast("date").alias("ds"),
+        nan_to_null(F.col("y").cast("double")).alias("y"),
     )
     if rows is not None:
         values = deal_rows(values, rows, KEY, "ds")
@@ -49,6 +51,13 @@ def to_series(df: DataFrame, key: str | Column, ds: str | Column, y: str | Colum
 
 # Rows of a partition that is dealt by key: with gaps filled, some 60 MB of sorted rows.
 PARTITION_ROWS = 150_000
+# Up to so many (the default of spark.shuffle.sort.bypassMergeThreshold) a task writes rows straight to the files of their
+# partitions; for more it keeps them, some 80 bytes each, to sort them by partition.
+UNSORTED_PARTITIONS = 200
+
+
+def partitions_for(rows: int, size: int = PARTITION_ROWS) -> int:
+    return max(2, -(-rows // size))
 
 
 def deal_rows(df: DataFrame, rows: int, *columns: str, size: int = PARTITION_ROWS) -> DataFrame:
@@ -57,7 +66,16 @@ def deal_rows(df: DataFrame, rows: int, *columns: str, size: int = PARTITION_ROW
     Aggregates and windows by these columns take this distribution as it is.  Daily rows compress so well that adaptive
     execution, which goes by bytes, would give millions of them to one task; a number of partitions stays as it is given.
     """
-    return df.repartition(max(2, -(-rows // size)), *columns)
+    return df.repartition(partitions_for(rows, size), *columns)
+
+
+def spread_rows(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Rows of a scan ahead of ``deal_rows``: if that takes many partitions, dealt over fewer first, which a task writes as it reads.
+
+    A split is cut by its bytes and may hold millions of rows.  Project a new column before ``deal_rows``: Spark makes one
+    of two repartitions that follow each other directly.
+    """
+    return df.repartition(UNSORTED_PARTITIONS, *columns) if partitions_for(rows) > UNSORTED_PARTITIONS else df
 
 
 def deal_by_key(series: DataFrame, rows: int, size: int = PARTITION_ROWS) -> DataFrame:

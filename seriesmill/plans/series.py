@@ -13,8 +13,8 @@ from seriesmill.plans.tables import BRAND, FILLED, PLACED, SUPPLIER, Tables
 
 
 def _sorted(t: Tables):
-    lines = t.table("lineitem").select(
-        F.col("l_suppkey").cast("string").alias("series_key"), F.col("l_shipdate").cast("date").alias("ds"), "l_orderkey")
+    raw = s.spread_rows(t.table("lineitem").select("l_suppkey", "l_shipdate", "l_orderkey"), t.lines, "l_suppkey", "l_shipdate")
+    lines = raw.select(F.col("l_suppkey").cast("string").alias("series_key"), F.col("l_shipdate").cast("date").alias("ds"), "l_orderkey")
     arrival = s.deal_rows(lines, t.lines, "series_key", "ds").groupBy("series_key", "ds").agg(F.min("l_orderkey").alias("_first"))
     return s.sortedness(t.by_key(arrival.withColumn("arrival", F.struct("_first", "ds"))), "arrival")
 

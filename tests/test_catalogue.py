@@ -101,3 +101,22 @@ def test_dealt_rows_give_the_same_series(spark):
     rows = lambda **more: sorted((r.series_key, r.ds, r.y) for r in series.to_series(lines, "k", "d", "v", **more).collect())
     assert rows(rows=500) == rows() and len(rows()) == 77
     assert series.to_series(lines.limit(0), "k", "d", "v", rows=0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["user_model", "sortedness", "recover_failed"])
+def test_scans_deal_over_few_partitions_first(spark, monkeypatch, name):
+    """For many partitions the shuffle writer keeps a split's rows in memory; Spark must not make one of the two deals."""
+    from seriesmill.operators import series
+
+    monkeypatch.setattr(series, "UNSORTED_PARTITIONS", 1, raising=False)
+    scanned = plan_of(spark, name).split("Aggregate")[-1]
+    assert scanned.count("REPARTITION_BY_NUM") == 2
+
+
+def test_rows_dealt_twice_give_the_same_series(spark):
+    from seriesmill.operators import series
+
+    lines = spark.sql("SELECT string(id % 7) AS k, date_add(DATE '2020-02-01', int(id % 11)) AS d, double(id) AS v FROM range(500)")
+    dealt = series.to_series(lines, "k", "d", "v", rows=201 * series.PARTITION_ROWS)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, series.to_series(lines, "k", "d", "v").collect()))
+    assert "200), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString() and dealt.rdd.getNumPartitions() == 201
